@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, token_counts
+from . import exact_dedup, mixing, near_dedup, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_source_mix": op4_source_mix,
     "op6_sharding": op6_sharding,
@@ -76,23 +81,31 @@ WITH RECURSIVE rows AS (
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':shard'), 1, 8) AS BIGINT) % 2147483646 + 1 AS x,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':slot'), 1, 8) AS BIGINT) AS place
   FROM documents),
+table0 AS (SELECT i AS crc, 0 AS step, i FROM range(256) t(i)
+  UNION ALL
+  SELECT CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, step + 1, i FROM table0 WHERE step < 8),
+crcs AS (SELECT list(crc ORDER BY i) AS t FROM table0 WHERE step = 8),
 jumps AS (
-  SELECT doc_id, 0::BIGINT AS at, x, 0 AS step FROM rows
+  SELECT doc_id, 0::BIGINT AS pos, x FROM rows
   UNION ALL
-  SELECT doc_id, floor((at + 1)::DOUBLE * 2147483647 / (x * 48271 % 2147483647))::BIGINT, x * 48271 % 2147483647, step + 1
-  FROM jumps WHERE at <= 16),
+  SELECT doc_id, floor(((pos + 1) * 2147483647)::DOUBLE / (x * 48271 % 2147483647))::BIGINT, x * 48271 % 2147483647
+  FROM jumps WHERE pos <= 16),
 shards AS (
-  SELECT doc_id, max(at) FILTER (at < 16)::INTEGER AS shard, max(at) FILTER (at <= 16)::INTEGER AS grown_shard
-  FROM jumps GROUP BY doc_id)
+  SELECT doc_id, max(pos) FILTER (pos < 16)::INTEGER AS shard, max(pos) FILTER (pos <= 16)::INTEGER AS grown_shard
+  FROM jumps GROUP BY doc_id),
+summed AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           regexp_extract_all(hex(encode(text)), '..'), b -> CAST('0x' || b AS BIGINT))),
+           (c, b) -> xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM rows, crcs WHERE text IS NOT NULL)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id) - 1 AS slot, grown_shard
+FROM rows JOIN shards USING (doc_id) LEFT JOIN summed USING (doc_id)
 """
 
-
-def _bits(n: int) -> str:
-    return f"(crc >> {n}) & 1"
-
-
 ORACLE: dict[str, str] = {
     "op4_source_mix": _OP4,
+    "op6_sharding": _OP6,
     "op9_exact_dedup": r"""
 WITH texts AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
