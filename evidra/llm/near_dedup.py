@@ -13,13 +13,13 @@ coordinate with the probability of their weighted Jaccard similarity. The
 weights of the query are 1, so that is the similarity of the sets.
 
 Texts with equal sets are one node. Nodes that agree in all four
-coordinates of a band share a bucket. In each round every bucket sends one
-pivot to all its members in other components, pairs not seen before are
-compared exactly on their whole sets, links join components, and the pivot
-leaves the bucket. Rounds go on until what remains has no more pairs than
-twice the members, and these are compared as well: every pair of a bucket
-is compared, or both its texts are already in one component. Nothing is
-capped; a group of n near copies costs about n comparisons, not n squared.
+coordinates of a band share a bucket; of buckets with the same members one
+is kept. All nodes of a bucket are compared with each other exactly, on
+their whole sets: a bucket of more than ``TILE`` nodes is dealt into blocks
+of about that many, every two blocks meet in a task of their own, and one
+matrix product counts what all their sets share. A task returns a spanning
+forest of the links it found, at most one link per node, so no pair is
+lost and no list of pairs is written. Components of the links are classes.
 
 Two texts of similarity 0.8 miss all of the 20 bands with a probability of
 3e-5, more similar ones with less.
@@ -49,6 +49,9 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 BATCH_BYTES = 4 << 20
+#: Nodes of a bucket that meet in one block, and elements whose columns a product takes at a time.
+TILE = 256
+COLUMNS = 4096
 
 _U = np.uint64
 
@@ -178,42 +181,96 @@ def sketch(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ban
     return given.mapInArrow(run, f"doc_id {id_type}, node long, signature array<int>, shingles binary")
 
 
-def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets ``sa`` and ``sb`` are similar enough."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right`` (numbers into ``sets``)."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # others are shared with no one
+    column = np.cumsum(often) - 1
+    keep = often[code]
+    owner, code = owner[keep], column[code[keep]]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for start in range(0, int(often.sum()), COLUMNS):
+        part = slice(*np.searchsorted(code, [start, start + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[owner[part], code[part] - start] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def tile_links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs between two blocks (``side`` 0 and 1) or in one (all 0)."""
+    sizes = np.array([len(x) for x in sets], dtype=np.float32)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    if not len(left) or not len(right):
+        return []
+    both = _shared(sets, left, right)
+    alike = np.zeros((len(sets), len(sets)), dtype=bool)
+    alike[np.ix_(left, right)] = both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-3
+    alike |= alike.T
+    unseen, links = np.ones(len(sets), dtype=bool), []
+    for root in range(len(sets)):
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(alike[x] & unseen)
+            unseen[new] = False
+            links += [(int(nodes[x]), int(nodes[y])) for y in new]
+            stack += new.tolist()
+    return links
+
+
+def find_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar nodes of each bucket of ``members`` (bucket, node)."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"), F.expr("bit_xor(xxhash64(node, 1))").alias("z"))
+    # buckets with the same members are compared once
+    sizes = cut(sizes.groupBy("n", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "tiles")
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("node", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    filled = tiles.join(sets, "node")
+    key = ["bucket", "i", "j"]
+    filled = filled.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
-                if len(p) > len(q):
-                    p, q = q, p
-                if len(p) < similarity * len(q):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-#: Rows of a hot pivot's partners that go with one copy of its set.
-PARTNERS = 256
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, node: str, other: str, out: str) -> DataFrame:
-    """``pairs`` with the set of ``node`` as ``out``. The set of a node in many pairs is copied for every ``PARTNERS`` of them."""
-    load = cut(pairs.groupBy(node).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), "loads")
-    copies = sets.join(load, sets["node"] == load[node]).select(node, F.col("shingles").alias(out), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    dealt = pairs.join(load, node).withColumn("salt", F.pmod(F.xxhash64(other), F.col("copies")).cast("int"))
-    return dealt.join(copies, [node, "salt"]).drop("salt", "copies")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The similar ones of distinct pairs (a, b)."""
-    return _similar(_with_set(_with_set(pairs, sets, "a", "b", "sa"), sets, "b", "a", "sb").select("a", "b", "sa", "sb"), similarity)
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            yield from links_of(table, False)
+            held = tail_of(table)
+        if held is not None:
+            yield from links_of(held, True)
+
+    def edges_of(table: pa.Table) -> np.ndarray:
+        keys = [table[c].to_numpy() for c in key]
+        change = np.zeros(len(table), dtype=bool)
+        change[0] = True
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        return np.flatnonzero(change)
+
+    def tail_of(table: pa.Table) -> pa.Table:
+        return table.slice(int(edges_of(table)[-1])).combine_chunks() if len(table) else table
+
+    def links_of(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """The links of all tiles that are whole: the last one may go on in the next batch."""
+        if not len(table):
+            return
+        edges = np.r_[edges_of(table), len(table)]
+        nodes, side, column = table["node"].to_numpy(), table["side"].to_numpy(), table["shingles"].combine_chunks()
+        links: list[tuple[int, int]] = []
+        for start, stop in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
+            own = [np.frombuffer(column[i].as_buffer(), dtype=np.uint32) for i in range(start, stop)]
+            links += tile_links(nodes[start:stop], side[start:stop], own, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+    return filled.mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -252,39 +309,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
 
 
-def link_nodes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, comp) for the nodes of ``members`` (bucket, node), by exact comparison within the buckets."""
-    nodes = cut(members.select("node").distinct().withColumn("comp", F.col("node")), "components")
-    left, seen, turn = members, None, 0
-    while True:
-        turn += 1
-        # buckets by component: those whose members are all in one are done with
-        named = left.join(nodes, "node")
-        per = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
-        per = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.min("p").alias("p")).filter("comps > 1")
-        per = cut(per.select("bucket", F.col("p")["node"].alias("pivot"), ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs"), "n"), "pivots")
-        open_ = cut(named.join(per, "bucket"), "open")
-        pivots = open_.filter("node = pivot").select("bucket", F.col("comp").alias("pivot_comp"))
-        load = open_.filter("node = pivot").agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not load["n"]:
-            return nodes
-        last = load["pairs"] <= 2 * load["n"]
-        if last:
-            x, y = open_.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            tries = x.join(y, "bucket").filter("a < b AND ca <> cb").select("a", "b")
-        else:
-            tries = open_.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        tries = tries.distinct()
-        if seen is not None:
-            tries = tries.join(seen, ["a", "b"], "left_anti")
-        tries = cut(tries, "pairs")
-        seen = tries if seen is None else seen.unionByName(tries)
-        nodes = components(nodes, verified(tries, sets, similarity))
-        if last:
-            return nodes
-        left = cut(open_.filter("node <> pivot").select("bucket", "node"), "members")
-
-
 def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept (whether it has the class's id)."""
     drawn = cut(sketch(documents, text, doc_id, bands, rows), "sketches")
@@ -298,7 +322,9 @@ def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str =
     first = cut(members.select("node").distinct().join(first, "node"), "firsts")
     sets = drawn.join(first, (drawn["node"] == first["node"]) & drawn["doc_id"].eqNullSafe(first["first_id"])).select(drawn["node"], "shingles")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
-    nodes = link_nodes(members, sets, similarity)
+    nodes = sets.select("node", F.col("node").alias("comp"))
+    links = cut(find_links(members, sets, similarity).distinct(), "found")
+    nodes = components(nodes, links)
     named = drawn.select("doc_id", "node").join(nodes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per_node = named.filter("node IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     per_node = cut(per_node, "classes")

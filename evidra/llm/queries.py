@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, sharding, token_counts
+from . import bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
@@ -34,12 +38,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_source_mix": op4_source_mix,
     "op6_sharding": op6_sharding,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 _OP4 = r"""
@@ -95,8 +105,8 @@ shards AS (
   FROM jumps GROUP BY doc_id),
 summed AS (
   SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
-           regexp_extract_all(hex(encode(text)), '..'), b -> CAST('0x' || b AS BIGINT))),
-           (c, b) -> xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+           regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
   FROM rows, crcs WHERE text IS NOT NULL)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY place, doc_id) - 1 AS slot, grown_shard
