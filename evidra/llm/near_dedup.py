@@ -320,7 +320,8 @@ def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str =
     # one row of each node that is in a bucket gives the set: the one with the smallest id
     first = drawn.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     first = cut(members.select("node").distinct().join(first, "node"), "firsts")
-    sets = drawn.join(first, (drawn["node"] == first["node"]) & drawn["doc_id"].eqNullSafe(first["first_id"])).select(drawn["node"], "shingles")
+    # merged at every size: a broadcast that only small inputs allow would hide what large ones move
+    sets = drawn.join(first.hint("merge"), (drawn["node"] == first["node"]) & drawn["doc_id"].eqNullSafe(first["first_id"])).select(drawn["node"], "shingles")
     sets = cut(sets.dropDuplicates(["node"]), "sets")
     nodes = sets.select("node", F.col("node").alias("comp"))
     links = cut(find_links(members, sets, similarity).distinct(), "found")
