@@ -119,32 +119,31 @@ def _piece_numbers(matrix: np.ndarray, width: int, pieces: Pieces) -> list[np.nd
     return out
 
 
-def forward(matrix: np.ndarray, width: int, pieces: Pieces, table: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Log probabilities of the words (rows) under each language, and what the backward pass needs.
+def forward(matrix: np.ndarray, width: int, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """Log probabilities of the words (rows of ``matrix``) under each language.
 
     ``table`` has a row of probabilities for each piece, and a row of zeros.
-    Every step divides by the largest sum so far, whose logarithm is kept.
+    For words above ``LONG`` every step divides the last sums by the largest
+    one, whose logarithm is kept.
     """
     numbers = _piece_numbers(matrix, width, pieces)
     n, languages = len(matrix), table.shape[1]
-    sums = [np.ones((n, languages))]
+    sums = [np.ones((n, languages))]  # the last ones first
     scale = np.zeros(n)
-    scales = [scale]
     logs = np.zeros((n, languages))
     for end in range(1, width + 1):
         total = np.zeros((n, languages))
-        for length in range(1, min(PIECE_BYTES, end) + 1):
-            total += sums[end - length] * np.exp(scales[end - length] - scale)[:, None] * table[numbers[length - 1][:, end - length]] if width > LONG else sums[end - length] * table[numbers[length - 1][:, end - length]]
+        for length, before in enumerate(sums, 1):
+            total += before * table[numbers[length - 1][:, end - length]]
         if width > LONG:
-            most = total.max(axis=1)
-            most = np.where(most > 0, most, 1.0)
-            total = total / most[:, None]
-            scale = scale + np.log(most)
-        sums.append(total)
-        scales.append(scale)
+            most = np.maximum(total.max(axis=1), 1e-300)
+            total /= most[:, None]
+            sums = [s / most[:, None] for s in sums]
+            scale += np.where(matrix[:, end - 1] > 0, np.log(most), 0.0)
+        sums = [total, *sums[: PIECE_BYTES - 1]]
         here = matrix[:, end - 1] > 0
         logs[here] = np.log(np.maximum(total[here], 1e-300)) + scale[here][:, None]
-    return logs, sums, scale, numbers
+    return logs
 
 
 def _expected(matrix: np.ndarray, width: int, pieces: Pieces, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -186,7 +185,7 @@ class Languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         per_word = np.zeros((len(words), len(self.names)))
         for part, matrix, width in _groups(words):
-            per_word[part] = forward(matrix, width, self.pieces, self.table)[0]
+            per_word[part] = forward(matrix, width, self.pieces, self.table)
         total = np.stack([np.bincount(owner, weights=c[codes], minlength=len(texts)) for c in per_word.T], axis=1)
         best = total.argmax(axis=1)
         share = np.exp(total - total.max(axis=1, keepdims=True))
@@ -224,9 +223,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE, vocabulary: str | None = Non
     rows = rows.filter(~held_out(F.col("_id")))
     # the smallest hashes of each language; ranges first, so that a language of very many rows is never sorted in one task
     rows = rows.withColumn("_hash", F.xxhash64("_id"))
-    some = rows.groupBy("_lang", F.pmod("_hash", F.lit(997)).alias("_part")).agg(F.array_sort(F.expr(f"min_by(struct(_hash, _id), _hash, {sample})")).alias("_some")) if False else None
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    parts = Window.partitionBy("_lang", F.pmod("_hash", F.lit(997))).orderBy("_hash", "_id")
+    parts = Window.partitionBy("_lang", F.pmod("_hash", F.lit(64))).orderBy("_hash", "_id")
     few = rows.withColumn("_n", F.row_number().over(parts)).filter(F.col("_n") <= sample)
     chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("_id", F.col("_lang").alias("_l")).distinct()
     found = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, sharding, token_counts
+from . import bpe, exact_dedup, language_id, line_dedup, media, mixing, near_dedup, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,22 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).drop("first_slot")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, sf_dir), shards=16)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -47,7 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_source_mix": op4_source_mix,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
+    "op8_media": op8_media,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
@@ -113,7 +128,34 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM rows JOIN shards USING (doc_id) LEFT JOIN summed USING (doc_id)
 """
 
+_OP5 = r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+clean AS (
+  SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS words FROM raw),
+numbered AS (
+  SELECT doc_id, place, words, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS nr,
+         count(*) OVER (PARTITION BY doc_id) AS n_lines
+  FROM clean WHERE words <> ''),
+windowed AS (
+  SELECT doc_id, nr, array_to_string(list(words) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), chr(10)) AS win
+  FROM numbered QUALIFY nr <= greatest(0, n_lines - 3)),
+later AS (
+  SELECT doc_id, nr FROM windowed WHERE strlen(win) >= 24
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, nr) > 1),
+gone AS (
+  SELECT DISTINCT n.doc_id, n.place FROM later l JOIN numbered n ON n.doc_id = l.doc_id AND n.nr BETWEEN l.nr AND l.nr + 2),
+left_ AS (
+  SELECT c.doc_id, coalesce(string_agg(c.line, chr(10) ORDER BY c.place) FILTER (g.place IS NULL), '') AS text,
+         count(*) FILTER (c.words <> '') AS n_lines, count(g.place) AS n_removed
+  FROM clean c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.place = c.place GROUP BY c.doc_id)
+SELECT doc_id, n_lines::INTEGER AS n_lines, n_removed::INTEGER AS n_removed, text FROM left_
+"""
+
 ORACLE: dict[str, str] = {
+    "op5_line_dedup": _OP5,
     "op4_source_mix": _OP4,
     "op6_sharding": _OP6,
     "op9_exact_dedup": r"""
