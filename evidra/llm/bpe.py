@@ -1,22 +1,22 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are split at white space, where the tokenizer's own splitting never
-joins two sides. Each distinct word of the corpus is encoded once, its ids
-become a row each, and a join with the id-to-piece table of the vocabulary
-gives the words' decoded forms. Ids and pieces are then joined back to the
-places of the words.
-
-A word stands in very many texts, so places are not rows of their own:
-texts are dealt into blocks of about ``BLOCK_BYTES`` bytes, a block asks
-for each of its distinct words once, and its answers meet its texts by
-block number. A word that is a third of all places is one row per block,
-and its answers are salted by block where it is joined. The word table is
-never broadcast, as it grows with the data; the id-to-piece table has as
-many rows as the vocabulary.
+Texts are split at white space, and a word of Latin letters that ends in
+common marks once more between letters and marks: the tokenizer's own
+splitting never joins these sides. Every distinct word of the corpus is
+encoded once (again at the border of two Arrow batches), and the ids are
+joined back to the places of the words. Decoding looks the ids up in the
+id-to-piece table of the vocabulary.
+
+A common word stands in very many texts, so places are not rows of their
+own: texts are dealt by a hash into blocks of about ``BLOCK_BYTES`` bytes,
+packed and compressed, a block asks for each of its distinct words once,
+and the answers meet its texts by block. A word that is a third of all
+places is one row per block. Neither words nor texts are broadcast; only
+the vocabulary, which is fixed, goes to every task.
 
 Decoding joins the pieces the way the tokenizers library does for a file
 without a decoder: with a blank between them. Special strings inside texts
-are read as the library reads them, since every word goes through it whole.
+are read as the library reads them, since a word goes through it whole.
 
 Defined results: a null text counts as empty; a text without words has no
 ids and decodes to an empty text; rows alike are encoded one by one; ids
@@ -36,21 +36,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_batches, cut, tokenizer_path
+from .common import byte_batches, tokenizer_path
 
-#: Bytes of text in a block of texts.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block of texts, and in what a task works on at a time.
+BLOCK_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 #: Words that are handed to the library at a time.
 WORDS = 20_000
-#: Copies of the answers in the join with the asking blocks.
-SALTS = 8
 
-
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all texts in order, and where each text's words begin (empty words at the ends stay in)."""
-    split = pc.split_pattern_regex(texts, "[\\x20\\x09-\\x0D]+")
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    return split.flatten().dictionary_encode(), offsets - offsets[0]
+#: Letters that stay single letters when normalised, and marks that stay what they are.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PARTS = f"^(?P<stem>[{_LETTERS}]+)(?P<tail>[.,;:!?#$%&*|]*)$"
+
+
+class Words:
+    """The words of a batch of texts.
+
+    ``units`` are the distinct ones, sorted; ``codes`` their numbers at all
+    places in order; text i has the places ``starts[i]`` to ``starts[i + 1]``.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        split = pc.split_pattern_regex(texts, "[\\x20\\x09-\\x0D]+")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        chunks = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(chunks.dictionary, _PARTS)
+        stems = pc.utf8_lower(pc.struct_field(parts, [0]))
+        tails = pc.fill_null(pc.struct_field(parts, [1]), "")
+        stems = pc.coalesce(stems, chunks.dictionary)
+        both = pa.concat_arrays([stems, tails])
+        units = pc.unique(both)
+        units = units.filter(pc.not_equal(units, ""))
+        self.units = units.take(pc.sort_indices(units))
+        number = pc.fill_null(pc.index_in(both, value_set=self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = chunks.indices.to_numpy()
+        # stem and tail of every chunk side by side, those that are empty left out
+        pairs = np.stack([number[: len(stems)][code], number[len(stems) :][code]], axis=1).ravel()
+        some = pairs >= 0
+        self.codes = pairs[some]
+        self.starts = np.r_[0, np.cumsum(some)][2 * offsets]
 
 
 def _load(path: str) -> object:
@@ -63,39 +88,40 @@ def _load(path: str) -> object:
     return tokenizer
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for distinct words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, WORDS):
-                part = batch["word"].slice(start, WORDS)
-                found = tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)  # type: ignore[attr-defined]
-                yield pa.RecordBatch.from_arrays([part, pa.array([e.ids for e in found], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids array<int>")
-
-
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of the vocabulary with its added tokens."""
+def piece_array(path: str) -> list[str]:
+    """The pieces of the vocabulary with its added tokens, by id."""
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     pieces = {i: piece for piece, i in content["model"]["vocab"].items()}
     pieces |= {t["id"]: t["content"] for t in content["added_tokens"]}
-    return spark.createDataFrame(sorted(pieces.items()), "id int, piece string")
+    return [pieces.get(i, "") for i in range(max(pieces) + 1)]
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the vocabulary."""
+    return spark.createDataFrame(list(enumerate(piece_array(path))), "id int, piece string")
 
 
-def decode_ids(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """(key, decoded) for rows (key, ids): the pieces of the ids in order with blanks between."""
-    each = rows.select(key, F.posexplode("ids").alias("at", "id"))
+def decode_ids(rows: DataFrame, key: str, pieces: DataFrame, ids: str = "ids") -> DataFrame:
+    """(key, decoded) for rows with an array of ids: a join with the id-to-piece table, pieces in order with blanks between."""
+    each = rows.select(key, F.posexplode(ids).alias("at", "id"))
     joined = each.join(F.broadcast(pieces), "id")  # as many rows as the vocabulary has, whatever the input
     in_order = F.array_sort(F.collect_list(F.struct("at", "piece")))
-    return joined.groupBy(key).agg(F.array_join(F.transform(in_order, lambda s: s["piece"]), " ").alias("decoded"))
+    found = joined.groupBy(key).agg(F.array_join(F.transform(in_order, lambda s: s["piece"]), " ").alias("decoded"))
+    return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
+
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def _pack(out: pa.Array) -> np.ndarray:
-    return np.frombuffer(out.buffers()[1], dtype=np.int32)[out.offset : out.offset + len(out) + 1]
+
+def _unpacked(payloads: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for payload in payloads:
+        with pa.ipc.open_stream(payload.as_buffer()) as source:
+            yield from source
 
 
 def encode_documents(documents: DataFrame, model: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -109,71 +135,81 @@ def encode_digests(documents: DataFrame, model: str | None = None, text: str = "
 
 
 def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, digests: bool) -> DataFrame:
-    spark = documents.sparkSession
     path = model or tokenizer_path("word_bpe_49k.json")
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    # equal texts may meet in a block: they cost no more than others there, as blocks go by id and checksum
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(blocks)).cast("long")
-    dealt = rows.withColumn("block", block).repartition(blocks, "block")
+    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(blocks)).cast("int")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text", BLOCK_BYTES):
             order = batch.take(pc.sort_indices(batch["block"]))
-            numbers = order["block"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True])
-            for start, stop in zip(edges[:-1], edges[1:], strict=True):
-                words = split_words(order["text"].slice(start, stop - start))[0].dictionary
-                words = words.filter(pc.not_equal(words, ""))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), numbers[start])), words], names=["block", "word"])
-
-    asked = cut(dealt.select("block", "text").mapInArrow(ask, "block long, word string"), "asked")
-    table = cut(encode_words(asked.select("word").distinct(), path), "words")
-    table = table.join(decode_ids(table, "word", piece_table(spark, path)), "word", "left")
-    ids = F.transform("ids", lambda i: i.cast("int"))
-    table = cut(table.select("word", ids.alias("ids"), F.coalesce("decoded", F.lit("")).alias("decoded")), "table")
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    answers = asked.withColumn("salt", F.pmod("block", F.lit(SALTS))).join(salted, ["word", "salt"]).select("block", "word", "ids", "decoded")
+            number = order["block"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                payload = _packed(order.slice(a, b - a).select(["doc_id", "text"]))
+                yield pa.RecordBatch.from_arrays([pa.array([number[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+    # one shuffle of the texts serves the asking and the answering below
+    dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition(blocks, "block")
+
+    def ask(key: tuple, packed: pa.Table) -> pa.Table:
+        units = pa.array([], pa.string())
+        for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
+            units = pc.unique(pa.concat_arrays([units, Words(batch["text"]).units]))
+        units = units.take(pc.sort_indices(units))
+        return pa.table({"block": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(units)), "at": pa.array(np.arange(len(units), dtype=np.int32)), "word": units})
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, at int, word string")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _load(path)
+        for batch in batches:
+            words = batch["word"].dictionary_encode()
+            ids: list[bytes] = []
+            for start in range(0, len(words.dictionary), WORDS):
+                found = tokenizer.encode_batch_fast(words.dictionary.slice(start, WORDS).to_pylist(), add_special_tokens=False)  # type: ignore[attr-defined]
+                ids += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["at"], pa.array(ids, pa.binary()).take(words.indices)], names=["block", "at", "ids"])
+
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block int, at int, ids binary")
 
     schema = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
-
-    def place(texts: pa.Table, known: pa.Table) -> pa.Table:
-        texts, known = texts.combine_chunks(), known.combine_chunks()
-        word = known["word"].combine_chunks() if known.num_rows else pa.array([], pa.string())
-        lists = known["ids"].combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-        forms = known["decoded"].combine_chunks() if known.num_rows else pa.array([], pa.string())
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        begin = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
-        out: list[list] = [[], [], [], []]
-        batches = texts.to_batches()
-        for batch in byte_batches(iter(batches), "text", BLOCK_BYTES):
-            words, starts = split_words(batch["text"])
-            code = pc.index_in(words.dictionary, value_set=word).fill_null(-1).to_numpy()[words.indices.to_numpy()].astype(np.int64)
-            number = np.where(code < 0, 0, np.diff(begin)[np.maximum(code, 0)] if len(word) else 0)
+    pieces = piece_array(path)
+
+    def place(packed: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[list[pa.Array]] = [[], [], [], []]
+        units = pa.array([], pa.string())
+        for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
+            units = pc.unique(pa.concat_arrays([units, Words(batch["text"]).units]))
+        units = units.take(pc.sort_indices(units))
+        order = np.argsort(known["at"].to_numpy(), kind="stable")
+        if len(order) != len(units):
+            raise ValueError("a block's answers do not match its words")
+        column = known["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
+        size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(x.as_buffer() for x in column), dtype="<u4")
+        piece = pa.array(pieces, pa.string())
+        for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
+            words = Words(batch["text"])
+            code = pc.index_in(words.units, value_set=units).to_numpy(zero_copy_only=False)[words.codes] if len(units) else words.codes
+            number = size[code]
             ends = np.r_[0, np.cumsum(number)]
-            # ids of all places, one after another
-            source = np.repeat(np.where(code < 0, 0, begin[np.maximum(code, 0)]) - ends[:-1], number) + np.arange(ends[-1])
-            ids_all = flat[source] if len(flat) else flat
-            used = number > 0
-            shown = forms.take(pa.array(code[used])) if len(word) else forms
-            kept = np.r_[0, np.cumsum(used)]
-            texts_of = pa.ListArray.from_arrays(pa.array(kept[starts].astype(np.int32)), shown)
-            decoded = pc.binary_join(texts_of, " ")
-            bounds = ends[starts]
+            ids = flat[np.repeat(begin[code] - ends[:-1], number) + np.arange(ends[-1])]
+            bounds = ends[words.starts]
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), piece.take(pa.array(ids))), " ")
+            raw = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             out[0].append(batch["doc_id"])
-            out[1].append(pa.array(np.diff(bounds)))
-            raw = [ids_all[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            out[1].append(pa.array(np.diff(bounds), pa.int64()))
             if digests:
-                out[2].append(pa.array([hashlib.sha256(x).hexdigest() for x in raw]))
-                out[3].append(pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in decoded], pa.string()))
+                out[2].append(pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()))
+                out[3].append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()))
             else:
                 out[2].append(pa.array(raw, pa.binary()))
                 out[3].append(decoded)
         return pa.table([pa.chunked_array(c) for c in out], names=names)
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema)
-
-
