@@ -74,7 +74,8 @@ def running_start(df: DataFrame, group: str, position: str, order: Sequence[str]
     """
     sizes = df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_ranges"))
     rows = df.join(sizes, group).withColumn("_range", F.expr(f"{position} * _ranges div 4294967296"))
-    rows = rows.withColumn("_value", value)
+    # dealt by range: dealt by group alone, as the join above leaves them, a large group would be one task
+    rows = rows.withColumn("_value", value).repartition(group, "_range")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(group, "_range").agg(F.sum("_value").alias("_sum"))
     sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
