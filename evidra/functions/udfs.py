@@ -168,7 +168,7 @@ def find_span(claim: str | None, text: str | None) -> tuple[int, int]:
 
 WINDOW = 300
 WINDOWS = 3
-MOST_WINDOW = 2000
+MOST_WINDOW = 600
 LEAST_SCORE = 0.1
 
 
