@@ -47,7 +47,7 @@ def _crc(text: Column) -> Column:
 def windows(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW) -> DataFrame:
     """(doc_id, crc, line, w1, w2): ``line`` is the number of the window's first line, from 0."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), _crc(F.col(text)).alias("crc"), F.filter(F.transform(_raw(F.col(text)), _clean), lambda x: x != "").alias("lines"))
-    rows = rows.filter(F.size("lines") > 0).distinct()
+    rows = rows.filter(F.size("lines") > 0)
     rows = rows.select("doc_id", "crc", "lines", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - size))).alias("line"))
     rows = rows.select("doc_id", "crc", "line", F.array_join(F.slice("lines", F.col("line") + 1, size), "\n").alias("lines"))
     return rows.filter(F.octet_length("lines") >= LEAST_BYTES).select("doc_id", "crc", "line", F.xxhash64("lines").alias("w1"), F.xxhash64("lines", F.lit(1)).alias("w2"))
@@ -66,7 +66,8 @@ def dedup_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """The documents with their columns, the text without repeated passages, and ``n_lines`` and ``n_removed``."""
     covered = cut(covered_lines(documents, text, doc_id, size), "covered").select(F.col("doc_id").alias("_id"), F.col("crc").alias("_of"), "covered")
     rows = documents.withColumn("_crc", _crc(F.col(text)))
-    rows = rows.join(covered, rows[doc_id].eqNullSafe(covered["_id"]) & (rows["_crc"] == covered["_of"]), "left")
+    # merged at every size: a broadcast that only small inputs allow would hide what large ones move
+    rows = rows.join(covered.hint("merge"), rows[doc_id].eqNullSafe(covered["_id"]) & (rows["_crc"] == covered["_of"]), "left")
     rows = rows.withColumn("_raw", _raw(F.col(text)))
     # places in the raw text of the lines that are not empty
     rows = rows.withColumn("_places", F.filter(F.sequence(F.lit(0), F.size("_raw") - 1), lambda i: _clean(F.get("_raw", i)) != ""))
