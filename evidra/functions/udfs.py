@@ -301,7 +301,10 @@ def fuzzy(fact: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_best(f, t) for f, t in zip(fact, text, strict=True)], dtype=float)
 
 
-@F.pandas_udf("start int, end int")
+SPAN_TYPE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+@F.pandas_udf(SPAN_TYPE)
 def span_of(claim: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([find_span(c, t) for c, t in zip(claim, text, strict=True)], columns=["start", "end"])
 
