@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Queries over the test tables and their SQL twins."""
+
+from . import corpus, hub, questions, verification
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "corpus", "hub", "questions", "verification"]
