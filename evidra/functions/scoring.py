@@ -22,7 +22,7 @@ def search_score(ranks: Column, queries: Column) -> Column:
     best = F.array_min(F.filter(ranks, lambda r: r >= 1))
     asked = F.size(F.array_distinct(F.filter(F.transform(queries, lambda q: F.trim(q)), lambda q: q != "")))
     bonus = F.least(F.lit(0.2), F.greatest(F.lit(0.0), (asked - 1) * 0.1))
-    return F.least(F.lit(1.0), 1.0 / best + bonus)
+    return F.when(best.isNotNull(), F.least(F.lit(1.0), 1.0 / best + bonus))
 
 
 def source_score(body: Column, length: Column, wanted: Column, search: Column, failed: Column) -> Column:

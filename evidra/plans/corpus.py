@@ -97,7 +97,7 @@ def noise_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ASK = "the tion ouer scheme eauxle ingha"
 _SCORE = f"0.35e0 * (1e0 / (1 + doc_id % 50)) + 0.45e0 * ({coverage_sql('text', ASK.split())}) * (1 - 0.5e0 * {noise_sql('text')}) + 0.20e0 * least(1e0, n_chars / 4000e0)"
-_SCORED = f"SELECT doc_id, doc_id % 20 AS query_id, doc_id % 50 AS seq, 'https://' || source || '.example.com/' || doc_id AS url, CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE round(greatest(0.0, least(1.0, {_SCORE})), 4) END::DOUBLE AS source_score FROM documents"
+_SCORED = f"SELECT doc_id, doc_id % 20 AS query_id, doc_id % 50 AS seq, 'https://' || source || '.example.com/' || doc_id AS url, CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE round(CAST(greatest(0.0, least(1.0, {_SCORE})) AS DECIMAL(18, 10)), 4) END::DOUBLE AS source_score FROM documents"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:

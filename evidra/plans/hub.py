@@ -43,7 +43,7 @@ _FAMILIES = """s AS (SELECT repo_id, coalesce(nullif(base_model, ''), repo_id) A
 @register(
     "hub_candidates",
     with_inputs(
-        f"""WITH {_FAMILIES} SELECT family_id, state_hint, round(least(1.0, base + least(0.15, eng / 1000)), 4)::DOUBLE AS score, news::BIGINT AS new_repositories, upd::BIGINT AS updated_repositories, ders::BIGINT AS derivative_repositories, first_signal_at, last_signal_at, n AS signal_count,
+        f"""WITH {_FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score, news::BIGINT AS new_repositories, upd::BIGINT AS updated_repositories, ders::BIGINT AS derivative_repositories, first_signal_at, last_signal_at, n AS signal_count,
         'https://huggingface.co/' || family_id AS model_url, 'https://huggingface.co/api/models/' || family_id AS model_api_url FROM c WHERE state_hint IS NOT NULL""",
         "signals",
     ),
@@ -52,7 +52,7 @@ def hub_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub.build_candidates(hub.newest_signals(_signals(spark, sf_dir)), SINCE, UNTIL)
 
 
-@register("hub_top_candidates", with_inputs(f"WITH {_FAMILIES} SELECT family_id, state_hint, round(least(1.0, base + least(0.15, eng / 1000)), 4)::DOUBLE AS score FROM c WHERE state_hint IS NOT NULL ORDER BY 3 DESC, lower(family_id), family_id LIMIT 20", "signals"))
+@register("hub_top_candidates", with_inputs(f"WITH {_FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score FROM c WHERE state_hint IS NOT NULL ORDER BY 3 DESC, lower(family_id), family_id LIMIT 20", "signals"))
 def hub_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub.top_candidates(hub_candidates(spark, sf_dir), 20).select("family_id", "state_hint", "score")
 
