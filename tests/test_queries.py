@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evidra.plans import ORACLE, QUERIES
@@ -11,7 +12,7 @@ from evidra.plans.base import TABLES
 
 def rows(frame):
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "-"
         return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) else str(v)
 
