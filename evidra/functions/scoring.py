@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import fixed, text
 
 
+def rounded(value: Column) -> Column:
+    """Four places; what lies within 1e-10 of a half is rounded up, whatever the last bits say."""
+    return F.round(F.round(value, 10), 4)
+
+
 def clamp(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
@@ -29,7 +34,7 @@ def source_score(body: Column, length: Column, wanted: Column, search: Column, f
     """0.35 search + 0.45 coverage less noise + 0.20 length; 0 for pages without text."""
     covered = F.when(F.size(wanted) == 0, 0.5).otherwise(text.coverage(body, wanted))
     score = 0.35 * search + 0.45 * covered * (1 - 0.5 * text.page_noise(body)) + 0.20 * F.least(F.lit(1.0), length / 4000)
-    return F.when(failed | (F.coalesce(body, F.lit("")) == ""), 0.0).otherwise(F.round(clamp(score), 4))
+    return F.when(failed | (F.coalesce(body, F.lit("")) == ""), 0.0).otherwise(rounded(clamp(score)))
 
 
 def legacy_confidence(body: Column, length: Column, wanted: Column) -> Column:
@@ -47,11 +52,11 @@ def hit_score(rank: Column, title: Column, snippet: Column, engine: Column, want
 
 
 def answer_confidence(coverage: Column, contradictions: Column, citations: Column) -> Column:
-    return F.round(clamp(coverage - 0.1 * contradictions + F.least(F.lit(0.1), 0.02 * citations)), 4)
+    return rounded(clamp(coverage - 0.1 * contradictions + F.least(F.lit(0.1), 0.02 * citations)))
 
 
 def quality_score(coverage: Column, contradictions: Column, confidence: Column, route: Column) -> Column:
-    return F.round(0.45 * coverage + 0.22 * (1 - contradictions) + 0.22 * confidence + 0.11 * route, 4)
+    return rounded(0.45 * coverage + 0.22 * (1 - contradictions) + 0.22 * confidence + 0.11 * route)
 
 
 def ratio(part: Column, whole: Column) -> Column:

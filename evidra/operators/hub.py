@@ -88,7 +88,7 @@ def build_candidates(signals: DataFrame, since: datetime, until: datetime) -> Da
     )
     state = scoring.candidate_state(F.col("new_roots"), F.col("derivative_repositories"), F.col("updated_repositories"))
     families = families.withColumn("_state", state).filter("_state.state <> 'outside_window'")
-    score = F.round(F.least(F.lit(1.0), F.col("_state.base") + F.least(F.lit(0.15), F.col("_engagement") / 1000)), 4)
+    score = scoring.rounded(F.least(F.lit(1.0), F.col("_state.base") + F.least(F.lit(0.15), F.col("_engagement") / 1000)))
     path = F.replace(F.replace(F.url_encode("family_id"), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
     return families.select(
         "family_id", F.col("_state.state").alias("state_hint"), score.alias("score"), "new_repositories", "updated_repositories", "derivative_repositories",

@@ -8,15 +8,14 @@ folder, so the plan of the next iteration stays short.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import udfs
+from ..session import cut
 from . import critic, gaps, matching, planning, ranking, synthesis
 
 Search = Callable[[DataFrame], DataFrame]
@@ -40,20 +39,6 @@ class Research:
     review: DataFrame
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evidra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extract_claims(documents: DataFrame, limit: int = 8) -> DataFrame:
     """Claims of all documents with the span in the document they are from."""
     rows = documents.withColumn("_facts", udfs.facts_of(F.col("text"), F.lit(""), F.lit(limit)))
@@ -70,9 +55,9 @@ def run_research(questions: DataFrame, search: Search, fetch: Fetch, top_n: int
     distinct hits. Unless ``approved``, questions whose plan needs
     confirmation get no tasks.
     """
-    plans = _kept(planning.classify(planning.adapt(questions)), "plans")
+    plans = cut(planning.classify(planning.adapt(questions)), "plans")
     ready = plans if approved else plans.filter(~F.col("needs_confirmation") & ~F.col("routing_warning"))
-    done = _kept(planning.search_tasks(ready), "tasks")
+    done = cut(planning.search_tasks(ready), "tasks")
     pending, hits, documents, claims, verdicts = done, None, None, None, None
     seen: DataFrame | None = None
     found = None
@@ -82,33 +67,33 @@ def run_research(questions: DataFrame, search: Search, fetch: Fetch, top_n: int
         place = F.struct("task_query", "task_route", F.col("priority").alias("task_priority"), "rank")
         merged = ranking.merge_provenance(raw.withColumn("seq", order).withColumn("provenance", place))
         fresh = merged if seen is None else ranking.unseen(merged, seen, ["query_id", "canon_url"])
-        fresh = _kept(ranking.top_n(fresh, "query_id", [F.asc("seq")], 3 * top_n).drop("rank"), "hits")
+        fresh = cut(ranking.top_n(fresh, "query_id", [F.asc("seq")], 3 * top_n).drop("rank"), "hits")
         seen = fresh.select("query_id", "canon_url") if seen is None else seen.unionByName(fresh.select("query_id", "canon_url"))
         fetched = fetch(fresh).join(plans.select("query_id", "query"), "query_id")
         ranked = ranking.rank_documents(fetched, F.col("query")).filter((F.col("rank") <= top_n) & (F.coalesce("text", F.lit("")) != ""))
-        ranked = _kept(ranked.withColumn("iteration", F.lit(turn)), "documents")
+        ranked = cut(ranked.withColumn("iteration", F.lit(turn)), "documents")
         told = extract_claims(ranked).withColumn("iteration", F.lit(turn))
         top = told.filter("doc_rank = 1").join(ranked.filter("rank = 1").select("query_id", F.col("text").alias("top_text")), "query_id")
         facts = top.select("query_id", F.col("claim_no").alias("fact_no"), F.col("claim").alias("fact"), "top_text")
-        judged = _kept(matching.verify(facts, ranked.filter("rank > 1").select("query_id", "url", "text")).withColumn("iteration", F.lit(turn)), "verdicts")
-        told = _kept(told, "claims")
+        judged = cut(matching.verify(facts, ranked.filter("rank > 1").select("query_id", "url", "text")).withColumn("iteration", F.lit(turn)), "verdicts")
+        told = cut(told, "claims")
         hits, documents, claims, verdicts = (new if old is None else old.unionByName(new) for old, new in ((hits, fresh), (documents, ranked), (claims, told), (verdicts, judged)))
         state = documents.withColumn("seq", F.col("iteration") * 1000 + F.col("rank"))
-        found = _kept(gaps.analyze(questions, hits, state, claims, verdicts.withColumn("method", F.lit(None).cast("string"))), "gaps")
+        found = cut(gaps.analyze(questions, hits, state, claims, verdicts.withColumn("method", F.lit(None).cast("string"))), "gaps")
         if turn + 1 == max_iterations:
             break
         asked = gaps.gap_tasks(found, plans.select("query_id", "query", "route", "language"))
         asked = asked.withColumn("engines", F.lit(None).cast("string")).withColumn("categories", F.lit(None).cast("string"))
-        pending = _kept(gaps.new_tasks(asked, done), "tasks")
+        pending = cut(gaps.new_tasks(asked, done), "tasks")
         if pending.isEmpty():
             break
         done = done.unionByName(pending, allowMissingColumns=True)
     sources = documents.withColumn("seq", F.col("iteration") * 1000 + F.col("rank")).select("query_id", "seq", "url", "title", "snippet", "text")
-    citations = _kept(synthesis.citation_table(sources), "citations")
+    citations = cut(synthesis.citation_table(sources), "citations")
     rows = synthesis.classified(verdicts, citations)
     spans = claims.select("query_id", F.col("claim_no").alias("fact_no"), "iteration", synthesis.span_marker(F.col("doc_rank") - 1, F.col("start"), F.col("end")).alias("span_marker"))
-    rows = _kept(rows.join(spans, ["query_id", "fact_no", "iteration"], "left"), "classified")
-    answers = _kept(synthesis.render_answer(questions, rows, citations), "answers")
+    rows = cut(rows.join(spans, ["query_id", "fact_no", "iteration"], "left"), "classified")
+    answers = cut(synthesis.render_answer(questions, rows, citations), "answers")
     told = claims.select("query_id", "claim_no", "claim")
     flags = critic.numeric_consistency(told, sources)
     for more in (critic.entity_hallucination(told, sources), critic.self_contradiction(verdicts), critic.citation_integrity(answers, citations), critic.temporal_consistency(told, sources)):
