@@ -17,8 +17,8 @@ LATE = "72 hours"
 
 
 def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Parquet files of events that appear in a folder."""
-    return spark.readStream.schema(schema).parquet(folder)
+    """Parquet files of events that appear in a folder; times without a zone are the session's."""
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, width: str = "48 hours", late: str = LATE) -> DataFrame:
