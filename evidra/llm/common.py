@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: White space of the contracts, as a character class body: blank and U+0009 to U+000D.
-SPACE = r"\x20\x09-\x0D"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests on one machine) a
-    temporary folder is made and noted in the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evidra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from ..session import cut, drop_cut
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
+__all__ = ["SPACE", "byte_batches", "cut", "drop_cut", "hash32", "running_start", "tokenizer_path"]
 
-    That cuts the lineage: later stages read files that outlive any
-    executor, so a lost executor costs its running tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.startswith(shared_folder(spark).replace("file://", "file:")) or folder.startswith(shared_folder(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: White space of the contracts, as a character class body: blank and U+0009 to U+000D.
+SPACE = r"\x20\x09-\x0D"
 
 
 def hash32(column: Column, salt: str) -> Column:
