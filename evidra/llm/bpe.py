@@ -40,7 +40,9 @@ from .common import byte_batches, tokenizer_path
 
 #: Bytes of text in a block of texts, and in what a task works on at a time.
 BLOCK_BYTES = 32 << 20
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+#: Partitions per block: blocks go by a hash, and with one each some tasks would get three.
+SPREAD = 4
 #: Words that are handed to the library at a time.
 WORDS = 20_000
 
@@ -152,7 +154,7 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
                 yield pa.RecordBatch.from_arrays([pa.array([number[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     # one shuffle of the texts serves the asking and the answering below
-    dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition(blocks, "block")
+    dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition(SPREAD * blocks, "block")
 
     def ask(key: tuple, packed: pa.Table) -> pa.Table:
         units = pa.array([], pa.string())
