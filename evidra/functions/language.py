@@ -65,15 +65,25 @@ def synonyms(word: Column) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def alike(a: Column, b: Column) -> Column:
+def _alike(a: str, b: str) -> bool:
     """Whether two stems are equal or synonyms of each other or of a third word."""
-    return (a == b) | F.array_contains(synonyms(b), a) | F.array_contains(synonyms(a), b) | F.arrays_overlap(synonyms(a), synonyms(b))
+    of_a, of_b = set(fixed.SYNONYMS.get(a, [])), set(fixed.SYNONYMS.get(b, []))
+    return a == b or a in of_b or b in of_a or bool(of_a & of_b)
+
+
+_KNOWN = sorted({*fixed.SYNONYMS, *(w for words in fixed.SYNONYMS.values() for w in words)})
+
+
+def relatives(stem_: Column) -> Column:
+    """The stem and all stems that mean the same, from a constant map."""
+    pairs = [x for w in _KNOWN for x in (F.lit(w), F.array(*(F.lit(k) for k in _KNOWN if _alike(k, w))))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), stem_), F.array(stem_))
 
 
 def numeric_match(fact: Column, other: Column) -> Column:
     """``num_morph`` if the other text has the fact's number and noun anywhere, ``num_mismatch`` if only the noun with other numbers, else null."""
     mine = F.get(number_units(fact), F.lit(0))
-    near = F.filter(number_units(other), lambda p: alike(p["stem"], mine["stem"]))
+    near = F.filter(number_units(other), lambda p: F.array_contains(relatives(mine["stem"]), p["stem"]))
     return F.when(F.exists(near, lambda p: p["number"] == mine["number"]), "num_morph").when(F.size(near) > 0, "num_mismatch")
 
 
@@ -110,7 +120,7 @@ def mismatch_span(fact: Column, other: Column) -> Column:
     mine = F.get(number_units(fact), F.lit(0))
     whole = F.regexp_extract_all(other, F.lit(fixed.NUMBER_UNIT), 0)
     pairs = F.arrays_zip(whole.alias("whole"), number_units(other).alias("pair"))
-    wrong = F.get(F.filter(pairs, lambda p: alike(p["pair"]["stem"], mine["stem"]) & (p["pair"]["number"] != mine["number"])), F.lit(0))["whole"]
+    wrong = F.get(F.filter(pairs, lambda p: F.array_contains(relatives(mine["stem"]), p["pair"]["stem"]) & (p["pair"]["number"] != mine["number"])), F.lit(0))["whole"]
     start = F.regexp_instr(other, F.concat(F.lit(r"(?U)\b"), text.regex_quote(wrong), F.lit(r"\b"))) - 1
     return F.when(wrong.isNotNull(), F.struct(start.alias("start"), (start + F.length(wrong)).alias("end"), F.lit("num_mismatch").alias("method")))
 

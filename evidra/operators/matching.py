@@ -54,11 +54,17 @@ def verify(facts: DataFrame, sources: DataFrame, key: str = "query_id") -> DataF
     """
     pairs = match_facts(facts.join(sources, key)).withColumn("negated", language.is_negated(F.col("fact"), F.col("text")))
     said = pairs.withColumn("side", side_of(F.col("matched"), F.col("method"), F.col("negated")))
+    # one column after the other: spans as one expression would repeat each pattern many times
+    said = said.withColumn("_wrong", F.when(F.col("side") == "mismatch", language.mismatch_span(F.col("fact"), F.lower("text"))))
+    said = said.withColumn("_span", F.coalesce("_wrong", F.when(F.col("side") == "refutes", language.negation_span(F.col("fact"), F.col("text")))))
+    said = said.withColumn("window", F.when(F.col("_span").isNotNull(), F.struct("url", "_span.start", "_span.end", "_span.method")))
     entry = F.struct("url", "score", "method")
     per_fact = said.groupBy(key, "fact_no").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "supports", entry))).alias("supporting_sources"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "refutes", F.col("url")))).alias("refuting_sources"),
         F.array_sort(F.collect_list(F.when(F.col("side") == "mismatch", entry))).alias("numeric_mismatch_sources"),
+        F.min(F.when(F.col("side") == "refutes", F.col("window"))).alias("refuting_window"),
+        F.min(F.when(F.col("side") == "mismatch", F.col("window"))).alias("mismatch_window"),
     )
     out = facts.withColumn("negated", language.is_negated(F.col("fact"), F.col("top_text"))).drop("top_text").join(per_fact, [key, "fact_no"], "left")
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0

@@ -92,7 +92,10 @@ def run_research(questions: DataFrame, search: Search, fetch: Fetch, top_n: int
     citations = cut(synthesis.citation_table(sources), "citations")
     rows = synthesis.classified(verdicts, citations)
     spans = claims.select("query_id", F.col("claim_no").alias("fact_no"), "iteration", synthesis.span_marker(F.col("doc_rank") - 1, F.col("start"), F.col("end")).alias("span_marker"))
-    rows = cut(rows.join(spans, ["query_id", "fact_no", "iteration"], "left"), "classified")
+    places = documents.select("query_id", "iteration", "url", (F.col("rank") - 1).alias("doc_index"))
+    contested = synthesis.contradiction_markers(verdicts, places, ["query_id", "iteration"])
+    rows = rows.join(spans, ["query_id", "fact_no", "iteration"], "left").join(contested, ["query_id", "fact_no", "iteration"], "left")
+    rows = cut(rows, "classified")
     answers = cut(synthesis.render_answer(questions, rows, citations), "answers")
     told = claims.select("query_id", "claim_no", "claim")
     flags = critic.numeric_consistency(told, sources)

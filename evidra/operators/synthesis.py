@@ -184,6 +184,24 @@ def first_unused(claims: DataFrame, facts: DataFrame, key: str = "query_id") ->
     return left.join(right, [key, "text", "nth"], "left").drop("nth")
 
 
+def claim_documents(claims: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Claims (keys, url) with the least index of a document of that URL; null where there is none."""
+    first = documents.groupBy(*keys, "url").agg(F.min("doc_index").alias("doc_index"))
+    return claims.join(first, [*keys, "url"], "left")
+
+
+def contradiction_markers(verdicts: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fact_no, contradiction_marker): where the side that contests a fact says so, denials before numbers."""
+    window = F.when(F.col("verdict") == "NUMERIC_MISMATCH", F.col("mismatch_window")).otherwise(F.coalesce("refuting_window", "mismatch_window"))
+    rows = verdicts.filter(F.col("verdict").isin("REFUTES", *CONFLICTS)).select(*keys, "fact_no", window.alias("w")).filter("w IS NOT NULL").select(*keys, "fact_no", "w.url", "w.start", "w.end")
+    return claim_documents(rows, documents, keys).select(*keys, "fact_no", span_marker(F.col("doc_index"), F.col("start"), F.col("end")).alias("contradiction_marker"))
+
+
+def missing_evidence(claims: DataFrame, key: str = "query_id") -> DataFrame:
+    """Claims per question that are no stubs and have no evidence: an answer is complete if there are none."""
+    return claims.groupBy(key).agg(F.count_if(~F.col("is_stub") & ~F.col("has_evidence")).alias("missing")).filter("missing > 0")
+
+
 def prefix_within(windows: DataFrame, keys: list[str], order: str, most: int = 1500) -> DataFrame:
     """Windows joined to one text while their running length stays within ``most``."""
     running = F.sum(F.length("text")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

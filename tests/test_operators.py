@@ -163,3 +163,39 @@ def test_streams(spark, sf, tmp_path):
     want = {r.user_id: r.ts for r in events.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
     got = {r.user_id: r.ts for r in spark.table("newest").groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
     assert got == want
+
+
+def test_model_answers(spark):
+    from evidra.operators import assistant
+
+    facts = spark.createDataFrame([(1, 5, "a"), (1, 9, "b")], "query_id int, fact_no int, fact string")
+    evidence = spark.createDataFrame([(1, "u", 0.5, "text")], "query_id int, url string, score double, text string")
+    rows = assistant.prompts(facts, evidence)
+    assert "1. a\n2. b" in rows.first().prompt and "SOURCE u" in rows.first().prompt
+
+    def broken(prompt):
+        raise RuntimeError("busy")
+
+    replies = assistant.ask(rows, [broken, lambda p: 'Sure: {"results": [{"index": 2, "verdict": "match", "source_urls": ["u"]}]} ok'], retries=1, wait=0.0)
+    got = {r.fact_no: (r.answer, r.urls) for r in assistant.answers(facts, replies).collect()}
+    assert got == {5: ("INSUFFICIENT", []), 9: ("SUPPORTS", ["u"])}
+    failed = assistant.ask(rows, [broken], retries=0).first()
+    assert failed.answer is None and failed.error == "busy"
+
+
+def test_contested_spans(spark):
+    facts = spark.createDataFrame([(1, 1, "22 drones", "Then 22 drones came.")], "query_id int, fact_no int, fact string, top_text string")
+    sources = spark.createDataFrame([(1, "u", "They say 23 drones came.")], "query_id int, url string, text string")
+    rows = matching.verify(facts, sources)
+    places = spark.createDataFrame([(1, "u", 4)], "query_id int, url string, doc_index int")
+    assert rows.first().verdict == "NUMERIC_MISMATCH"
+    assert synthesis.contradiction_markers(rows, places, ["query_id"]).first().contradiction_marker == "[doc_4:9-18]"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from evidra.__main__ import main
+
+    corpus = spark.createDataFrame([("https://a.org/1", "A", "Acme Corporation built 22 drones in Berlin."), ("https://b.org/2", "B", "Acme Corporation built 22 drones.")], "url string, title string, text string")
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    assert main(["research", "Acme drones", "--corpus", str(tmp_path / "corpus"), "--approve", "--iterations", "1"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] == "done"
