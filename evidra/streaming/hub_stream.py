@@ -35,8 +35,12 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours", late: str = LATE
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("events"))
 
 
-def newest_per_key(events: DataFrame, key: str) -> DataFrame:
-    """Every time a key's newest event changes, that event: state is one row per key, dropped after a quiet time of ``LATE``."""
+def newest_per_key(events: DataFrame, key: str, late: str = LATE, keep_hours: int = 72) -> DataFrame:
+    """Every time a key's newest event changes, that event.
+
+    State is one row per key; it goes when the watermark has passed the
+    key's last event by ``keep_hours``.
+    """
     kind = events.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, ts timestamp, event_type string"
 
@@ -44,16 +48,16 @@ def newest_per_key(events: DataFrame, key: str) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get if state.exists else None
         rows = [part.sort_values("ts").iloc[-1] for part in parts if len(part)]
         if not rows:
             return
         top = max(rows, key=lambda r: r["ts"])
         micros = int(pd.Timestamp(top["ts"]).value // 1000)
-        state.setTimeoutDuration(72 * 3600 * 1000)
-        if last is None or micros >= last[0]:
+        if not state.exists or micros >= state.get[0]:
             state.update((micros, str(top["event_type"])))
             yield pd.DataFrame({key: [keys[0]], "ts": [top["ts"]], "event_type": [top["event_type"]]})
+        until = state.get[0] // 1000 + keep_hours * 3_600_000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
-    grouped = events.select(key, "ts", "event_type").groupBy(key)
-    return grouped.applyInPandasWithState(newest, schema, "micros long, event_type string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    grouped = events.withWatermark("ts", late).select(key, "ts", "event_type").groupBy(key)
+    return grouped.applyInPandasWithState(newest, schema, "micros long, event_type string", "append", GroupStateTimeout.EventTimeTimeout)
