@@ -222,9 +222,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE, vocabulary: str | None = Non
     rows = documents.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).filter("_lang IS NOT NULL AND _id IS NOT NULL")
     rows = rows.filter(~held_out(F.col("_id")))
     # the smallest hashes of each language; ranges first, so that a language of very many rows is never sorted in one task
-    rows = rows.withColumn("_hash", F.xxhash64("_id"))
+    rows = rows.withColumn("_hash", F.xxhash64("_id")).withColumn("_part", F.pmod("_hash", F.lit(64))).repartition("_lang", "_part")
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    parts = Window.partitionBy("_lang", F.pmod("_hash", F.lit(64))).orderBy("_hash", "_id")
+    parts = Window.partitionBy("_lang", "_part").orderBy("_hash", "_id")
     few = rows.withColumn("_n", F.row_number().over(parts)).filter(F.col("_n") <= sample)
     chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("_id", F.col("_lang").alias("_l")).distinct()
     found = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
