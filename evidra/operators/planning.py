@@ -122,11 +122,3 @@ def plan_preview(plans: DataFrame, key: str = "query_id") -> DataFrame:
         F.when(F.size("confirmation_reason") > 0, F.concat(F.lit("confirm: "), F.array_join("confirmation_reason", "; "))),
     ]
     return plans.select(key, F.concat_ws("\n", *lines).alias("preview"))
-
-
-def route_of_patterns(questions: DataFrame, patterns: DataFrame, key: str = "query_id") -> DataFrame:
-    """Route scores by a table of patterns (route, pattern) instead of the built-in list."""
-    hits = questions.join(F.broadcast(patterns), F.regexp_like(F.lower("query"), F.col("pattern")))
-    return hits.groupBy(key, "route").agg(F.count(F.lit(1)).alias("score"))
-
-
