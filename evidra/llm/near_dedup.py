@@ -48,7 +48,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Nodes of a bucket that meet in one block, and elements whose columns a product takes at a time.
 TILE = 256
 COLUMNS = 4096
