@@ -40,7 +40,7 @@ from .common import byte_batches, tokenizer_path
 
 #: Bytes of text in a block of texts, and in what a task works on at a time.
 BLOCK_BYTES = 32 << 20
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Partitions per block: blocks go by a hash, and with one each some tasks would get three.
 SPREAD = 4
 #: Words that are handed to the library at a time.
@@ -146,11 +146,11 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text", BLOCK_BYTES):
-            order = batch.take(pc.sort_indices(batch["block"]))
-            number = order["block"].to_numpy()
+            order = np.argsort(batch["block"].to_numpy(), kind="stable")
+            number = batch["block"].to_numpy()[order]
             edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                payload = _packed(order.slice(a, b - a).select(["doc_id", "text"]))
+                payload = _packed(batch.select(["doc_id", "text"]).take(pa.array(order[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array([number[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     # one shuffle of the texts serves the asking and the answering below
