@@ -54,8 +54,8 @@ _PARTS = f"^(?P<stem>[{_LETTERS}]+)(?P<tail>[.,;:!?#$%&*|]*)$"
 class Words:
     """The words of a batch of texts.
 
-    ``units`` are the distinct ones, sorted; ``codes`` their numbers at all
-    places in order; text i has the places ``starts[i]`` to ``starts[i + 1]``.
+    ``units`` are the distinct ones; ``codes`` their numbers at all places
+    in order; text i has the places ``starts[i]`` to ``starts[i + 1]``.
     """
 
     def __init__(self, texts: pa.Array) -> None:
@@ -69,8 +69,7 @@ class Words:
         stems = pc.coalesce(stems, chunks.dictionary)
         both = pa.concat_arrays([stems, tails])
         units = pc.unique(both)
-        units = units.filter(pc.not_equal(units, ""))
-        self.units = units.take(pc.sort_indices(units))
+        self.units = units.filter(pc.not_equal(units, ""))
         number = pc.fill_null(pc.index_in(both, value_set=self.units), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         code = chunks.indices.to_numpy()
         # stem and tail of every chunk side by side, those that are empty left out
@@ -157,9 +156,8 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
     dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition(SPREAD * blocks, "block")
 
     def ask(key: tuple, packed: pa.Table) -> pa.Table:
-        units = pa.array([], pa.string())
-        for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
-            units = pc.unique(pa.concat_arrays([units, Words(batch["text"]).units]))
+        parts = [Words(batch["text"]).units for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES)]
+        units = pc.unique(pa.chunked_array(parts, pa.string()))
         units = units.take(pc.sort_indices(units))
         return pa.table({"block": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(units)), "at": pa.array(np.arange(len(units), dtype=np.int32)), "word": units})
 
@@ -183,28 +181,35 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
 
     def place(packed: pa.Table, known: pa.Table) -> pa.Table:
         out: list[list[pa.Array]] = [[], [], [], []]
-        units = pa.array([], pa.string())
+        # of each part only its ids, the numbers of its words and its distinct words are held
+        parts, found = [], []
         for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
-            units = pc.unique(pa.concat_arrays([units, Words(batch["text"]).units]))
-        units = units.take(pc.sort_indices(units))
+            words = Words(batch["text"])
+            parts.append((batch["doc_id"], words.codes.astype(np.int32), words.starts))
+            found.append(words.units)
+        units = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+        rank = np.empty(len(units.dictionary), dtype=np.int64)
+        rank[pc.sort_indices(units.dictionary).to_numpy()] = np.arange(len(rank))
+        number_of = rank[units.indices.to_numpy()]
         order = np.argsort(known["at"].to_numpy(), kind="stable")
-        if len(order) != len(units):
+        if len(order) != len(rank):
             raise ValueError("a block's answers do not match its words")
         column = known["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
         size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(x.as_buffer() for x in column), dtype="<u4")
         piece = pa.array(pieces, pa.string())
-        for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES):
-            words = Words(batch["text"])
-            code = pc.index_in(words.units, value_set=units).to_numpy(zero_copy_only=False)[words.codes] if len(units) else words.codes
+        first = 0
+        for (doc_ids, codes, starts), own in zip(parts, found, strict=True):
+            code = number_of[first : first + len(own)][codes]
+            first += len(own)
             number = size[code]
             ends = np.r_[0, np.cumsum(number)]
             ids = flat[np.repeat(begin[code] - ends[:-1], number) + np.arange(ends[-1])]
-            bounds = ends[words.starts]
+            bounds = ends[starts]
             decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), piece.take(pa.array(ids))), " ")
             raw = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            out[0].append(batch["doc_id"])
+            out[0].append(doc_ids)
             out[1].append(pa.array(np.diff(bounds), pa.int64()))
             if digests:
                 out[2].append(pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()))
