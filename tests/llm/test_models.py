@@ -152,6 +152,20 @@ def test_bpe(documents, odd, empty):
     assert whole[7].decoded == library.decode(np.frombuffer(whole[7].ids, dtype="<u4").tolist(), skip_special_tokens=False)
 
 
+def test_bpe_of_blocks_in_parts(spark):
+    """More text than ``PART_BYTES``: numbers of words must agree between the parts of a block."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = {r.doc_id: r.text or "" for r in frame.collect()}
+    assert sum(map(len, given.values())) > bpe.PART_BYTES
+    rows = {r.doc_id: r for r in bpe.encode_digests(frame).collect()}
+    assert rows.keys() == given.keys()
+    for i, encoded in zip(given, library.encode_batch(list(given.values()), add_special_tokens=False), strict=True):
+        assert rows[i].ids_sha256 == hashlib.sha256(np.array(encoded.ids, dtype="<u4").tobytes()).hexdigest()
+
+
 def test_bpe_words_are_safe():
     from tokenizers import Tokenizer
 
