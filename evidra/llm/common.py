@@ -13,10 +13,12 @@ from pyspark.sql.window import Window
 
 from ..session import cut, drop_cut
 
-__all__ = ["SPACE", "byte_batches", "cut", "drop_cut", "hash32", "running_start", "tokenizer_path"]
+__all__ = ["SPACE", "byte_batches", "cut", "drop_cut", "hash32", "join_groups", "running_start", "tokenizer_path"]
 
 #: White space of the contracts, as a character class body: blank and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
+#: Places that the rows of one group are dealt to when they meet what is known of the group.
+SPREAD = 64
 
 
 def hash32(column: Column, salt: str) -> Column:
@@ -29,6 +31,19 @@ def hash32(column: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, group: str, position: str) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row per ``group``; null groups meet too.
+
+    Every group is dealt to ``SPREAD`` places by ``position``, so a group
+    that holds a third of all rows is never one task, and nothing has to
+    be broadcast.
+    """
+    many = groups.withColumnRenamed(group, "_group").withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = rows.withColumn("_deal", F.pmod(F.col(position), F.lit(SPREAD)).cast("int"))
+    found = dealt.join(many.hint("merge"), dealt[group].eqNullSafe(many["_group"]) & (dealt["_deal"] == many["_spread"]))
+    return found.drop("_group", "_spread", "_deal")
+
+
 def running_start(df: DataFrame, group: str, position: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
 
@@ -39,7 +54,7 @@ def running_start(df: DataFrame, group: str, position: str, order: Sequence[str]
     task, even if one group holds a third of all rows.
     """
     sizes = df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_ranges"))
-    rows = df.join(sizes, group).withColumn("_range", F.expr(f"{position} * _ranges div 4294967296"))
+    rows = join_groups(df, sizes, group, position).withColumn("_range", F.expr(f"{position} * _ranges div 4294967296"))
     # dealt by range: dealt by group alone, as the join above leaves them, a large group would be one task
     rows = rows.withColumn("_value", value).repartition(group, "_range")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, cut, hash32, running_start
+from .common import SPACE, cut, hash32, join_groups, running_start
 
 #: 2**32 divided by the golden ratio.
 GOLDEN = 2_654_435_769
@@ -94,7 +94,7 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs
     )
     rows = cut(rows, "sizes")
     sources = cut(source_targets(rows, weights, epochs), "sources")
-    rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(rows["doc_id"], rows["size"], rows["_place"], "source_no", "source_size", "target", "goal")
+    rows = join_groups(rows, sources, "source", "_place").select("doc_id", "size", "_place", "source_no", "source_size", "target", "goal")
     placed = running_start(rows, "source_no", "_place", ["doc_id", "size"], F.col("size"), "start")
     rounds = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("goal") - F.col("start") - 1) / F.col("source_size"))))
     copies = placed.filter("size > 0").withColumn("_round", F.explode(rounds)).withColumn("_from", F.col("_round") * F.col("source_size") + F.col("start"))
