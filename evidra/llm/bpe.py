@@ -187,10 +187,13 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
             words = Words(batch["text"])
             parts.append((batch["doc_id"], words.codes.astype(np.int32), words.starts))
             found.append(words.units)
-        units = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+        numbers, units = [len(x) for x in found], pa.concat_arrays(found)
+        del found
+        units = units.dictionary_encode()
         rank = np.empty(len(units.dictionary), dtype=np.int64)
         rank[pc.sort_indices(units.dictionary).to_numpy()] = np.arange(len(rank))
         number_of = rank[units.indices.to_numpy()]
+        del units
         order = np.argsort(known["at"].to_numpy(), kind="stable")
         if len(order) != len(rank):
             raise ValueError("a block's answers do not match its words")
@@ -200,9 +203,9 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
         flat = np.frombuffer(b"".join(x.as_buffer() for x in column), dtype="<u4")
         piece = pa.array(pieces, pa.string())
         first = 0
-        for (doc_ids, codes, starts), own in zip(parts, found, strict=True):
-            code = number_of[first : first + len(own)][codes]
-            first += len(own)
+        for (doc_ids, codes, starts), own in zip(parts, numbers, strict=True):
+            code = number_of[first : first + own][codes]
+            first += own
             number = size[code]
             ends = np.r_[0, np.cumsum(number)]
             ids = flat[np.repeat(begin[code] - ends[:-1], number) + np.arange(ends[-1])]
