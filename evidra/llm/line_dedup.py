@@ -10,7 +10,7 @@ goes as a whole however its windows overlap. Empty lines stay.
 
 Windows are counted by hash, with partial sums before the shuffle: a
 passage that a third of all texts share sends one row per task. Windows
-with fewer than ``LEAST_BYTES`` bytes are never removed.
+count however short their lines are.
 
 Defined results: a null text stays null, has no lines and loses none; an
 empty text likewise; a text whose lines are all covered becomes empty but
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut
 
 WINDOW = 3
-#: Windows with fewer bytes of text than this are left alone.
-LEAST_BYTES = 24
 
 
 def _raw(text: Column) -> Column:
@@ -50,7 +48,7 @@ def windows(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     rows = rows.filter(F.size("lines") > 0)
     rows = rows.select("doc_id", "crc", "lines", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - size))).alias("line"))
     rows = rows.select("doc_id", "crc", "line", F.array_join(F.slice("lines", F.col("line") + 1, size), "\n").alias("lines"))
-    return rows.filter(F.octet_length("lines") >= LEAST_BYTES).select("doc_id", "crc", "line", F.xxhash64("lines").alias("w1"), F.xxhash64("lines", F.lit(1)).alias("w2"))
+    return rows.select("doc_id", "crc", "line", F.xxhash64("lines").alias("w1"), F.xxhash64("lines", F.lit(1)).alias("w2"))
 
 
 def covered_lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW) -> DataFrame:

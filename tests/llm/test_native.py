@@ -111,3 +111,10 @@ def test_line_dedup(odd, empty, spark):
     docs = spark.createDataFrame([(1, f"own start\n{passage}\nown end"), (2, f"other\n\n{passage}\nlast line"), (3, "nothing shared")], "doc_id long, text string")
     out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     assert out[1].n_removed == 0 and out[2].text == "other\n\nlast line" and out[2].n_removed == 5 and out[3].n_removed == 0
+
+
+def test_line_dedup_of_short_lines(spark):
+    words = "\n".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"first\n{words}"), (2, f"second\n{words}\nend"), (3, "ok"), (4, "ok"), (5, "a\nb"), (6, "a\nb")], "doc_id long, text string")
+    out = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {1: (0, f"first\n{words}"), 2: (60, "second\nend"), 3: (0, "ok"), 4: (1, ""), 5: (0, "a\nb"), 6: (2, "")}
