@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, language, udfs
+from ..functions import fixed, language, passages, udfs
 
 
 def match_facts(pairs: DataFrame) -> DataFrame:
@@ -29,6 +29,25 @@ def match_facts(pairs: DataFrame) -> DataFrame:
     return staged.withColumn("method", method).withColumn("score", score).withColumn("matched", F.col("method").isNotNull()).drop("_cheap", "_best")
 
 
+def exact_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Where the first occurrence of each item's ``text`` stands in each document that has it.
+
+    Every position of a document is a candidate. The heads of the items
+    are sent to all tasks; rows whose text has one meet the items of that
+    head, and only these are searched.
+    """
+    width = F.expr(f"shiftleft(1, length(bin(least(length(passage), {max(passages.WIDTHS)}))) - 1)")
+    wanted = items.select("item_id", F.col("text").alias("passage")).filter("passage IS NOT NULL")
+    wanted = wanted.withColumn("head", F.substring(F.col("passage"), F.lit(1), width))
+    scan = passages.head_scanner([r.head for r in wanted.select("head").distinct().collect()])
+    rows = documents.select("doc_id", "text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(scan, f"doc_id {id_type}, text string, heads array<string>")
+    found = found.select("doc_id", "text", F.explode("heads").alias("head")).join(wanted, "head").filter(F.contains("text", F.col("passage")))
+    at = F.position(F.col("passage"), F.col("text")) - 1
+    return found.select("item_id", "doc_id", at.alias("span_start"), (at + F.length("passage")).alias("span_end"))
+
+
 def side_of(matched: Column, method: Column, negated: Column) -> Column:
     """What a matched source says about a fact."""
     return F.when(~matched, None).when(negated, "refutes").when(method == "num_mismatch", "mismatch").otherwise("supports")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text, udfs, urls
-from ..operators import evaluation, gaps, ranking
+from ..operators import evaluation, gaps, matching, ranking
 from ..sources import pages as page_source
 from .base import register, relation, table, with_inputs
 
@@ -234,19 +234,5 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT b.item_id, d.doc_id, (strpos(d.text, b.text) - 1)::INTEGER AS span_start, (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS span_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
 )
 def find_span_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where benchmark passages stand in documents.
-
-    Passages and documents meet by equal runs of 40 characters that begin a
-    passage, at the beginnings of words: candidates come from an equi-join
-    and only these are searched. Shorter passages are looked for directly.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.substring("text", 1, 40).alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?:^|(?<=\s))(?=(\S.{0,39}))"), 1))).alias("head")).filter(F.length("head") == 40)
-    short = items.filter(F.length("passage") < 40)
-    pairs = heads.join(items, "head").select("doc_id", "item_id", "passage").distinct()
-    found = pairs.join(docs, "doc_id").filter(F.contains("text", F.col("passage")))
-    few = docs.join(short, F.contains("text", F.col("passage"))).select(*found.columns)
-    at = F.position(F.col("passage"), F.col("text")) - 1
-    return found.unionByName(few).select("item_id", "doc_id", at.alias("span_start"), (at + F.length("passage")).alias("span_end"))
-
+    """Where benchmark passages stand in documents, at whatever position."""
+    return matching.exact_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators import gaps, hub, matching, planning, ranking, research, synthesis
+from evidra.plans import QUERIES
 from evidra.sources import pages, replay, sinks
 from evidra.streaming import hub_stream
 
@@ -199,3 +200,14 @@ def test_command_line(spark, tmp_path, capsys):
     corpus.write.parquet(str(tmp_path / "corpus"))
     assert main(["research", "Acme drones", "--corpus", str(tmp_path / "corpus"), "--approve", "--iterations", "1"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] == "done"
+
+
+def test_exact_spans_at_any_position(spark, tmp_path):
+    passage = "a benchmark passage of more than forty characters, whole"
+    items = {1: passage, 2: "  begins with blanks and is longer than forty characters", 3: "没有空格的文字" * 7, 4: "short", 5: "", 6: None, 7: "x" * 64 + "y"}
+    texts = {1: f"see ({passage})", 2: f"in{passage}side \u00a0{passage}", 3: f"\U0001f600{items[2]}", 4: f"前{items[3]}后", 5: "unshortened", 6: "", 7: None, 8: "z" * 262_100 + "x" * 100 + "y", 9: passage[:-1]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = QUERIES["find_span_exact"](spark, str(tmp_path)).collect()
+    want = {(i, d, t.find(p), t.find(p) + len(p)) for i, p in items.items() for d, t in texts.items() if p is not None and t is not None and p in t}
+    assert len(rows) == len(want) == 14 and {tuple(r) for r in rows} == want
