@@ -1,8 +1,7 @@
 """Language identification by segmentation-marginalised unigram models.
 
-A fixed public vocabulary gives pieces (byte strings of at most
-``PIECE_BYTES`` bytes, the single bytes among them). Every language has a
-probability for each piece, learned by expectation maximisation: the
+A fixed public vocabulary gives pieces (byte strings of any length, the
+single bytes among them). Every language has a probability for each piece, learned by expectation maximisation: the
 expected uses of a piece, over all segmentations of the training words.
 The probability of a word under a language is the sum over all its
 segmentations, by the forward algorithm; the words of a text multiply.
@@ -41,31 +40,42 @@ from .quality import held_out
 
 #: Texts of a language that training takes at most.
 SAMPLE = 400
-#: Distinct words of a language that the estimate takes at most, the most frequent ones of its sample.
-WORDS = 40_000
 ROUNDS = 4
-PIECE_BYTES = 6
 BATCH_BYTES = 8 << 20
 #: Words longer than this go through the algorithm in one group, with scaling in every step.
 LONG = 48
 
 
 def load_pieces(path: str) -> list[bytes]:
-    """Distinct pieces of a ``.tiktoken`` file of at most ``PIECE_BYTES`` bytes, and all single bytes, sorted."""
+    """Distinct pieces of a ``.tiktoken`` file, and all single bytes, sorted."""
     with open(path, "rb") as file:
         pieces = {base64.b64decode(line.split()[0]) for line in file if line.strip()}
-    return sorted({p.strip(b" ") for p in pieces if 0 < len(p.strip(b" ")) <= PIECE_BYTES} | {bytes([i]) for i in range(256)})
+    return sorted({p.strip(b" ") for p in pieces if p.strip(b" ")} | {bytes([i]) for i in range(256)})
 
 
 @dataclass
 class Pieces:
-    """Pieces as numbers (bytes in base 257, so that lengths differ) in sorted order."""
+    """Pieces as numbers (bytes in base 257, so that lengths differ) in sorted order, and the tree of their prefixes.
+
+    Node 0 is the empty prefix; the others are in the order of ``edges``,
+    the number of the shorter prefix * 257 + last byte + 1.
+    """
 
     keys: np.ndarray
+    edges: np.ndarray
+    #: Per node the number of the piece that ends there, or the number of pieces.
+    ends: np.ndarray
+    longest: int
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Pieces:
-        return cls(np.sort(np.array([_key(p) for p in pieces], dtype=np.int64)))
+        ordered = sorted(set(pieces), key=lambda p: (len(p), p))
+        prefixes = sorted({p[:n] for p in ordered for n in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+        node = {b"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        edges = np.array([node[p[:-1]] * 257 + p[-1] + 1 for p in prefixes], dtype=np.int64)
+        ends = np.full(len(node), len(ordered), dtype=np.int64)
+        ends[[node[p] for p in ordered]] = np.arange(len(ordered))
+        return cls(np.array([_key(p) for p in ordered], dtype=object), edges, ends, max(map(len, ordered)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The pieces' numbers; those of other strings are the number of pieces."""
@@ -99,7 +109,7 @@ def _groups(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     width = np.where(sizes <= LONG, -(-sizes // 4) * 4, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     for w in np.unique(width[sizes > 0]):
         rows = np.flatnonzero((width == w) & (sizes > 0))
-        step = max(1, 2_000_000 // int(w))
+        step = max(1, 1_000_000 // int(w))
         for part in (rows[i : i + step] for i in range(0, len(rows), step)):
             longest = int(sizes[part].max())
             inside = np.arange(longest) < sizes[part][:, None]
@@ -108,14 +118,40 @@ def _groups(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             yield part, matrix, longest
 
 
-def _piece_numbers(matrix: np.ndarray, width: int, pieces: Pieces) -> list[np.ndarray]:
-    """For every end (column + 1) and length the number of the piece that ends there, per word."""
-    out, key = [], np.zeros_like(matrix)
-    for length in range(1, min(PIECE_BYTES, width) + 1):
-        # strings of this length, by the column in which they begin
-        key = key[:, : width - length + 1] * 257 + matrix[:, length - 1 :]
-        inside = matrix[:, length - 1 :] > 0
-        out.append(np.where(inside, pieces.find(key), len(pieces.keys)))
+@dataclass
+class Uses:
+    """Where pieces of one length stand: word, first column and number, in order of columns."""
+
+    length: int
+    rows: np.ndarray
+    begins: np.ndarray
+    numbers: np.ndarray
+    #: For each column the first use that begins there, and the number of uses.
+    bounds: list[int]
+
+    def at(self, begin: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.bounds[begin], self.bounds[begin + 1])
+        return self.rows[part], self.numbers[part]
+
+
+def _uses(matrix: np.ndarray, width: int, pieces: Pieces) -> list[Uses]:
+    """All places of all pieces in the words, by length; the tree is followed from every byte."""
+    out = []
+    begins, rows = np.nonzero(matrix.T)
+    node = np.zeros(len(rows), dtype=np.int64)
+    for length in range(1, min(pieces.longest, width) + 1):
+        inside = begins + length <= width
+        rows, begins, node = rows[inside], begins[inside], node[inside]
+        key = node * 257 + matrix[rows, begins + length - 1]
+        at = np.searchsorted(pieces.edges, key)
+        known = pieces.edges[np.minimum(at, len(pieces.edges) - 1)] == key
+        rows, begins, node = rows[known], begins[known], at[known] + 1
+        if not len(rows):
+            break
+        number = pieces.ends[node]
+        whole = number < len(pieces.keys)
+        if whole.any():
+            out.append(Uses(length, rows[whole], begins[whole], number[whole], np.searchsorted(begins[whole], np.arange(width + 1)).tolist()))
     return out
 
 
@@ -126,48 +162,55 @@ def forward(matrix: np.ndarray, width: int, pieces: Pieces, table: np.ndarray) -
     For words above ``LONG`` every step divides the last sums by the largest
     one, whose logarithm is kept.
     """
-    numbers = _piece_numbers(matrix, width, pieces)
+    uses = _uses(matrix, width, pieces)
+    most_bytes = max((u.length for u in uses), default=1)
     n, languages = len(matrix), table.shape[1]
     sums = [np.ones((n, languages))]  # the last ones first
     scale = np.zeros(n)
     logs = np.zeros((n, languages))
     for end in range(1, width + 1):
         total = np.zeros((n, languages))
-        for length, before in enumerate(sums, 1):
-            total += before * table[numbers[length - 1][:, end - length]]
+        for u in uses:
+            if u.length <= end and u.bounds[end - u.length] < u.bounds[end - u.length + 1]:
+                rows, numbers = u.at(end - u.length)
+                total[rows] += sums[u.length - 1][rows] * table[numbers]
         if width > LONG:
             most = np.maximum(total.max(axis=1), 1e-300)
             total /= most[:, None]
             sums = [s / most[:, None] for s in sums]
             scale += np.where(matrix[:, end - 1] > 0, np.log(most), 0.0)
-        sums = [total, *sums[: PIECE_BYTES - 1]]
+        sums = [total, *sums[: most_bytes - 1]]
         here = matrix[:, end - 1] > 0
         logs[here] = np.log(np.maximum(total[here], 1e-300)) + scale[here][:, None]
     return logs
 
 
 def _expected(matrix: np.ndarray, width: int, pieces: Pieces, probability: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in the words (each counted ``weight`` times) under one language."""
-    table = np.r_[probability, 0.0][:, None]
-    numbers = _piece_numbers(matrix, width, pieces)
+    """Expected uses of each piece in the words (each counted ``weight`` times) under one language, by logarithms for words of any length."""
+    log = np.log(probability)
+    uses = _uses(matrix, width, pieces)
     n = len(matrix)
-    ahead = np.zeros((n, width + 1))
-    ahead[:, 0] = 1
+    ahead = np.full((n, width + 1), -np.inf)
+    ahead[:, 0] = 0
     for end in range(1, width + 1):
-        for length in range(1, min(PIECE_BYTES, end) + 1):
-            ahead[:, end] += ahead[:, end - length] * table[numbers[length - 1][:, end - length], 0]
+        for u in uses:
+            if u.length <= end and u.bounds[end - u.length] < u.bounds[end - u.length + 1]:
+                rows, numbers = u.at(end - u.length)
+                ahead[rows, end] = np.logaddexp(ahead[rows, end], ahead[rows, end - u.length] + log[numbers])
     sizes = (matrix > 0).sum(axis=1)
-    back = np.zeros((n, width + 1))
-    back[np.arange(n), sizes] = 1
-    uses = np.zeros(len(pieces.keys) + 1)
-    whole = np.maximum(ahead[np.arange(n), sizes], 1e-300)
+    back = np.full((n, width + 1), -np.inf)
+    back[np.arange(n), sizes] = 0
     for begin in range(width - 1, -1, -1):
-        for length in range(1, min(PIECE_BYTES, width - begin) + 1):
-            number = numbers[length - 1][:, begin]
-            part = table[number, 0] * back[:, begin + length]
-            back[:, begin] += part
-            uses += np.bincount(number, weights=ahead[:, begin] * part / whole * weight, minlength=len(uses))
-    return uses[:-1]
+        for u in uses:
+            if u.bounds[begin] < u.bounds[begin + 1]:
+                rows, numbers = u.at(begin)
+                back[rows, begin] = np.logaddexp(back[rows, begin], back[rows, begin + u.length] + log[numbers])
+    whole = ahead[np.arange(n), sizes]
+    found = np.zeros(len(pieces.keys))
+    for u in uses:
+        share = np.exp(ahead[u.rows, u.begins] + log[u.numbers] + back[u.rows, u.begins + u.length] - whole[u.rows])
+        found += np.bincount(u.numbers, weights=share * weight[u.rows], minlength=len(found))
+    return found
 
 
 @dataclass
@@ -201,10 +244,6 @@ def learn(texts: list[str], langs: list[str], pieces: Pieces, rounds: int = ROUN
     for name in names:
         words, codes, _ = words_of(pa.array([t for t, x in zip(texts, langs, strict=True) if x == name], pa.string()))
         count = np.bincount(codes, minlength=len(words)).astype(float)
-        short = pc.less_equal(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False) & (count > 0)
-        chosen = np.lexsort((np.arange(len(words)), -count))
-        chosen = np.sort(chosen[short[chosen]][:WORDS])
-        words, count = words.take(pa.array(chosen)), count[chosen]
         probability = np.full(len(pieces.keys), 1 / len(pieces.keys))
         for _ in range(rounds):
             uses = np.full(len(pieces.keys), 0.01)  # every piece stays possible in every language

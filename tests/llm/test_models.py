@@ -87,6 +87,19 @@ def test_trees_fit_what_lines_cannot():
     assert ((forest.score(x) > 0.5) == y).mean() > 0.97
 
 
+def test_language_pieces_and_words_of_any_length():
+    all_pieces = language_id.load_pieces(language_id.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    pieces = language_id.Pieces.of(all_pieces)
+    assert max(map(len, all_pieces)) == 33 and len(pieces.keys) > 45_000
+    known = language_id.learn(["漢字" * 30, "かな" * 30], ["zh", "ja"], pieces)
+    assert known.table[:-1].max() > 100 / len(all_pieces)  # not the uniform start
+    assert known.scores(pa.array(["漢字" * 40, "かな" * 40]))[0] == ["zh", "ja"]
+    few = language_id.Pieces.of([b"a", b"b", b"abababab"])
+    uses = language_id._expected(np.array([[98 - (i + 1) % 2 + 1 for i in range(8)]]), 8, few, np.array([0.25, 0.25, 0.5]), np.ones(1))
+    whole = 0.5 / (0.5 + 0.25**8)
+    assert uses == pytest.approx([4 * (1 - whole), 4 * (1 - whole), whole])
+
+
 def test_language_id(spark, odd, empty):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
