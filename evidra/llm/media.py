@@ -25,7 +25,9 @@ alike are handled one by one; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -77,6 +79,30 @@ _AC_LENGTHS, _AC_SYMBOLS = [1] * 9 + [0] * 7, [7, 6, 8, 5, 4, 9, 3, 2, 1]
 _DC_CODES, _AC_CODES = _canonical(_DC_LENGTHS, _DC_SYMBOLS), _canonical(_AC_LENGTHS, _AC_SYMBOLS)
 
 
+#: Code tables of annex K by number (16 on: all but the first coefficients): counts of codes by length, symbols.
+_STANDARD = {
+    0: (bytes.fromhex("00010501010101010100000000000000"), bytes(range(12))),
+    1: (bytes.fromhex("00030101010101010101010000000000"), bytes(range(12))),
+    16: (
+        bytes.fromhex("0002010303020403050504040000017d"),
+        bytes.fromhex(
+            "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a"
+            "434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+            "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+    17: (
+        bytes.fromhex("00020102040403040705040400010277"),
+        bytes.fromhex(
+            "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a"
+            "434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aa"
+            "b2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+}
+_RESTART = re.compile(b"\xff[\xd0-\xd7]")
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -160,37 +186,54 @@ def write_avi(frames: list[bytes], width: int = SIDE, height: int = SIDE, micros
     return _chunk(b"RIFF", b"AVI " + lists)
 
 
+def _segment_frames(data: bytes, movi: tuple[int, int], index: bytes | None) -> list[bytes]:
+    """The frames of one RIFF segment, by its index or, without one, as they stand in its list and the ``rec`` lists in it."""
+    frames = []
+    if index is not None:
+        entries = [struct.unpack_from("<4sIII", index, i) for i in range(0, len(index) - 15, 16)]
+        shown = [e for e in entries if e[0][2:] in (b"dc", b"db")]
+        # offsets count from the list's name, in some files from the file's start
+        base = movi[0] if not shown or data[movi[0] + shown[0][2] : movi[0] + shown[0][2] + 4] == shown[0][0] else 0
+        for _, _, offset, size in shown:
+            frames.append(data[base + offset + 8 : base + offset + 8 + size])
+        return frames
+    at, end = movi[0] + 4, movi[0] + movi[1]
+    while at + 8 <= end:
+        if data[at : at + 4] == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+            at += 12
+            continue
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at + 2 : at + 4] in (b"dc", b"db"):
+            frames.append(data[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return frames
+
+
 def read_avi(data: bytes) -> tuple[int, list[bytes]]:
     """Microseconds of a frame, and the frames in the order of the index (of the file, if it has none)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    micros, movi, index, at = FRAME_MICROS, None, None, 12
+    micros, at = FRAME_MICROS, 12
+    # per RIFF segment the place and size of its list of frames, and its index
+    movi: list[tuple[int, int] | None] = [None]
+    index: list[bytes | None] = [None]
     while at + 8 <= len(data):
         name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if name == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":
+            movi.append(None)
+            index.append(None)
+            at += 12
+            continue
         if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl" and data[at + 12 : at + 16] == b"avih":
             micros = int.from_bytes(data[at + 20 : at + 24], "little") or FRAME_MICROS
         elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, size)
+            movi[-1] = (at + 8, size)
         elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
+            index[-1] = data[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    if movi is None:
+    if not any(movi):
         raise ValueError("no list of frames")
-    frames = []
-    if index is not None:
-        entries = [struct.unpack_from("<4sIII", index, i) for i in range(0, len(index) - 15, 16)]
-        shown = [e for e in entries if e[0][2:] in (b"dc", b"db")]
-        # offsets count from the list's name, in some files from the file's start
-        base = movi[0] if not shown or data[movi[0] + shown[0][2] : movi[0] + shown[0][2] + 4] == shown[0][0] else 0
-        for _, _, offset, size in shown:
-            frames.append(data[base + offset + 8 : base + offset + 8 + size])
-    else:
-        at, end = movi[0] + 4, movi[0] + movi[1]
-        while at + 8 <= end:
-            size = int.from_bytes(data[at + 4 : at + 8], "little")
-            if data[at + 2 : at + 4] in (b"dc", b"db"):
-                frames.append(data[at + 8 : at + 8 + size])
-            at += 8 + size + size % 2
+    frames = [f for m, x in zip(movi, index, strict=True) if m for f in _segment_frames(data, m, x)]
     return micros, frames
 
 
@@ -203,6 +246,8 @@ class Header:
     width: int
     #: Per component: columns and rows of blocks in a unit, quantisers in zigzag order, and its two code tables.
     parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]
+    #: Units after which the coded data starts afresh; 0 if it never does.
+    restart: int = 0
 
 
 def _lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
@@ -213,6 +258,12 @@ def _lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
     return table
 
 
+@functools.cache
+def _standard(number: int) -> np.ndarray:
+    """The standard's own code table (annex K) that pictures in AVI files may leave out."""
+    return _lookup(*_STANDARD[number])
+
+
 def read_header(frame: bytes) -> Header:
     """Parse a baseline picture's markers."""
     if frame[:2] != b"\xff\xd8":
@@ -220,7 +271,7 @@ def read_header(frame: bytes) -> Header:
     quants: dict[int, np.ndarray] = {}
     tables: dict[int, np.ndarray] = {}
     components: dict[int, tuple[int, int, int]] = {}
-    height = width = 0
+    height = width = restart = 0
     at = 2
     while at + 4 <= len(frame):
         if frame[at] != 0xFF:
@@ -245,18 +296,19 @@ def read_header(frame: bytes) -> Header:
                 n = sum(body[1:17])
                 tables[body[0]] = _lookup(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
-        elif marker == 0xDD and int.from_bytes(body[:2], "big"):
-            raise ValueError("restart intervals are not read")
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
         elif marker == 0xDA:
             if body[0] != len(components):
                 raise ValueError("one scan of all components expected")
             parts = []
             for i in range(body[0]):
                 h, v, q = components[body[1 + 2 * i]]
-                parts.append((h, v, quants[q], tables[body[2 + 2 * i] >> 4], tables[16 + (body[2 + 2 * i] & 15)]))
+                dc, ac = body[2 + 2 * i] >> 4, 16 + (body[2 + 2 * i] & 15)
+                parts.append((h, v, quants[q], *(tables[t] if t in tables else _standard(t) for t in (dc, ac))))
             if len(parts) == 1:
                 parts = [(1, 1, *parts[0][2:])]
-            return Header(at, height, width, parts)
+            return Header(at, height, width, parts, restart)
     raise ValueError("no picture data")
 
 
@@ -267,22 +319,33 @@ def decode_group(header: Header, frames: list[bytes]) -> tuple[np.ndarray, np.nd
     down = max(p[1] for p in header.parts)
     units = (-(-header.width // (8 * across)), -(-header.height // (8 * down)))
     order = [c for c, p in enumerate(header.parts) for _ in range(p[0] * p[1])]
-    part_of = np.array(order * (units[0] * units[1]))
-    blocks = len(part_of)
+    blocks = len(order) * units[0] * units[1]
+    # coded data is decoded in pieces: from restart to restart, or whole frames
+    step = min(header.restart or units[0] * units[1], units[0] * units[1])
+    starts = -(-units[0] * units[1] // step)
+    part_of = np.array(order * step)
+    span = len(part_of)
+    coded = [f[header.begin : f.rindex(b"\xff\xd9")] for f in frames]
+    split = [_RESTART.split(c) if header.restart else [c] for c in coded]
+    if any(len(c) != starts for c in split):
+        raise ValueError("coded data is damaged")
+    pieces = [p for c in split for p in c]
+    wanted = np.tile(np.r_[np.full(starts - 1, span), blocks - (starts - 1) * span], n)
     tables = np.concatenate([t for p in header.parts for t in p[3:5]])
-    # coded data of all frames, without the zeros behind 255, and 8 bytes of ones after each
-    raw = np.frombuffer(b"".join(f[header.begin : f.rindex(b"\xff\xd9")] + b"\xff\xff\xff\xff\xff\xff\xff\xff" for f in frames), dtype=np.uint8)
-    sizes = np.array([f.rindex(b"\xff\xd9") - header.begin + 8 for f in frames])
+    # coded data of all pieces, without the zeros behind 255, and 8 bytes of ones after each
+    raw = np.frombuffer(b"".join(p + b"\xff\xff\xff\xff\xff\xff\xff\xff" for p in pieces), dtype=np.uint8)
+    sizes = np.array([len(p) + 8 for p in pieces])
     zero = np.r_[False, (raw[:-1] == 255) & (raw[1:] == 0)]
+    zero[np.cumsum(sizes)[:-1]] = False  # a piece that begins with 0 keeps it
     ends = np.cumsum(sizes) - np.cumsum(zero)[np.cumsum(sizes) - 1]
     clean = raw[~zero].astype(np.uint64)
     begin = np.r_[0, ends[:-1]]
     window = np.zeros(len(clean) + 8, dtype=np.uint64)
     for i in range(6):
         window[: len(clean) - i] |= clean[i:] << np.uint64(8 * (5 - i))  # 48 bits from each byte on
-    coefficients = np.zeros((n, blocks * 64 + 64), dtype=np.int32)
-    live = np.arange(n)
-    at, block, k = begin * 8, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    coefficients = np.zeros((len(pieces), span * 64 + 64), dtype=np.int32)
+    live = np.arange(len(pieces))
+    at, block, k = begin * 8, np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
     while len(live):
         table = part_of[block] * 2 + (k > 0)
         w = window[at >> 3].astype(np.int64)
@@ -300,18 +363,19 @@ def decode_group(header: Header, frames: list[bytes]) -> tuple[np.ndarray, np.nd
         place = np.where(k > 0, k + run, 0)
         if (place > 63 + 16 * (size == 0)).any():
             raise ValueError("coded data is damaged")
-        coefficients[live, np.where(size > 0, block * 64 + place, blocks * 64)] = value
+        coefficients[live, np.where(size > 0, block * 64 + place, span * 64)] = value
         k = np.where((k > 0) & (symbol == 0), 64, place + 1)
         done = k >= 64
         block, k = block + done, np.where(done, 0, k)
-        stay = block < blocks
+        stay = block < wanted[live]
         if not stay.all():
             live, at, block, k = live[stay], at[stay], block[stay], k[stay]
-    coefficients = coefficients[:, : blocks * 64].reshape(n, blocks, 64)
+    coefficients = coefficients[:, : span * 64].reshape(len(pieces), span, 64)
     for c in range(len(header.parts)):
         mine = part_of == c
         coefficients[:, mine, 0] = np.cumsum(coefficients[:, mine, 0], axis=1)
-    return coefficients, _pictures(header, coefficients[:, part_of == 0], units)
+    coefficients = coefficients.reshape(n, starts * span, 64)[:, :blocks]
+    return coefficients, _pictures(header, coefficients[:, np.resize(part_of, blocks) == 0], units)
 
 
 def _pictures(header: Header, coefficients: np.ndarray, units: tuple[int, int]) -> np.ndarray:

@@ -223,6 +223,34 @@ def test_clips(spark):
     assert all(r.error for r in out if r.media_id != 1)
 
 
+def test_more_kinds_of_files(spark, monkeypatch):
+    data = np.random.default_rng(2).integers(0, 256, (6, 576), dtype=np.uint8)
+    stored = lambda frames: [(c.ravel() - 1).astype(np.uint8).tobytes() for c, _ in media.decode_frames(frames)]
+    frames = media.encode_frames(data)
+    listed = lambda part: b"".join(media._chunk(b"00dc", f) for f in part)
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + listed(frames[2:4])))
+    last = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"LIST", b"rec " + listed(frames[4:5])) + media._chunk(b"LIST", b"rec " + listed(frames[5:]))))
+    assert media.read_avi(media.write_avi(frames[:2]) + more + last)[1] == frames
+    # two pictures below each other, with a restart between them
+    head = media._HEADER.replace(media.struct.pack(">HH", 24, 24), media.struct.pack(">HH", 48, 24))
+    head = head[:2] + media._segment(0xDD, b"\0\x09") + head[2:]
+    coded = [f[len(media._HEADER) : -2] for f in frames]
+    tall = head + coded[0] + b"\xff\xd0" + coded[1] + b"\xff\xd9"
+    assert stored([tall]) == [data[:2].tobytes()]
+    # the standard's tables, and none in the file
+    codes = [media._canonical(*map(list, media._STANDARD[t])) for t in (0, 16)]
+    monkeypatch.setattr(media, "_DC_CODES", codes[0])
+    monkeypatch.setattr(media, "_AC_CODES", {k: v for k, v in codes[1].items() if k < 16})
+    tables = media._HEADER[media._HEADER.index(b"\xff\xc4") : media._HEADER.index(b"\xff\xda")]
+    bare = [f.replace(tables, b"") for f in media.encode_frames(data)]
+    assert len(bare[0]) < len(media.encode_frames(data)[0]) and stored(bare) == [d.tobytes() for d in data]
+    for number in (16, 17):
+        lengths, symbols = media._STANDARD[number]
+        assert sum(lengths) == len(symbols) == len(set(symbols)) == 162
+    rows = spark.createDataFrame([(1, bytearray(media.write_avi(bare)))], "media_id long, content binary")
+    assert all(r.error is None for r in media.media_clips(rows).collect())
+
+
 def test_cosine_transform():
     block = np.zeros((1, 9, 64), dtype=np.int32)
     block[0, :, 0] = 80  # 80 / 8 above the middle
