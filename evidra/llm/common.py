@@ -13,12 +13,12 @@ from pyspark.sql.window import Window
 
 from ..session import cut, drop_cut
 
-__all__ = ["SPACE", "byte_batches", "cut", "drop_cut", "hash32", "join_groups", "running_start", "tokenizer_path"]
+__all__ = ["SPACE", "byte_batches", "cut", "drop_cut", "field", "flat", "hash32", "join_groups", "nested", "places_for", "running_start", "tokenizer_path"]
 
 #: White space of the contracts, as a character class body: blank and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
-#: Places that the rows of one group are dealt to when they meet what is known of the group.
-SPREAD = 64
+#: Rows of a group that are worth a place of their own where they meet what is known of the group.
+PLACE_ROWS = 50_000
 
 
 def hash32(column: Column, salt: str) -> Column:
@@ -31,38 +31,55 @@ def hash32(column: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, group: str, position: str) -> DataFrame:
+def nested(documents: DataFrame) -> DataFrame:
+    """The rows as one struct column ``row``, so that no working column can clash with a caller's."""
+    return documents.select(F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("row"))
+
+
+def field(name: str) -> Column:
+    """A caller's column of ``nested`` rows."""
+    return F.col("row").getField(name)
+
+
+def flat(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The caller's columns of ``nested`` rows."""
+    return rows.select(*(field(c).alias(c) for c in columns))
+
+
+def places_for(rows: DataFrame, n_rows: int) -> int:
+    """To how many places the rows of one group are dealt: as many as could be busy if all rows were of one group."""
+    return max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // PLACE_ROWS))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, group: str, position: str, places: int) -> DataFrame:
     """``rows`` with the columns of ``groups``, which has one row per ``group``; null groups meet too.
 
-    Every group is dealt to ``SPREAD`` places by ``position``, so a group
+    Every group is dealt to ``places`` places by ``position``, so a group
     that holds a third of all rows is never one task, and nothing has to
     be broadcast.
     """
-    many = groups.withColumnRenamed(group, "_group").withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = rows.withColumn("_deal", F.pmod(F.col(position), F.lit(SPREAD)).cast("int"))
+    many = groups.withColumnRenamed(group, "_group").withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    dealt = rows.withColumn("_deal", F.pmod(F.col(position), F.lit(places)).cast("int"))
     found = dealt.join(many.hint("merge"), dealt[group].eqNullSafe(many["_group"]) & (dealt["_deal"] == many["_spread"]))
     return found.drop("_group", "_spread", "_deal")
 
 
-def running_start(df: DataFrame, group: str, position: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
+def running_start(df: DataFrame, group: str, part: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
 
-    ``position`` is a number from 0 to 2**32 - 1 that orders a group's
-    rows, ties broken by ``order``. Each group of n rows is cut into about
-    sqrt(n) ranges of positions, so that neither the sums of the ranges
-    nor the rows of one range are ever more than about sqrt(n) rows in one
-    task, even if one group holds a third of all rows.
+    ``part`` numbers stretches of the group's order. With about sqrt(n)
+    stretches in a group of n rows, neither the sums of the stretches nor
+    the rows of one are ever more than about sqrt(n) rows in one task, even
+    if one group holds a third of all rows.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_ranges"))
-    rows = join_groups(df, sizes, group, position).withColumn("_range", F.expr(f"{position} * _ranges div 4294967296"))
-    # dealt by range: dealt by group alone, as the join above leaves them, a large group would be one task
-    rows = rows.withColumn("_value", value).repartition(group, "_range")
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(group, "_range").agg(F.sum("_value").alias("_sum"))
-    sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(group, "_range").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return rows.join(sums, [group, "_range"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_ranges", "_range", "_value", "_within", "_before")
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(group, part).agg(F.sum(value).alias("_sum"))
+    sums = sums.select(group, part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # merged at every size, so that one dealing by group and stretch serves the join and the window
+    rows = df.withColumn("_value", value).join(sums.hint("merge"), [group, part])
+    rows = rows.withColumn(out, F.col("_before") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return rows.drop("_value", "_before")
 
 
 def tokenizer_path(name: str) -> str:

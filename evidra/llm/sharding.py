@@ -6,9 +6,10 @@ the shard count, so one more shard takes rows only into itself. The law is
 ``key``: the id and the shard count decide, nothing else.
 
 The generator is Lehmer's (modulus 2**31 - 1), seeded from the MD5 of the
-id's text, so plain SQL elsewhere can compute the same shards. At most 48
-jumps are followed, whatever the shard count, which keeps the law exact;
-more than 48 jumps have a chance below 1e-12 with a thousand shards.
+id's text, so plain SQL elsewhere can compute the same shards. A key jumps
+about ln(n) times among n shards and at most n + 1 times. ``jumps(n)`` steps
+are followed: all there can be up to 60 shards, and beyond that so many
+that a key needs more with a probability below 1e-40.
 
 Slots number a shard's rows from 0 without gaps, ordered by the hash of
 the id, then the id, then the text's checksum. DataFrame operations only.
@@ -20,6 +21,8 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,11 @@ from .common import cut, hash32, running_start
 
 MODULUS = 2_147_483_647
 FACTOR = 48_271
-JUMPS = 48
+
+
+def jumps(shards: int) -> int:
+    """How many jumps are followed, the last one beyond the last shard."""
+    return min(shards + 2, 40 + 4 * shards.bit_length())
 
 
 def jump_shards(key_hash: Column, shards: int) -> tuple[Column, Column]:
@@ -46,7 +53,7 @@ def jump_shards(key_hash: Column, shards: int) -> tuple[Column, Column]:
             F.when(inside, x).otherwise(s["x"]).alias("x"),
         )
 
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(JUMPS)), start, jump)
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(jumps(shards))), start, jump)
     return last["now"].cast("int"), last["grown"].cast("int")
 
 
@@ -61,5 +68,7 @@ def assign_shards(documents: DataFrame, shards: int = 16, text: str = "text", do
     )
     rows = rows.withColumn("_jumps", F.struct(*(c.alias(n) for c, n in zip(jump_shards(F.col("_hash"), shards), ("now", "grown")))))
     rows = cut(rows.select("doc_id", "size", "text_crc32", "_place", F.col("_jumps.now").alias("shard"), F.col("_jumps.grown").alias("grown_shard")), "shards")
-    rows = running_start(rows, "shard", "_place", ["doc_id", "text_crc32"], F.lit(1).cast("long"), "slot")
+    # shards are of about equal size
+    parts = math.isqrt(rows.count() // shards) + 1
+    rows = running_start(rows.withColumn("part", F.expr(f"_place * {parts} div 4294967296")), "shard", "part", ["_place", "doc_id", "text_crc32"], F.lit(1).cast("long"), "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
