@@ -143,7 +143,7 @@ windowed AS (
   SELECT doc_id, nr, array_to_string(list(words) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), chr(10)) AS win
   FROM numbered QUALIFY nr <= greatest(0, n_lines - 3)),
 later AS (
-  SELECT doc_id, nr FROM windowed WHERE strlen(win) >= 24
+  SELECT doc_id, nr FROM windowed
   QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, nr) > 1),
 gone AS (
   SELECT DISTINCT n.doc_id, n.place FROM later l JOIN numbered n ON n.doc_id = l.doc_id AND n.nr BETWEEN l.nr AND l.nr + 2),
