@@ -13,8 +13,10 @@ language, source and id are never statistics.
 Defined results: a null text counts as empty; an empty text has all
 statistics 0 and gets the score that the trees give such a row; with no
 labelled row at all every score is 0.5; with one class only, every score
-is near that class; equal texts get equal scores; rows alike stay separate
-rows; an empty table gives an empty table; other columns are not looked at.
+is near that class; of several labels of one id the largest counts, labels
+that are null or neither 0 nor 1 count nothing; of several rows with one
+labelled id the one with the smallest statistics trains; equal texts get
+equal scores; rows alike stay separate rows; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import byte_batches
+from .common import byte_batches, field, flat, nested
 
 #: Labelled rows that training takes at most.
 SAMPLE = 6000
@@ -221,31 +224,36 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
 
     id_type = given.schema["_id"].dataType.simpleString()
     drawn = given.mapInArrow(run, f"id {id_type}, quality int, x array<double>")
-    found = drawn.groupBy("id", "quality", "x").count().limit(sample).toPandas().sort_values("id")  # equal rows count once
+    # of several rows with one id the one with the smallest statistics, so that there are at most ``sample`` and reruns agree
+    found = drawn.groupBy("id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("id")
     if not len(found):
         return train(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return train(np.array(found["x"].tolist()), found["quality"].to_numpy(dtype=float))
 
 
-def score_documents(documents: DataFrame, forest: Forest, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", carry: bool = False) -> DataFrame:
-    """Scores of every row: doc_id, score, predicted; ``carry`` keeps the given columns in their place and adds ``_score``."""
-    if carry:
-        rows = documents.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    else:
-        rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _score double"
+def _scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``rows`` (any columns, with ``body``, the text) with ``score`` in place of the text."""
+    schema = StructType([f for f in rows.schema.fields if f.name != "body"]).add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text", BATCH_BYTES):
-            score = pa.array(forest.score(statistics(batch["_text"])))
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, score], names=[*rest.schema.names, "_score"])
+        for batch in byte_batches(batches, "body", BATCH_BYTES):
+            score = pa.array(forest.score(statistics(batch["body"])))
+            rest = batch.drop_columns(["body"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, score], names=[*rest.schema.names, "score"])
 
-    scored = rows.mapInArrow(run, schema)
-    if carry:
-        return scored
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, schema)
+
+
+def score_documents(documents: DataFrame, forest: Forest, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Scores of every row: doc_id, held_out, score, predicted."""
+    scored = _scored(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")), forest)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_scored(documents: DataFrame, forest: Forest, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The documents with a score of ``threshold`` or more, with their columns."""
+    scored = _scored(nested(documents).withColumn("body", F.coalesce(field(text), F.lit(""))), forest)
+    return flat(scored.filter(F.col("score") >= threshold), documents.columns)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,4 +263,4 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def drop_rejected(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents predicted to be good, with their columns."""
-    return score_documents(documents, fit(documents, labels), threshold, carry=True).filter(F.col("_score") >= threshold).drop("_score")
+    return keep_scored(documents, fit(documents, labels), threshold)
