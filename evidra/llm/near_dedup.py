@@ -12,14 +12,21 @@ the earliest dart of each is the signature: two texts agree in a
 coordinate with the probability of their weighted Jaccard similarity. The
 weights of the query are 1, so that is the similarity of the sets.
 
-Texts with equal sets are one node. Nodes that agree in all four
-coordinates of a band share a bucket; of buckets with the same members one
-is kept. All nodes of a bucket are compared with each other exactly, on
-their whole sets: a bucket of more than ``TILE`` nodes is dealt into blocks
-of about that many, every two blocks meet in a task of their own, and one
-matrix product counts what all their sets share. A task returns a spanning
-forest of the links it found, at most one link per node, so no pair is
-lost and no list of pairs is written. Components of the links are classes.
+Texts with equal sets are one node, known by 128 bits of the set's digest.
+Nodes that agree in all four coordinates of a band share a bucket; of
+buckets with the same members one is kept. All nodes of a bucket are
+compared exactly, on their whole sets: one matrix product counts what all
+sets of a tile share, and a tile returns one link from each node to the
+smallest one that it hangs together with, so no list of pairs is written.
+
+A bucket of more than ``TILE`` nodes is dealt into blocks of about that
+many. Each block meets the same ``PIVOTS`` nodes of its bucket first. Nodes
+that hang together with the largest group of pivots are done: what else
+they are similar to is in that class already, or is itself left over. Those
+left over meet all blocks, so that no link between classes is lost, and a
+group of m near copies costs about m comparisons with pivots and m for each
+one left over, rather than m * m. Components of the links are classes, found
+by rounds of joining every node to the smallest in its neighbourhood.
 
 Two texts of similarity 0.8 miss all of the 20 bands with a probability of
 3e-5, more similar ones with less.
@@ -34,24 +41,28 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import byte_batches, cut, drop_cut
+from .common import byte_batches, cut, drop_cut, field, flat, join_groups, nested, places_for
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 BATCH_BYTES = 1 << 20
-#: Nodes of a bucket that meet in one block, and elements whose columns a product takes at a time.
+#: Nodes of a bucket that meet in one block, those that meet every block, and elements whose columns a product takes at a time.
 TILE = 256
+PIVOTS = 32
 COLUMNS = 4096
+#: Places that a shared bucket is dealt to where its nodes are looked up.
+PLACES = 16
 
 _U = np.uint64
 
@@ -159,7 +170,7 @@ def shingle_sets(texts: pa.Array, words_each: int = SHINGLE_WORDS) -> tuple[np.n
 
 
 def sketch(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, node (64 bits of the set's digest; null for an empty set), signature, and the set as 4-byte hashes."""
+    """Per row: doc_id, node (128 bits of the set's digest; null for an empty set), signature, and the set as 4-byte hashes."""
     k = bands * rows
     given = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
@@ -173,12 +184,12 @@ def sketch(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ban
             nodes, sets = [], []
             for start, stop in zip(begins[:-1], begins[1:], strict=True):
                 own = elements[start:stop]
-                nodes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None)
+                nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 sets.append(np.unique((own >> _U(32)).astype(np.uint32)).tobytes())
             flat = pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel().view(np.int32)), k).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), flat, pa.array(sets, pa.binary())], names=["doc_id", "node", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.binary()), flat, pa.array(sets, pa.binary())], names=["doc_id", "node", "signature", "shingles"])
 
-    return given.mapInArrow(run, f"doc_id {id_type}, node long, signature array<int>, shingles binary")
+    return given.mapInArrow(run, f"doc_id {id_type}, node binary, signature array<int>, shingles binary")
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -200,43 +211,57 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out
 
 
-def tile_links(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs between two blocks (``side`` 0 and 1) or in one (all 0)."""
+def tile_groups(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Per set the number of the first one that it hangs together with.
+
+    Links are looked for between the sets of ``side`` 0 and those of side
+    1, or among all sets if every side is 0.
+    """
     sizes = np.array([len(x) for x in sets], dtype=np.float32)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
-    if not len(left) or not len(right):
-        return []
-    both = _shared(sets, left, right)
     alike = np.zeros((len(sets), len(sets)), dtype=bool)
-    alike[np.ix_(left, right)] = both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-3
-    alike |= alike.T
-    unseen, links = np.ones(len(sets), dtype=bool), []
+    if len(left) and len(right):
+        both = _shared(sets, left, right)
+        alike[np.ix_(left, right)] = both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-3
+        alike |= alike.T
+    group = np.full(len(sets), -1)
     for root in range(len(sets)):
-        if not unseen[root]:
-            continue
-        unseen[root] = False
-        stack = [root]
-        while stack:
-            x = stack.pop()
-            new = np.flatnonzero(alike[x] & unseen)
-            unseen[new] = False
-            links += [(int(nodes[x]), int(nodes[y])) for y in new]
-            stack += new.tolist()
-    return links
+        if group[root] < 0:
+            group[root], stack = root, [root]
+            while stack:
+                new = np.flatnonzero(alike[stack.pop()] & (group < 0))
+                group[new] = root
+                stack += new.tolist()
+    return group
 
 
-def find_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar nodes of each bucket of ``members`` (bucket, node)."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"), F.expr("bit_xor(xxhash64(node, 1))").alias("z"))
-    # buckets with the same members are compared once
-    sizes = cut(sizes.groupBy("n", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "tiles")
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("node", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    filled = tiles.join(sets, "node")
+def _star(nodes: list[bytes], group: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """A link from the smallest node of every group to each other one."""
+    least: dict[int, bytes] = {}
+    for g, node in zip(group.tolist(), nodes, strict=True):
+        least[g] = min(node, least.get(g, node))
+    return list(dict.fromkeys((least[g], node) for g, node in zip(group.tolist(), nodes, strict=True) if node != least[g]))
+
+
+def _left_over(nodes: list[bytes], pivot: np.ndarray, group: np.ndarray) -> list[bytes]:
+    """Nodes that do not hang together with the largest group of pivots, which is the same in all blocks of a bucket.
+
+    Pivots are grouped by the links among themselves only, as other links
+    differ from block to block; the first of equally large groups counts,
+    by its smallest node.
+    """
+    return sorted({n for n, g in zip(nodes, group.tolist(), strict=True) if g != group[pivot]} - {nodes[pivot]})
+
+
+def compare_tiles(tiles: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within tiles of (bucket, i, j, side, node, pivot), and rows (a, null, bucket) for nodes left over.
+
+    Sides are as in ``tile_groups``. A tile with pivots compares all its
+    nodes; nodes left over are told of such tiles only.
+    """
     key = ["bucket", "i", "j"]
-    filled = filled.repartition(*key).sortWithinPartitions(*key)
+    filled = tiles.join(sets.hint("merge"), "node").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -263,82 +288,129 @@ def find_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         if not len(table):
             return
         edges = np.r_[edges_of(table), len(table)]
-        nodes, side, column = table["node"].to_numpy(), table["side"].to_numpy(), table["shingles"].combine_chunks()
-        links: list[tuple[int, int]] = []
+        bucket, side, pivot = table["bucket"].to_numpy(), table["side"].to_numpy(), table["pivot"].to_numpy()
+        nodes, column = table["node"].to_pylist(), table["shingles"].combine_chunks()
+        found: list[tuple[bytes, bytes | None, int | None]] = []
         for start, stop in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
             own = [np.frombuffer(column[i].as_buffer(), dtype=np.uint32) for i in range(start, stop)]
-            links += tile_links(nodes[start:stop], side[start:stop], own, similarity)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            group = tile_groups(own, side[start:stop], similarity)
+            found += [(a, b, None) for a, b in _star(nodes[start:stop], group)]
+            main = np.flatnonzero(pivot[start:stop])
+            if len(main):
+                # the largest group of pivots by their own links
+                among = tile_groups([own[i] for i in main], np.zeros(len(main), dtype=int), similarity)
+                names = [nodes[start + i] for i in main]
+                chief = max(range(len(main)), key=lambda i: (int((among == among[i]).sum()), [-x for x in names[i]]))
+                found += [(n, None, int(bucket[start])) for n in _left_over(nodes[start:stop], int(main[chief]), group)]
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "bucket"])
+
+    return filled.mapInArrow(run, "a binary, b binary, bucket long")
+
+
+def find_links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar nodes of each bucket of ``buckets`` (bucket, node).
+
+    ``sets_of`` gives (node, shingles) for a relation of nodes.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"), F.expr("bit_xor(xxhash64(1, node))").alias("z")).filter("n > 1")
+    # buckets with the same members are compared once
+    sizes = cut(sizes.groupBy("n", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "tiles")
+    many = sizes.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+    dealt = buckets.withColumn("place", F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(PLACES)).cast("int"))
+    members = dealt.join(many.hint("merge"), ["bucket", "place"]).drop("place")
+    members = cut(members.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")), "members")
+    sets = cut(sets_of(members.select("node").distinct()), "sets")
+    side = lambda n, pivot: (F.lit(n).alias("side"), F.lit(pivot).alias("pivot"))
+    whole = members.select("node", "bucket", F.col("block").alias("i"), F.lit(0).alias("j"), *side(0, False))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(3), "node"), "node"))
+    pivots = members.filter("blocks > 1").withColumn("nth", nth).filter(F.col("nth") <= PIVOTS)
+    pivots = pivots.select("node", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), *side(0, True))
+    first = cut(compare_tiles(whole.unionByName(pivots), sets, similarity), "found")
+    rest = first.filter("b IS NULL").select(F.col("a").alias("node"), "bucket").distinct()
+    links = first.filter("b IS NOT NULL").select("a", "b")
+    if not rest.isEmpty():
+        rest = cut(rest, "rest")
+        parts = cut(rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")).join(sizes, "bucket"), "parts")
+        lone = rest.join(parts, "bucket").withColumn("j", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
+        lone = lone.select("node", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "j", *side(0, False))
+        others = members.join(parts.select("bucket", "parts"), "bucket")
+        others = others.select("node", "bucket", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), *side(1, False))
+        links = links.unionByName(compare_tiles(lone.unionByName(others), sets, similarity).select("a", "b"))
+    links = cut(links.distinct(), "links")
+    drop_cut(sizes, members, sets, first)
+    return links
+
 
-    return filled.mapInArrow(run, "a long, b long")
+def _nearest(edges: DataFrame) -> DataFrame:
+    """One round of joining nodes to the smallest in their neighbourhood; ``edges`` (lo, hi) are distinct and lo < hi."""
+    both = edges.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(edges.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
+    least = both.groupBy("at").agg(F.min("to").alias("least")).select("at", F.least("at", "least").alias("least"))
+    # every larger neighbour goes to the smallest one, then all smaller ones do
+    large = both.filter("to > at").join(least.hint("merge"), "at").select(F.col("least").alias("lo"), F.col("to").alias("hi")).distinct()
+    root = large.groupBy("hi").agg(F.min("lo").alias("least"))
+    small = large.join(root.hint("merge"), "hi").filter("lo <> least").select(F.col("least").alias("lo"), F.col("lo").alias("hi"))
+    return small.unionByName(root.select(F.col("least").alias("lo"), "hi")).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (node, comp) after joining the components that ``links`` (a, b) connect.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of its component for every node of ``links`` (a, b) that is not itself the smallest.
 
-    Components are numbers; every round each component that has a smaller
-    neighbour takes the smallest, until no link leads outside.
+    A round is one written table; rounds end when a round changes nothing,
+    so that all links lead to roots.
     """
-    names = nodes.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    edges = links.join(names, "a").join(names.withColumnsRenamed({"a": "b", "ca": "cb"}), "b").select("ca", "cb")
-    edges = cut(edges.filter("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).distinct(), "links")
-    merged = None  # comp -> smallest component reached so far
-    while not edges.isEmpty():
-        parent = cut(edges.groupBy("hi").agg(F.min("lo").alias("lo")).withColumnsRenamed({"hi": "comp", "lo": "to"}), "parents")
-        # follow parents to their end: these are trees, each step halves their height
-        while True:
-            up = parent.select(F.col("comp").alias("to"), F.col("to").alias("top"))
-            jumped = cut(parent.join(up, "to", "left").select("comp", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")), "parents")
-            drop_cut(parent)
-            moved = not jumped.filter("moved").isEmpty()
-            parent = jumped
-            if not moved:
-                break
-        parent = parent.drop("moved")
-        to = parent.withColumnsRenamed({"comp": "_c", "to": "_t"})
-        if merged is None:
-            merged = parent
-        else:
-            merged = merged.join(to, merged["to"] == to["_c"], "left").select("comp", F.coalesce("_t", "to").alias("to")).unionByName(parent.join(merged.select("comp"), "comp", "left_anti"))
-            merged = cut(merged, "merged")
-        hop = lambda e, c: e.join(to.withColumnsRenamed({"_c": c, "_t": f"{c}_t"}), c, "left").withColumn(c, F.coalesce(f"{c}_t", c)).drop(f"{c}_t")
-        rest = hop(hop(edges, "lo"), "hi").filter("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct()
-        edges = cut(rest, "links")
-    if merged is None:
-        return nodes
-    return cut(nodes.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
+    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+    state = lambda e: e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(lo, hi))"), F.expr("bit_xor(xxhash64(1, lo, hi))")).first()
+    before = state(edges)
+    while before[0]:
+        new = cut(_nearest(edges), "edges")
+        drop_cut(edges)
+        edges, after = new, state(new)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept (whether it has the class's id)."""
     drawn = cut(sketch(documents, text, doc_id, bands, rows), "sketches")
+    named = drawn.filter("node IS NOT NULL")
+    # the smallest id, nulls last, and the number of rows of every node
+    nodes = cut(named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "nodes")
     band = lambda i: F.struct(F.lit(i).alias("i"), F.slice("signature", i * rows + 1, rows).alias("s"))
-    buckets = drawn.filter("node IS NOT NULL").select("node", F.explode(F.array(*(F.xxhash64(band(i)) for i in range(bands)))).alias("bucket"))
-    buckets = cut(buckets.distinct(), "buckets")
-    shared = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
-    members = cut(buckets.join(shared, "bucket"), "members")
-    # one row of each node that is in a bucket gives the set: the one with the smallest id
-    first = drawn.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    first = cut(members.select("node").distinct().join(first, "node"), "firsts")
-    # merged at every size: a broadcast that only small inputs allow would hide what large ones move
-    sets = drawn.join(first.hint("merge"), (drawn["node"] == first["node"]) & drawn["doc_id"].eqNullSafe(first["first_id"])).select(drawn["node"], "shingles")
-    sets = cut(sets.dropDuplicates(["node"]), "sets")
-    nodes = sets.select("node", F.col("node").alias("comp"))
-    links = cut(find_links(members, sets, similarity).distinct(), "found")
-    nodes = components(nodes, links)
-    named = drawn.select("doc_id", "node").join(nodes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per_node = named.filter("node IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    per_node = cut(per_node, "classes")
-    out = named.join(per_node, "comp", "left")
+    buckets = cut(nodes.select("node", F.explode(F.array(*(F.xxhash64(band(i)) for i in range(bands)))).alias("bucket")), "buckets")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        # one row of a node gives its set: a row with the smallest id; merged at every size, as a broadcast that only small inputs allow would hide what large ones move
+        first = nodes.select("node", F.col("least.doc_id").alias("first_id")).join(some.hint("merge"), "node", "left_semi").withColumnRenamed("node", "of")
+        found = named.join(first.hint("merge"), (named["node"] == first["of"]) & named["doc_id"].eqNullSafe(first["first_id"]))
+        return found.select("node", "shingles").dropDuplicates(["node"])
+
+    links = find_links(buckets, sets_of, similarity)
+    roots = components(links)
+    # nodes that hang together with others; all others are classes of their own
+    grouped = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "grouped")
+    named_nodes = nodes.select("node", "least", "n")
+    mine = cut(named_nodes.join(grouped.hint("merge"), "node"), "mine")
+    per_root = mine.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
+    shared = join_groups(mine.select("node", "root", F.xxhash64("node").alias("deal")), per_root, "root", "deal", places_for(mine, mine.count()))
+    others = named_nodes.join(grouped.select("node").hint("merge"), "node", "left_anti").select("node", "least", F.col("n").alias("class_size"))
+    classes = cut(shared.select("node", "least", "class_size").unionByName(others).select("node", F.col("least.doc_id").alias("class_id"), "class_size"), "classes")
+    drop_cut(grouped, mine)
+    drop_cut(nodes, buckets, links)
+    out = drawn.select("doc_id", "node").join(classes.hint("merge"), "node", "left")
+    alone = F.col("node").isNull()
     return out.select(
         "doc_id",
-        F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.when(F.col("comp").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
     )
 
 
 def drop_near_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each class, with its columns; documents without words all stay."""
-    stay = near_dedup(documents, text=text, doc_id=doc_id).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(stay, documents[doc_id].eqNullSafe(stay["_id"]), "left_semi")
+    stay = near_dedup(documents, text=text, doc_id=doc_id).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = nested(documents)
+    return flat(rows.join(stay.hint("merge"), field(doc_id).eqNullSafe(stay["id"]), "left_semi"), documents.columns)
