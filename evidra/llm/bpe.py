@@ -3,24 +3,27 @@
 Texts are split at white space, and a word of Latin letters that ends in
 common marks once more between letters and marks: the tokenizer's own
 splitting never joins these sides. Every distinct word of the corpus is
-encoded once (again at the border of two Arrow batches), and the ids are
-joined back to the places of the words. Decoding looks the ids up in the
-id-to-piece table of the vocabulary.
+encoded once (again at the border of two Arrow batches), its ids meet their
+pieces in a join with the id-to-piece table, and ids and pieces go back to
+the places of the word.
 
 A common word stands in very many texts, so places are not rows of their
 own: texts are dealt by a hash into blocks of about ``BLOCK_BYTES`` bytes,
 packed and compressed, a block asks for each of its distinct words once,
-and the answers meet its texts by block. A word that is a third of all
-places is one row per block. Neither words nor texts are broadcast; only
-the vocabulary, which is fixed, goes to every task.
+and the answers, packed alike, meet its texts by block. A word that is a
+third of all places is one row per block. Blocks are dealt to as many
+partitions as the session has, and a task takes its blocks one by one, so
+that a block is what it holds, however large the input. Neither words nor
+texts are broadcast; only the vocabulary, which is fixed, goes to every task.
 
 Decoding joins the pieces the way the tokenizers library does for a file
 without a decoder: with a blank between them. Special strings inside texts
 are read as the library reads them, since a word goes through it whole.
 
 Defined results: a null text counts as empty; a text without words has no
-ids and decodes to an empty text; rows alike are encoded one by one; ids
-are passed on unchanged; an empty table gives an empty table.
+ids and decodes to an empty text; rows alike are encoded one by one (those
+alike in id and text share a block); ids are passed on unchanged; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,10 @@ from .common import byte_batches, tokenizer_path
 #: Bytes of text in a block of texts, and in what a task works on at a time.
 BLOCK_BYTES = 32 << 20
 PART_BYTES = 1 << 20
-#: Partitions per block: blocks go by a hash, and with one each some tasks would get three.
-SPREAD = 4
 #: Words that are handed to the library at a time.
 WORDS = 20_000
+#: Places of words that are gathered before they are packed by block.
+PLACES = 400_000
 
 #: Letters that stay single letters when normalised, and marks that stay what they are.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -120,11 +123,85 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def _unpacked(payloads: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    """The batches of the payloads."""
     for payload in payloads:
         with pa.ipc.open_stream(payload.as_buffer()) as source:
             yield from source
 
 
+_ANSWER = pa.schema([("at", pa.int32()), ("ids", pa.list_(pa.uint32())), ("decoded", pa.string())])
+
+
+def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From sorted (block, at, word) to a row for each id of each distinct word of a batch.
+
+    ``nth`` numbers a task's rows. The first row of a word has its places,
+    pairs of block and at; a word without ids has one row with a null id.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, nth = _load(path), 0
+        for batch in batches:
+            words = batch["word"].dictionary_encode()
+            code = words.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            pairs = np.stack([batch["block"].to_numpy(), batch["at"].to_numpy()], axis=1).astype("<i4")[order]
+            edges = np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+            for start in range(0, len(words.dictionary), WORDS):
+                part = words.dictionary.slice(start, WORDS)
+                found = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]  # type: ignore[attr-defined]
+                flat = [i for ids in found for i in (ids or [None])]
+                number = np.array([max(1, len(ids)) for ids in found], dtype=np.int64)
+                places: list[bytes | None] = [None] * len(flat)
+                for i, at in enumerate((np.cumsum(number) - number).tolist(), start):
+                    places[at] = pairs[edges[i] : edges[i + 1]].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(nth, nth + len(flat))), pa.array(flat, pa.int32()), pa.array(places, pa.binary())], names=["nth", "id", "places"])
+                nth += len(flat)
+
+    return encode
+
+
+def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (nth, id, places, piece) to packed answers of blocks: at, ids and the pieces with blanks between."""
+    held: list[pa.RecordBatch] = []
+    size, before = 0, -1
+    for batch in batches:
+        nth = batch["nth"].to_numpy()
+        if len(nth) and (nth[0] != before + 1 or (np.diff(nth) != 1).any()):
+            raise ValueError("the ids of words are out of order")
+        before = int(nth[-1]) if len(nth) else before
+        held.append(batch)
+        size += (pc.sum(pc.binary_length(batch["places"])).as_py() or 0) // 8
+        if size >= PLACES:
+            table = pa.Table.from_batches(held).combine_chunks()
+            # the last word may go on in the next batch
+            last = int(np.flatnonzero(table["places"].is_valid().to_numpy())[-1])
+            yield from _packed_by_block(table.slice(0, last))
+            held, size = table.slice(last).to_batches(), 0
+    if held:
+        yield from _packed_by_block(pa.Table.from_batches(held).combine_chunks())
+
+
+def _packed_by_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not len(table):
+        return
+    starts = np.r_[np.flatnonzero(table["places"].is_valid().to_numpy()), len(table)]
+    some = table["id"].is_valid().to_numpy()
+    offsets = np.r_[0, np.cumsum(some)][starts].astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), table["id"].combine_chunks().drop_null().cast(pa.uint32()))
+    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), table["piece"].combine_chunks().filter(pa.array(some))), " ")
+    places = table["places"].drop_null().to_pylist()
+    pairs = np.frombuffer(b"".join(places), dtype="<i4").reshape(-1, 2)
+    word = np.repeat(np.arange(len(places)), [len(p) // 8 for p in places])
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    block, at, word = pairs[order, 0], pairs[order, 1], word[order]
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rows = pa.array(word[a:b])
+        payload = _packed(pa.RecordBatch.from_arrays([pa.array(at[a:b]), ids.take(rows), decoded.take(rows)], schema=_ANSWER))
+        yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+
 def encode_documents(documents: DataFrame, model: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (little-endian binary), decoded."""
     return _encode(documents, model, text, doc_id, digests=False)
@@ -153,7 +230,7 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
                 yield pa.RecordBatch.from_arrays([pa.array([number[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     # one shuffle of the texts serves the asking and the answering below
-    dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition(SPREAD * blocks, "block")
+    dealt = rows.withColumn("block", block).mapInArrow(pack, "block int, payload binary").repartition("block")
 
     def ask(key: tuple, packed: pa.Table) -> pa.Table:
         parts = [Words(batch["text"]).units for batch in byte_batches(_unpacked(packed["payload"]), "text", PART_BYTES)]
@@ -162,22 +239,13 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
         return pa.table({"block": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(units)), "at": pa.array(np.arange(len(units), dtype=np.int32)), "word": units})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, at int, word string")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        for batch in batches:
-            words = batch["word"].dictionary_encode()
-            ids: list[bytes] = []
-            for start in range(0, len(words.dictionary), WORDS):
-                found = tokenizer.encode_batch_fast(words.dictionary.slice(start, WORDS).to_pylist(), add_special_tokens=False)  # type: ignore[attr-defined]
-                ids += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["at"], pa.array(ids, pa.binary()).take(words.indices)], names=["block", "at", "ids"])
-
-    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block int, at int, ids binary")
+    ids = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), "nth long, id int, places binary")
+    # as many rows as the vocabulary has, whatever the input
+    decoded = ids.join(F.broadcast(piece_table(documents.sparkSession, path)), "id", "left").select("nth", "id", "places", "piece")
+    answers = decoded.mapInArrow(_pack_answers, "block int, payload binary")
 
     schema = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
-    pieces = piece_array(path)
 
     def place(packed: pa.Table, known: pa.Table) -> pa.Table:
         out: list[list[pa.Array]] = [[], [], [], []]
@@ -194,14 +262,15 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
         rank[pc.sort_indices(units.dictionary).to_numpy()] = np.arange(len(rank))
         number_of = rank[units.indices.to_numpy()]
         del units
-        order = np.argsort(known["at"].to_numpy(), kind="stable")
-        if len(order) != len(rank):
+        answer = pa.Table.from_batches(_unpacked(known["payload"]), _ANSWER).combine_chunks()
+        answer = answer.take(pc.sort_indices(answer["at"]))
+        if not np.array_equal(answer["at"].to_numpy(), np.arange(len(rank))):
             raise ValueError("a block's answers do not match its words")
-        column = known["ids"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
-        size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(x.as_buffer() for x in column), dtype="<u4")
-        piece = pa.array(pieces, pa.string())
+        lists = answer["ids"].combine_chunks()
+        begin, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        begin, size = begin[:-1], np.diff(begin)
+        pieces = answer["decoded"].combine_chunks()
+        del answer, lists
         first = 0
         for (doc_ids, codes, starts), own in zip(parts, numbers, strict=True):
             code = number_of[first : first + own][codes]
@@ -210,7 +279,10 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
             ends = np.r_[0, np.cumsum(number)]
             ids = flat[np.repeat(begin[code] - ends[:-1], number) + np.arange(ends[-1])]
             bounds = ends[starts]
-            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), piece.take(pa.array(ids))), " ")
+            # words that have no ids leave no blank
+            some = number > 0
+            spots = np.r_[0, np.cumsum(some)][starts]
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(spots.astype(np.int32)), pieces.take(pa.array(code[some]))), " ")
             raw = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             out[0].append(doc_ids)
             out[1].append(pa.array(np.diff(bounds), pa.int64()))
