@@ -10,6 +10,8 @@ once. Only lengths leave the Arrow function.
   safe if no piece of the model has the blank's mark behind another
   character, and the model puts a blank before a text and leaves white
   space alone. Both are read from the model; otherwise texts stay whole.
+  Next to the mark itself, and to what the model's normaliser turns into it,
+  a blank is no boundary, since there are pieces of several marks.
 * tokenizers files: texts stay whole.
 
 Defined results: a null text counts as empty; an empty text has no tokens;
@@ -39,41 +41,45 @@ PIECES = 50_000
 _MARK = "▁"
 
 
-def _blank_is_safe(processor: object) -> bool:
-    """Whether tokens(a + " " + b) = tokens(a) + tokens(b) where a ends and b begins with another character."""
-    if any(_MARK in processor.id_to_piece(i).lstrip(_MARK) for i in range(processor.get_piece_size())):  # type: ignore[attr-defined]
-        return False
-    probe = lambda text: processor.encode(text, out_type=str)  # type: ignore[attr-defined]
-    kept = "".join(probe("  a  b ")) == f"{_MARK * 3}a{_MARK * 2}b{_MARK}"
-    return kept and probe("a b") == probe("a") + probe("b")
+def blanks_of(path: str) -> str | None:
+    """The characters that the tokenizer treats as a blank, the blank first, if single blanks are safe boundaries; else null.
 
+    Safe means that tokens(a + " " + b) = tokens(a) + tokens(b) where a ends
+    and b begins with another character than these.
+    """
+    if not path.endswith(".model"):
+        return None
+    import sentencepiece
 
-def load_lengths(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
-    """A function from texts to numbers of tokens, and whether single blanks are safe boundaries."""
+    processor = sentencepiece.SentencePieceProcessor(model_file=path)
+    if any(_MARK in processor.id_to_piece(i).lstrip(_MARK) for i in range(processor.get_piece_size())):
+        return None
+    probe = lambda text: processor.encode(text, out_type=str)
+    if "".join(probe("  a  b ")) != f"{_MARK * 3}a{_MARK * 2}b{_MARK}" or probe("a b") != probe("a") + probe("b"):
+        return None
+    points = (chr(i) for i in range(33, 0x110000) if not 0xD800 <= i < 0xE000)
+    return " " + "".join(c for c in points if _MARK in processor.normalize(f"a{c}b").lstrip(_MARK))
+
+
+def load_lengths(path: str) -> Callable[[list[str]], list[int]]:
+    """A function from texts to numbers of tokens."""
     if path.endswith(".model"):
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def lengths(texts: list[str]) -> list[int]:
-            return [len(ids) for ids in processor.encode(texts, num_threads=1)]
-
-        return lengths, _blank_is_safe(processor)
+        return lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)], False
-
-
-_SAFE = re.compile(r"(?<=[^ ]) (?=[^ ])")
+    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-def count_batch(texts: pa.Array, lengths: Callable[[list[str]], list[int]], safe: bool) -> np.ndarray:
-    """Numbers of tokens of the texts of one batch."""
-    if not safe:
+def count_batch(texts: pa.Array, lengths: Callable[[list[str]], list[int]], blanks: str | None) -> np.ndarray:
+    """Numbers of tokens of the texts of one batch; ``blanks`` as from ``blanks_of``."""
+    if blanks is None:
         out: list[int] = []
         for text in texts.to_pylist():
             out += lengths([text])
@@ -81,8 +87,10 @@ def count_batch(texts: pa.Array, lengths: Callable[[list[str]], list[int]], safe
     split = pc.split_pattern(texts, " ")
     words = split.flatten().dictionary_encode()
     owner = pc.list_parent_indices(split).to_numpy()
-    # an empty word next to a blank marks a run of blanks, or one at an end: such texts are split more carefully
+    # an empty word next to a blank marks a run of blanks, or one at an end: such texts are split more carefully, as are those with other blanks
     odd = np.zeros(len(texts), dtype=bool)
+    if blanks[1:]:
+        odd |= pc.match_substring_regex(texts, f"[{re.escape(blanks[1:])}]").to_numpy(zero_copy_only=False)
     empty = words.dictionary.index("").as_py()
     codes = words.indices.to_numpy()
     if empty >= 0:
@@ -96,8 +104,9 @@ def count_batch(texts: pa.Array, lengths: Callable[[list[str]], list[int]], safe
         known[part] = lengths(words.dictionary.take(pa.array(part)).to_pylist())
     counts = np.bincount(owner, weights=known[codes] * ~odd[owner], minlength=len(texts)).astype(np.int64)
     memo: dict[str, int] = {"": 0}
+    safe = re.compile(f"(?<=[^{re.escape(blanks)}]) (?=[^{re.escape(blanks)}])")
     for i in np.flatnonzero(odd):
-        pieces = _SAFE.split(texts[i].as_py())
+        pieces = safe.split(texts[i].as_py())
         new = [p for p in dict.fromkeys(pieces) if p not in memo]
         memo.update(zip(new, lengths(new), strict=True))
         counts[i] = sum(map(memo.__getitem__, pieces))
@@ -109,13 +118,14 @@ def count_tokens(documents: DataFrame, model: str | None = None, limit: int = 40
     path = model or tokenizer_path("piece_bpe_32k.model")
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    blanks = blanks_of(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, safe = load_lengths(path)
+        lengths = load_lengths(path)
         for batch in byte_batches(batches, "text", BATCH_BYTES):
             texts = batch["text"]
             sizes = pc.cast(pc.binary_length(texts), pa.int64())
-            tokens = pa.array(count_batch(texts, lengths, safe))
+            tokens = pa.array(count_batch(texts, lengths, blanks))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, tokens, pc.greater(tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(count, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
