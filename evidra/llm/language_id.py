@@ -10,9 +10,9 @@ Words are runs of letters, in lower case, encoded as UTF-8. In a batch of
 texts each distinct word is scored once, and all words of about the same
 length go through the algorithm together.
 
-Training takes at most ``SAMPLE`` texts of each language, those with the
-smallest hashes of their id, from rows that are not held out; scoring
-takes every row and its whole text. Language, source and id are never
+Training takes at most ``SAMPLE`` documents of each language, those with the
+smallest hashes of their id, from rows that are not held out, and all words
+of their whole texts (one text an id); scoring takes every row and its whole text. Language, source and id are never
 inputs of a prediction.
 
 Defined results: a text that is null or has no letter is ``und`` with
@@ -237,38 +237,78 @@ class Languages:
         return [self.names[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
+def estimate(words: pa.Array, count: np.ndarray, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities of one language from its words and how often each occurs."""
+    probability = np.full(len(pieces.keys), 1 / len(pieces.keys))
+    for _ in range(rounds):
+        uses = np.full(len(pieces.keys), 0.01)  # every piece stays possible in every language
+        for part, matrix, width in _groups(words):
+            uses += _expected(matrix, width, pieces, probability, count[part].astype(float))
+        probability = uses / uses.sum()
+    return probability
+
+
+def languages_of(tables: dict[str, np.ndarray], pieces: Pieces) -> Languages:
+    names = sorted(tables)
+    table = np.stack([tables[n] for n in names], axis=1) if names else np.zeros((len(pieces.keys), 0))
+    return Languages(names, pieces, np.r_[table, np.zeros((1, table.shape[1]))])
+
+
+def count_words(texts: pa.Array, langs: pa.Array) -> pa.Table:
+    """(lang, word, n): how often each word occurs in the texts of each language."""
+    words, codes, owner = words_of(texts)
+    kinds = langs.dictionary_encode()
+    kind = kinds.indices.to_numpy()[owner] if len(codes) else np.zeros(0, dtype=np.int64)
+    keys, number = np.unique(kind.astype(np.int64) * max(1, len(words)) + codes, return_counts=True)
+    return pa.table({"lang": kinds.dictionary.take(pa.array(keys // max(1, len(words)))), "word": words.take(pa.array(keys % max(1, len(words)))), "n": pa.array(number, pa.int64())})
+
+
 def learn(texts: list[str], langs: list[str], pieces: Pieces, rounds: int = ROUNDS) -> Languages:
     """Piece probabilities of every language from its texts."""
-    names = sorted(set(langs))
-    columns = []
-    for name in names:
-        words, codes, _ = words_of(pa.array([t for t, x in zip(texts, langs, strict=True) if x == name], pa.string()))
-        count = np.bincount(codes, minlength=len(words)).astype(float)
-        probability = np.full(len(pieces.keys), 1 / len(pieces.keys))
-        for _ in range(rounds):
-            uses = np.full(len(pieces.keys), 0.01)  # every piece stays possible in every language
-            for part, matrix, width in _groups(words):
-                uses += _expected(matrix, width, pieces, probability, count[part])
-            probability = uses / uses.sum()
-        columns.append(probability)
-    table = np.stack(columns, axis=1) if columns else np.zeros((len(pieces.keys), 0))
-    return Languages(names, pieces, np.r_[table, np.zeros((1, table.shape[1]))])
+    counted = count_words(pa.array(texts, pa.string()), pa.array(langs, pa.string()))
+    own = {lang: counted.filter(pc.equal(counted["lang"], lang)).sort_by("word").combine_chunks() for lang in set(langs)}
+    return languages_of({lang: estimate(t["word"].combine_chunks(), t["n"].to_numpy(), pieces, rounds) for lang, t in own.items()}, pieces)
+
+
+def training_ids(documents: DataFrame, sample: int, doc_id: str, lang: str) -> DataFrame:
+    """(id, lang) of at most ``sample`` documents of each language that are not held out, those with the smallest hashes.
+
+    Only ids whose hash is among the smallest for their language, by twice
+    the share that is wanted and some more, are ever sorted together.
+    """
+    ids = documents.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL")
+    ids = ids.filter(~held_out(F.col("id"))).distinct().withColumn("hash", F.xxhash64("id"))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # the languages are the classes of the model, whose table goes to all tasks anyway
+    share = ids.join(F.broadcast(sizes), "lang").filter((F.col("hash").cast("double") + 2.0**63) / 2.0**64 * F.col("n") < 2 * sample + 50)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    return share.withColumn("nth", nth).filter(F.col("nth") <= sample).select("id", "lang")
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Languages:
-    """Languages from at most ``sample`` texts each, of rows that are not held out."""
+    """Languages from at most ``sample`` documents each, of rows that are not held out.
+
+    Words are counted where the texts are; a task then estimates a language
+    from the words and their numbers, and only the tables reach the driver.
+    """
     pieces = Pieces.of(load_pieces(vocabulary or tokenizer_path("byte_bpe_multi_50k.tiktoken")))
-    rows = documents.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).filter("_lang IS NOT NULL AND _id IS NOT NULL")
-    rows = rows.filter(~held_out(F.col("_id")))
-    # the smallest hashes of each language; ranges first, so that a language of very many rows is never sorted in one task
-    rows = rows.withColumn("_hash", F.xxhash64("_id")).withColumn("_part", F.pmod("_hash", F.lit(64))).repartition("_lang", "_part")
-    order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    parts = Window.partitionBy("_lang", "_part").orderBy("_hash", "_id")
-    few = rows.withColumn("_n", F.row_number().over(parts)).filter(F.col("_n") <= sample)
-    chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).select("_id", F.col("_lang").alias("_l")).distinct()
-    found = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    found = found.join(F.broadcast(chosen), "_id").filter("_lang = _l").select("_id", "_lang", "_text").distinct().orderBy("_id", "_lang", "_text").toPandas()
-    return learn([t or "" for t in found["_text"]], found["_lang"].tolist(), pieces)
+    chosen = training_ids(documents, sample, doc_id, lang).withColumnRenamed("lang", "of")
+    found = documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
+    # at most ``sample`` ids a language; of several texts of one id the one with the smallest hash
+    found = found.join(F.broadcast(chosen), "id").filter("lang = of").groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text", BATCH_BYTES):
+            yield from count_words(batch["text"], batch["lang"]).to_batches()
+
+    def learn_one(given: pa.Table) -> pa.Table:
+        ordered = given.sort_by("word").combine_chunks()
+        table = estimate(ordered["word"].combine_chunks(), ordered["n"].to_numpy(), pieces)
+        return pa.table({"lang": [given["lang"][0].as_py()], "probability": pa.array([table.tobytes()], pa.binary())})
+
+    counted = found.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    learned = counted.groupBy("lang").applyInArrow(learn_one, "lang string, probability binary").collect()
+    return languages_of({r.lang: np.frombuffer(bytes(r.probability)) for r in learned}, pieces)
 
 
 def identify(documents: DataFrame, languages: Languages | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
