@@ -60,9 +60,45 @@ def test_tiles_find_every_link_of_a_large_bucket():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**32, 100, dtype=np.uint32)
     sets = [np.unique(np.r_[base[: 100 - i % 12], rng.integers(0, 2**32, i % 12, dtype=np.uint32)]) for i in range(60)]
-    links = near_dedup.tile_links(np.arange(60), np.zeros(60, dtype=int), sets, 0.8)
+    group = near_dedup.tile_groups(sets, np.zeros(60, dtype=int), 0.8)
     want = sum(len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for x, y in combinations(sets, 2))
-    assert want > 60 and len(links) < 60 and len({x for link in links for x in link}) == 60
+    assert want > 60 and not group.any()
+    links = near_dedup._star([bytes([59 - i]) for i in range(60)], group)
+    assert sorted(links) == [(b"\0", bytes([i])) for i in range(1, 60)]
+    two = near_dedup.tile_groups([base, base[:90], base[:85], base[5:]], np.array([0, 1, 1, 0]), 0.8)
+    assert two.tolist() == [0, 0, 0, 0]
+    assert near_dedup.tile_groups([base, base[:50], base[50:]], np.array([0, 1, 1]), 0.8).tolist() == [0, 1, 2]
+
+
+def chains(n):
+    """Texts of which neighbours are near copies, so that the ends of a chain are unlike: they all hang together only through those between."""
+    words = [f"w{i}" for i in range(100 + 2 * n)]
+    return [" ".join(words[2 * i : 2 * i + 100]) for i in range(n)]
+
+
+def test_blocks_and_nodes_left_over_lose_no_link(spark, monkeypatch):
+    texts = chains(70) + [t + " and more" for t in chains(70)[:30]] + [f"quite another text number {i} with words of its own" for i in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
+    want = brute_classes(dict(enumerate(texts)))
+    assert len(set(want.values())) == 11
+    drawn = near_dedup.sketch(rows).cache()
+    names = {bytes(r.node): r.doc_id for r in drawn.collect()}
+    buckets = drawn.selectExpr("node", "explode(array(1L, 2L)) AS bucket")  # all nodes in one bucket, twice
+    links = near_dedup.find_links(buckets, lambda some: drawn.join(some, "node", "left_semi").select("node", "shingles"), 0.8)
+    roots = {bytes(r.node): bytes(r.root) for r in near_dedup.components(links).collect()}
+    found = {i: roots.get(n, n) for n, i in names.items()}
+    assert all((found[i] == found[j]) == (want[i] == want[j]) for i, j in combinations(found, 2))
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(rows).collect()} == want
+
+
+def test_components_of_long_chains(spark):
+    pairs = [(bytes([i // 256, i % 256]), bytes([(i + 1) // 256, (i + 1) % 256])) for i in range(300) if i % 100 != 99]
+    links = spark.createDataFrame(pairs, "a binary, b binary")
+    found = {int.from_bytes(r.node): int.from_bytes(r.root) for r in near_dedup.components(links).collect()}
+    assert found == {i: i // 100 * 100 for i in range(301) if i % 100 and i < 300}
+    assert near_dedup.components(links.limit(0)).count() == 0
 
 
 def test_quality(spark, sf, odd, empty):
@@ -76,7 +112,7 @@ def test_quality(spark, sf, odd, empty):
     assert len(out) == odd.count() and out.score.between(0, 1).all()
     assert quality.classify(empty, labels).count() == 0
     assert quality.classify(odd, labels.limit(0)).toPandas().score.eq(0.5).all()
-    assert quality.score_documents(odd, forest, carry=True).columns == [*odd.columns, "_score"]
+    assert quality.keep_scored(odd, forest, 0.0).columns == odd.columns and quality.keep_scored(odd, forest, 0.0).count() == odd.count()
 
 
 def test_trees_fit_what_lines_cannot():
@@ -143,9 +179,14 @@ def test_token_counts(documents, odd, empty):
         texts = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in frame.collect())
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame).collect()) == texts
     assert token_counts.count_tokens(empty).count() == 0
-    lengths, safe = token_counts.load_lengths(tokenizer_path("piece_bpe_32k.model"))
-    strange = ["", " ", "a  b", " a b ", "a\n b", "x▁y z", "<s> a </s>", "　a b", "é è  ", "tab\t tab"]
-    assert safe and token_counts.count_batch(pa.array(strange), lengths, safe).tolist() == [len(library.encode(t)) for t in strange]
+    path = tokenizer_path("piece_bpe_32k.model")
+    lengths, blanks = token_counts.load_lengths(path), token_counts.blanks_of(path)
+    assert blanks == " ▁" and token_counts.blanks_of(tokenizer_path("word_bpe_49k.json")) is None
+    strange = ["", " ", "a  b", " a b ", "a\n b", "x▁y z", "▁ 1", "▁ ▁", "a ▁ b", "<s> a </s>", "　a b", "é è  ", "tab\t tab"]
+    rng = np.random.default_rng(11)
+    bits = [" ", "▁", "  ", "a", "1", "the", "\u3000", "\n", "é", "<s>", "。", "\u00a0", "\U0001f600", "\u200b", "▁▁▁", "."]
+    strange += ["".join(rng.choice(bits, size)) for size in rng.integers(1, 12, 20_000)]
+    assert token_counts.count_batch(pa.array(strange), lengths, blanks).tolist() == [len(library.encode(t)) for t in strange]
 
 
 def test_bpe(documents, odd, empty):

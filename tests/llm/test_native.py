@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evidra.llm import exact_dedup, line_dedup, mixing, queries, sharding
+from evidra.llm import exact_dedup, line_dedup, mixing, quality, queries, sharding
 
 
 def same(frame, other):
@@ -42,11 +44,48 @@ def test_exact_dedup(odd, empty):
 
 
 def test_tree_has_no_effect_on_the_result(documents):
-    a = exact_dedup.exact_dedup(documents, leaves=4096, fan_in=16).toPandas()
-    b = exact_dedup.exact_dedup(documents, leaves=8, fan_in=2).toPandas()
+    a = exact_dedup.exact_dedup(documents, digits=16, rounds=3).toPandas()
+    b = exact_dedup.exact_dedup(documents, digits=2, rounds=3).toPandas()
     assert same(a, b)
 
 
+def test_runs_merge_level_by_level(documents):
+    rows = exact_dedup.digest_rows(documents, digits=2, rounds=3)
+    run = exact_dedup.first_runs(rows)
+    given = Counter(bytes(r.digest) for r in rows.collect())
+    start = {(r.piece, bytes(r.digest)) for r in rows.select("piece", "digest").collect()}
+    counts = [run.count()]
+    assert counts == [len(start)]
+    for level in range(3):
+        run = exact_dedup.exchange(run, level, 2)
+        plan = run._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" in plan and "HashAggregate" not in plan.split("Exchange")[0]
+        found = run.collect()
+        counts.append(len(found))
+        # a run now has one row per digest, in the piece that the digest's digits name: runs that still differ do so in higher digits
+        assert len({(r.piece >> (level + 1), bytes(r.digest)) for r in found}) == len(found)
+        assert len(found) == len({(p >> (level + 1), d) for p, d in start})
+    assert counts[-1] == len(given) < counts[0] and counts == sorted(counts, reverse=True)
+    assert {bytes(r.digest): r.group_size for r in found} == given
+
+
+def test_a_large_group_of_copies(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 1 THEN 'same  text' ELSE concat('own ', id) END AS text", "'s' AS source")
+    found = {r.doc_id: r for r in exact_dedup.exact_dedup(rows).collect()}
+    assert len(found) == 3000 and found[7].keep_id == 1 and found[7].group_size == 1000 and found[1].kept and not found[4].kept
+    assert exact_dedup.drop_copies(rows).count() == 2001
+    shards = sharding.assign_shards(rows.selectExpr("7L AS doc_id", "text"), shards=5).collect()  # one key for all rows
+    assert len({r.shard for r in shards}) == 1 and sorted(r.slot for r in shards) == list(range(3000))
+
+
+def test_rows_alike_in_id_and_text_give_the_same_one_again(spark):
+    rows = [(1, "a  b", f"s{i}", {"k": i}) for i in range(20)]
+    schema = "doc_id long, text string, source string, m map<string,int>"
+    once = [tuple(r) for r in exact_dedup.drop_copies(spark.createDataFrame(rows, schema)).collect()]
+    again = [tuple(r) for r in exact_dedup.drop_copies(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()]
+    assert once == again and len(once) == 1
+
+
 def test_sharding(odd, empty):
     rows = sharding.assign_shards(odd, shards=3).collect()
     assert len(rows) == odd.count() and sharding.assign_shards(empty).count() == 0
@@ -118,3 +157,39 @@ def test_line_dedup_of_short_lines(spark):
     docs = spark.createDataFrame([(1, f"first\n{words}"), (2, f"second\n{words}\nend"), (3, "ok"), (4, "ok"), (5, "a\nb"), (6, "a\nb")], "doc_id long, text string")
     out = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
     assert out == {1: (0, f"first\n{words}"), 2: (60, "second\nend"), 3: (0, "ok"), 4: (1, ""), 5: (0, "a\nb"), 6: (2, "")}
+
+
+def test_unequal_windows_with_the_same_first_hash_stay_apart(spark):
+    rows = spark.createDataFrame([(i, f"line {i}\nnext {i}\nlast {i}") for i in range(50)], "doc_id long, text string")
+    found = line_dedup.windows(rows).collect()
+    assert len({r.w2 for r in found}) == 50
+    # the second hash does not follow from the first
+    again = spark.createDataFrame([(r.w1, r.w2) for r in found], "w1 long, w2 long").selectExpr("xxhash64(w1) AS a", "w2", "xxhash64(1, w1) AS b", "xxhash64(w1, 1) AS c").collect()
+    assert not any(r.w2 in (r.a, r.b, r.c) for r in again)
+    # and where the first hash agrees, the others still tell windows apart
+    same_first = line_dedup.repeated_windows(spark.createDataFrame([(i, 0, 0, 7, i, 20) for i in range(9)] + [(9, 0, 0, 7, 3, 20), (10, 0, 0, 7, 3, 21)], "doc_id long, crc long, line int, w1 long, w2 long, n_bytes long"))
+    assert [(r.w2, r.n_bytes) for r in same_first.collect()] == [(3, 20)]
+
+
+#: Every name that an operator of this part uses inside, as a caller's column.
+INNER = [
+    "row", "sha", "keep", "piece", "digest", "n_bytes", "check", "text_sha256", "keep_id", "kept", "crc", "lines", "line", "w1", "w2", "first", "covered", "raw", "places", "gone", "part", "_spread", "_deal", "_group",
+    "times", "copy", "taken", "size", "start", "goal", "slot", "rank", "words", "target", "source_no", "_text", "_score", "_id", "_of", "_raw", "_crc", "_places", "_gone", "_sha", "_times", "_copy", "n_lines", "n_removed", "quality", "node", "class_id",
+]
+
+
+def test_columns_with_the_names_of_working_columns_pass_through(spark, odd):
+    rows = odd.select("doc_id", "text", "source", "lang", *(F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in INNER))
+    given = {r.doc_id: r.asDict() for r in rows.collect()}
+    forest = quality.train(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    from evidra.llm import near_dedup
+
+    for frame in (exact_dedup.drop_copies(rows), mixing.apply_mix(rows), near_dedup.drop_near_copies(rows), quality.keep_scored(rows, forest, 0.0)):
+        assert frame.columns == rows.columns
+        found = frame.collect()
+        assert found and all(r.asDict() == given[r.doc_id] for r in found)
+    lines = line_dedup.dedup_lines(rows)
+    assert lines.columns == [*(c for c in rows.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    skip = {"text", "n_lines", "n_removed"}
+    found = lines.collect()
+    assert len(found) == rows.count() and all({k: v for k, v in r.asDict().items() if k not in skip} == {k: v for k, v in given[r.doc_id].items() if k not in skip} for r in found)
