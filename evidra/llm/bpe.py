@@ -3,9 +3,9 @@
 Texts are split at white space, and a word of Latin letters that ends in
 common marks once more between letters and marks: the tokenizer's own
 splitting never joins these sides. Every distinct word of the corpus is
-encoded once (again at the border of two Arrow batches), its ids meet their
-pieces in a join with the id-to-piece table, and ids and pieces go back to
-the places of the word.
+encoded once (again at the border of two Arrow batches). The ids that a task
+came upon meet their pieces in a join with the id-to-piece table; with these
+its words are decoded, and ids and decoded words go back to their places.
 
 A common word stands in very many texts, so places are not rows of their
 own: texts are dealt by a hash into blocks of about ``BLOCK_BYTES`` bytes,
@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ PART_BYTES = 1 << 20
 #: Words that are handed to the library at a time.
 WORDS = 20_000
 #: Places of words that are gathered before they are packed by block.
-PLACES = 400_000
+PLACES = 200_000
 
 #: Letters that stay single letters when normalised, and marks that stay what they are.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -133,73 +134,68 @@ _ANSWER = pa.schema([("at", pa.int32()), ("ids", pa.list_(pa.uint32())), ("decod
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted (block, at, word) to a row for each id of each distinct word of a batch.
+    """From sorted (block, at, word) to a task's words, packed, and its distinct ids, one a row.
 
-    ``nth`` numbers a task's rows. The first row of a word has its places,
-    pairs of block and at; a word without ids has one row with a null id.
+    A payload has a row per distinct word of a batch: its ids, and the
+    blocks that ask for it with its number there.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, nth = _load(path), 0
+        tokenizer, part, used = _load(path), TaskContext.get().partitionId(), np.zeros(0, dtype=bool)  # type: ignore[union-attr]
         for batch in batches:
             words = batch["word"].dictionary_encode()
-            code = words.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            pairs = np.stack([batch["block"].to_numpy(), batch["at"].to_numpy()], axis=1).astype("<i4")[order]
-            edges = np.searchsorted(code[order], np.arange(len(words.dictionary) + 1))
+            found = []
             for start in range(0, len(words.dictionary), WORDS):
-                part = words.dictionary.slice(start, WORDS)
-                found = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]  # type: ignore[attr-defined]
-                flat = [i for ids in found for i in (ids or [None])]
-                number = np.array([max(1, len(ids)) for ids in found], dtype=np.int64)
-                places: list[bytes | None] = [None] * len(flat)
-                for i, at in enumerate((np.cumsum(number) - number).tolist(), start):
-                    places[at] = pairs[edges[i] : edges[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(nth, nth + len(flat))), pa.array(flat, pa.int32()), pa.array(places, pa.binary())], names=["nth", "id", "places"])
-                nth += len(flat)
+                given = words.dictionary.slice(start, WORDS).to_pylist()
+                found += [e.ids for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)]  # type: ignore[attr-defined]
+            ids = pa.array(found, pa.list_(pa.uint32()))
+            flat = ids.flatten().to_numpy()
+            used = np.pad(used, (0, max(0, int(flat.max(initial=0)) + 1 - len(used))))
+            used[flat] = True
+            code = words.indices.to_numpy()
+            order = pa.array(np.argsort(code, kind="stable"))
+            edges = pa.array(np.searchsorted(code[order.to_numpy()], np.arange(len(words.dictionary) + 1)).astype(np.int32))
+            blocks, ats = (pa.ListArray.from_arrays(edges, batch[c].take(order)) for c in ("block", "at"))
+            payload = _packed(pa.RecordBatch.from_arrays([ids, blocks, ats], names=["ids", "blocks", "ats"]))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([payload], pa.binary()), pa.array([None], pa.int32())], names=["part", "payload", "id"])
+        seen = np.flatnonzero(used).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part, pa.int32()), len(seen)), pa.nulls(len(seen), pa.binary()), pa.array(seen)], names=["part", "payload", "id"])
 
     return encode
 
 
-def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (nth, id, places, piece) to packed answers of blocks: at, ids and the pieces with blanks between."""
+def _decode(part: pa.Table) -> pa.Table:
+    """Packed answers of blocks (at, ids, and the pieces with blanks between) from one task's words and the pieces of its ids."""
+    known = part.filter(pc.is_valid(part["id"]))
+    place_of = np.zeros(int(pc.max(known["id"]).as_py() or 0) + 1 if len(known) else 1, dtype=np.int64)
+    place_of[known["id"].to_numpy()] = np.arange(len(known))
+    piece = known["piece"].combine_chunks()
     held: list[pa.RecordBatch] = []
-    size, before = 0, -1
-    for batch in batches:
-        nth = batch["nth"].to_numpy()
-        if len(nth) and (nth[0] != before + 1 or (np.diff(nth) != 1).any()):
-            raise ValueError("the ids of words are out of order")
-        before = int(nth[-1]) if len(nth) else before
-        held.append(batch)
-        size += (pc.sum(pc.binary_length(batch["places"])).as_py() or 0) // 8
+    out: list[tuple[int, bytes]] = []
+    size = 0
+    for batch in _unpacked(part["payload"].drop_null()):
+        ids = batch["ids"]
+        pieces = pa.ListArray.from_arrays(ids.offsets, piece.take(pa.array(place_of[ids.values.to_numpy()])))
+        decoded = pc.binary_join(pieces, " ")
+        word = pc.list_parent_indices(batch["ats"])
+        held.append(pa.RecordBatch.from_arrays([batch["blocks"].flatten(), batch["ats"].flatten(), ids.take(word), decoded.take(word)], names=["block", *_ANSWER.names]))
+        size += len(word)
         if size >= PLACES:
-            table = pa.Table.from_batches(held).combine_chunks()
-            # the last word may go on in the next batch
-            last = int(np.flatnonzero(table["places"].is_valid().to_numpy())[-1])
-            yield from _packed_by_block(table.slice(0, last))
-            held, size = table.slice(last).to_batches(), 0
-    if held:
-        yield from _packed_by_block(pa.Table.from_batches(held).combine_chunks())
+            out += _by_block(held)
+            held, size = [], 0
+    out += _by_block(held)
+    return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
 
-def _packed_by_block(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    if not len(table):
+def _by_block(held: list[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    if not held:
         return
-    starts = np.r_[np.flatnonzero(table["places"].is_valid().to_numpy()), len(table)]
-    some = table["id"].is_valid().to_numpy()
-    offsets = np.r_[0, np.cumsum(some)][starts].astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), table["id"].combine_chunks().drop_null().cast(pa.uint32()))
-    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), table["piece"].combine_chunks().filter(pa.array(some))), " ")
-    places = table["places"].drop_null().to_pylist()
-    pairs = np.frombuffer(b"".join(places), dtype="<i4").reshape(-1, 2)
-    word = np.repeat(np.arange(len(places)), [len(p) // 8 for p in places])
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    block, at, word = pairs[order, 0], pairs[order, 1], word[order]
+    table = pa.Table.from_batches(held)
+    table = table.take(pc.sort_indices(table, [("block", "ascending"), ("at", "ascending")])).combine_chunks()
+    block = table["block"].to_numpy()
     edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        rows = pa.array(word[a:b])
-        payload = _packed(pa.RecordBatch.from_arrays([pa.array(at[a:b]), ids.take(rows), decoded.take(rows)], schema=_ANSWER))
-        yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+        yield int(block[a]), _packed(table.select(_ANSWER.names).slice(a, b - a).to_batches()[0])
 
 
 def encode_documents(documents: DataFrame, model: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -239,10 +235,10 @@ def _encode(documents: DataFrame, model: str | None, text: str, doc_id: str, dig
         return pa.table({"block": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(units)), "at": pa.array(np.arange(len(units), dtype=np.int32)), "word": units})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, at int, word string")
-    ids = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), "nth long, id int, places binary")
+    words = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(path), "part int, payload binary, id int")
     # as many rows as the vocabulary has, whatever the input
-    decoded = ids.join(F.broadcast(piece_table(documents.sparkSession, path)), "id", "left").select("nth", "id", "places", "piece")
-    answers = decoded.mapInArrow(_pack_answers, "block int, payload binary")
+    known = words.join(F.broadcast(piece_table(documents.sparkSession, path)), "id", "left").select("part", "payload", "id", "piece")
+    answers = known.groupBy("part").applyInArrow(_decode, "block int, payload binary")
 
     schema = f"doc_id {id_type}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
