@@ -63,6 +63,8 @@ PIVOTS = 32
 COLUMNS = 4096
 #: Places that a shared bucket is dealt to where its nodes are looked up.
 PLACES = 16
+#: Places that a node is dealt to where its neighbours learn of the smallest one.
+HUB_PLACES = 8
 
 _U = np.uint64
 
@@ -347,7 +349,9 @@ def _nearest(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(edges.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
     least = both.groupBy("at").agg(F.min("to").alias("least")).select("at", F.least("at", "least").alias("least"))
     # every larger neighbour goes to the smallest one, then all smaller ones do
-    large = both.filter("to > at").join(least.hint("merge"), "at").select(F.col("least").alias("lo"), F.col("to").alias("hi")).distinct()
+    # the root of a large class has a neighbour for each of its nodes: dealt by these
+    far = both.filter("to > at").withColumn("deal", F.xxhash64("to"))
+    large = join_groups(far, least, "at", "deal", HUB_PLACES).select(F.col("least").alias("lo"), F.col("to").alias("hi")).distinct()
     root = large.groupBy("hi").agg(F.min("lo").alias("least"))
     small = large.join(root.hint("merge"), "hi").filter("lo <> least").select(F.col("least").alias("lo"), F.col("lo").alias("hi"))
     return small.unionByName(root.select(F.col("least").alias("lo"), "hi")).distinct()
