@@ -1,15 +1,18 @@
-"""Command line: ``research`` over stored pages or documents, ``candidates`` from stored hub payloads; JSON on standard output."""
+"""Command line: ``research`` over stored pages or documents, ``candidates`` from stored hub payloads, ``redact`` for texts and files; JSON on standard output."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 from datetime import datetime
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions import udfs
 from .operators import hub, research
+from .sources import pages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,13 +29,25 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--since", required=True, type=datetime.fromisoformat)
     find.add_argument("--until", required=True, type=datetime.fromisoformat)
     find.add_argument("--top", type=int, default=20)
+    clean = commands.add_parser("redact", help="text from standard input, or files below a folder, without secrets")
+    clean.add_argument("--root")
+    clean.add_argument("--check", action="store_true", help="count matches only; 1 if there are any")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     """0 for an answer, 3 if the question needs confirmation first."""
     args = parser().parse_args(argv)
+    if args.command == "redact" and not args.root:
+        given = sys.stdin.read()
+        left = udfs.redact(given)
+        print(json.dumps({"command": "redact", "data": {"changed": left != given}, "errors": [], "status": "ok"}, sort_keys=True) if args.check else left, end="" if not args.check else "\n")
+        return int(args.check and left != given)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.command == "redact":
+        rows = (pages.scan_secrets if args.check else pages.redact_files)(spark, args.root).orderBy("path").collect()
+        print(json.dumps({"command": "redact", "data": [r.asDict() for r in rows], "errors": [], "status": "ok"}, sort_keys=True, ensure_ascii=False))
+        return int(args.check and any(r.matches for r in rows))
     if args.command == "candidates":
         signals = hub.parse_models(spark.read.schema(hub.PAYLOAD).json(args.payloads)).withColumn("arrival", F.monotonically_increasing_id())
         found = hub.top_candidates(hub.build_candidates(hub.newest_signals(signals), args.since, args.until), args.top)

@@ -10,6 +10,11 @@ folds the case of all letters.
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "ref", "ref_src"]
 CREDENTIAL_SCHEMES = ["http", "https", "ftp", "ftps", "ssh", "git"]
 
+HUB_HOST = "huggingface.co"
+HUB_PAGE = r"(?i)^https://huggingface\.co/api/models(?:[?#].*)?$"
+NEXT_LINK = r"<([^>]+)>;\s*rel=\"next\""
+LOOPBACK_HOSTS = ["127.0.0.1", "localhost", "[::1]"]
+
 # --- Ranking --------------------------------------------------------------
 NOISE_PAGES = [r"(?i)cookie\s*policy", r"(?i)accept\s+all\s+cookies", r"(?i)sign\s+up\s+for\s+our\s+newsletter", r"(?i)all\s+rights\s+reserved", r"(?i)\A\s*404\b"]
 NOISE_MATCHES = r"(?i)(cookie\s+(policy|consent)|subscribe\s+to|paywall|sign\s+up\s+for|enable\s+javascript|gdpr|advertisement|sponsored)"
@@ -19,6 +24,8 @@ ENGINE_WEIGHTS = {
 }
 LEGACY_STOP_WORDS = ["и", "в", "на", "с", "по", "о", "у", "для", "the", "a", "an", "in", "on", "of", "to", "is", "are", "was", "were"]
 
+REFORMULATIONS = {"погода": "weather", "новости": "news", "атака": "attack", "мэр": "mayor", "уничтожен": "destroyed", "сбит": "shot down"}
+
 # --- Time -----------------------------------------------------------------
 TIME_WORDS = {
     "day": ["сегодня", "сейчас", "только что", "за сутки", "сегодняшний", "today", "now", "latest", "breaking", "just now", "this hour"],
@@ -93,39 +100,48 @@ FALSIFICATION_ROUTES = ["news", "security", "product", "technical"]
 FALSIFICATION_TERMS = [" criticism", " controversy", " debunked OR false", " опровержение"]
 
 # --- Entities of a question -----------------------------------------------
-STOP_WORDS = (
-    "the a an and or but for of to in on is are was were be been this that it i you we they my your our their with from as by at do does did "
-    "have has had can could would should will may might must need want know tell explain understand looking find some any all how what why when where which "
-    "more most best good see use using used "
-    "и в на с по для не что это как или из за к у о от до при так его её их мы вы он она они быть был была было мне тебе нам вам есть нет да могу может хочу "
-    "надо нужно можно также ещё еще которые этот эта эти тот та те который которая"
-).split()
-CONTENT_BLACKLIST = (
-    "сколько когда где кто что какой какая какое какие почему зачем как чем каким какую есть было была были будет будут является также пожалуйста вообще именно "
-    "этот эта это эти тот та те сейчас сегодня вчера завтра недавно давно"
-).split()
-INTRO_WORDS = (
-    "расскажи подробно опиши опишите сравни сравните найди найдите покажи покажите хочу хотел хотела хотелось можешь может давай давайте про об "
-    "specifically generally basically actually really please kindly describe explain tell show find want wanted looking give gives overview"
-).split()
-SIZE_UNITS = (
-    "человек людей люди месяц месяца месяцев неделя недели недель год года лет день дня дней час часа часов минут минута минуты вариант варианта вариантов "
-    "способ способа способов пункт пункта пунктов пример примера примеров проект проекта проектов задач задача задачи шаг шага шагов этап этапа этапов раз раза "
-    "штук штука штуки days day weeks week months month years year hours hour minutes minute seconds second times items units steps lines examples people person "
-    "users user customers customer projects project tasks task stories story options option ways way methods method points point things thing"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "for", "of", "to", "in", "on", "is", "are", "was", "were", "be", "been", "this", "that", "it", "i", "you",
+    "we", "they", "my", "your", "our", "their", "with", "from", "as", "by", "at", "do", "does", "did", "have", "has", "had", "can", "could", "would",
+    "should", "will", "may", "might", "must", "need", "want", "know", "tell", "explain", "understand", "looking", "find", "some", "any", "all", "how",
+    "what", "why", "when", "where", "which", "more", "most", "best", "good", "see", "use", "using", "used", "и", "в", "на", "с", "по", "для", "не",
+    "что", "это", "как", "или", "из", "за", "к", "у", "о", "от", "до", "при", "так", "его", "её", "их", "мы", "вы", "он", "она", "они", "быть", "был",
+    "была", "было", "мне", "тебе", "нам", "вам", "есть", "нет", "да", "могу", "может", "хочу", "надо", "нужно", "можно", "также", "ещё", "еще",
+    "которые", "этот", "эта", "эти", "тот", "та", "те", "который", "которая",
+]
+CONTENT_BLACKLIST = [
+    "сколько", "когда", "где", "кто", "что", "какой", "какая", "какое", "какие", "почему", "зачем", "как", "чем", "каким", "какую", "есть", "было",
+    "была", "были", "будет", "будут", "является", "также", "пожалуйста", "вообще", "именно", "этот", "эта", "это", "эти", "тот", "та", "те", "сейчас",
+    "сегодня", "вчера", "завтра", "недавно", "давно",
+]
+INTRO_WORDS = [
+    "расскажи", "подробно", "опиши", "опишите", "сравни", "сравните", "найди", "найдите", "покажи", "покажите", "хочу", "хотел", "хотела", "хотелось",
+    "можешь", "может", "давай", "давайте", "про", "об", "specifically", "generally", "basically", "actually", "really", "please", "kindly",
+    "describe", "explain", "tell", "show", "find", "want", "wanted", "looking", "give", "gives", "overview",
+]
+SIZE_UNITS = [
+    "человек", "людей", "люди", "месяц", "месяца", "месяцев", "неделя", "недели", "недель", "год", "года", "лет", "день", "дня", "дней", "час",
+    "часа", "часов", "минут", "минута", "минуты", "вариант", "варианта", "вариантов", "способ", "способа", "способов", "пункт", "пункта", "пунктов",
+    "пример", "примера", "примеров", "проект", "проекта", "проектов", "задач", "задача", "задачи", "шаг", "шага", "шагов", "этап", "этапа", "этапов",
+    "раз", "раза", "штук", "штука", "штуки", "days", "day", "weeks", "week", "months", "month", "years", "year", "hours", "hour", "minutes", "minute",
+    "seconds", "second", "times", "items", "units", "steps", "lines", "examples", "people", "person", "users", "user", "customers", "customer",
+    "projects", "project", "tasks", "task", "stories", "story", "options", "option", "ways", "way", "methods", "method", "points", "point", "things",
+    "thing",
+]
 PRODUCT_ENTITY = (
     r"(?U)\b([A-ZА-ЯЁ][a-zа-яё]{2,}|\d+[A-ZА-ЯЁ]+[a-zа-яё]*|[a-zа-яё]*[A-ZА-ЯЁ][a-zа-яё]+)(?:\s+\d+[A-ZА-ЯЁ]?(?:\.\d+)?[a-zа-яё]*)*(?:\s+[A-ZА-ЯЁ][a-zа-яё]{2,})?(?:\s+\d+[A-ZА-ЯЁ]?)?"
 )
 
 # --- Facts ----------------------------------------------------------------
-FACT_STOP_WORDS = (
-    "это что как или для при его её их этот эта эти тот та те все весь однако также котор методы учимся сегодня вчера сейчас теперь the and for with this that from into what how"
-).split()
-FACT_SKIP_UNITS = (
-    "год года году годом годы лет item items line lines example examples код кода коды пример примеры примеров раз раза размер размера size sizes pixel pixels px msk "
-    "мин минут сек секунд час часа часов hours minutes seconds"
-).split()
+FACT_STOP_WORDS = [
+    "это", "что", "как", "или", "для", "при", "его", "её", "их", "этот", "эта", "эти", "тот", "та", "те", "все", "весь", "однако", "также", "котор",
+    "методы", "учимся", "сегодня", "вчера", "сейчас", "теперь", "the", "and", "for", "with", "this", "that", "from", "into", "what", "how",
+]
+FACT_SKIP_UNITS = [
+    "год", "года", "году", "годом", "годы", "лет", "item", "items", "line", "lines", "example", "examples", "код", "кода", "коды", "пример",
+    "примеры", "примеров", "раз", "раза", "размер", "размера", "size", "sizes", "pixel", "pixels", "px", "msk", "мин", "минут", "сек", "секунд",
+    "час", "часа", "часов", "hours", "minutes", "seconds",
+]
 FACT_NUMBER = r"\b(\d{1,4})\s+([а-яёa-z]{3,})\b"
 FACT_DATE = (
     r"\b(\d{1,2}\s+(?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря)\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
@@ -133,7 +149,9 @@ FACT_DATE = (
 )
 FACT_ANCHOR = r"\b[А-ЯЁA-Z][а-яёa-z]{2,}\b"
 FACT_NEXT = r"\s+([А-ЯЁA-Za-zЁёА-Яа-я]{2,})"
-NAVIGATION_WORDS = "category file upload version block subcategory subcategories appearance flight current media wiki".split()
+NAVIGATION_WORDS = [
+    "category", "file", "upload", "version", "block", "subcategory", "subcategories", "appearance", "flight", "current", "media", "wiki",
+]
 
 # --- Matching -------------------------------------------------------------
 SYNONYMS = {
@@ -150,22 +168,22 @@ SYNONYMS = {
     "function": ["функция", "method", "метод"],
 }
 STEMS = {
-    "дрон": "дрона дронов дроны дроне дрону дроном",
-    "беспилотник": "беспилотника беспилотников беспилотники",
+    "дрона": "дрон", "дронов": "дрон", "дроны": "дрон", "дроне": "дрон", "дрону": "дрон", "дроном": "дрон",
+    "беспилотника": "беспилотник", "беспилотников": "беспилотник", "беспилотники": "беспилотник",
     "бпла": "бпла",
-    "сбит": "сбито сбиты сбита сбит",
-    "обнаруж": "обнаружено обнаружены обнаружена обнаружен",
-    "перехвач": "перехвачено перехвачены перехвачена перехвачен",
-    "уничтож": "уничтожено уничтожены уничтожена уничтожен",
-    "час": "часа часов часы часу часом",
-    "мин": "минуты минут минуту минутой",
-    "drone": "drone drones",
-    "vehicle": "vehicle vehicles",
-    "missile": "missile missiles",
-    "attack": "attack attacks",
-    "shot": "shot shots",
-    "detect": "detected detects",
-}
+    "сбито": "сбит", "сбиты": "сбит", "сбита": "сбит", "сбит": "сбит",
+    "обнаружено": "обнаруж", "обнаружены": "обнаруж", "обнаружена": "обнаруж", "обнаружен": "обнаруж",
+    "перехвачено": "перехвач", "перехвачены": "перехвач", "перехвачена": "перехвач", "перехвачен": "перехвач",
+    "уничтожено": "уничтож", "уничтожены": "уничтож", "уничтожена": "уничтож", "уничтожен": "уничтож",
+    "часа": "час", "часов": "час", "часы": "час", "часу": "час", "часом": "час",
+    "минуты": "мин", "минут": "мин", "минуту": "мин", "минутой": "мин",
+    "drone": "drone", "drones": "drone",
+    "vehicle": "vehicle", "vehicles": "vehicle",
+    "missile": "missile", "missiles": "missile",
+    "attack": "attack", "attacks": "attack",
+    "shot": "shot", "shots": "shot",
+    "detected": "detect", "detects": "detect",
+}
 #: Ending, least length of the word above which it is cut, and what takes its place.
 ENDINGS = [("ies", 4, "y"), ("es", 3, ""), ("s", 3, ""), ("ов", 3, ""), ("ев", 3, ""), ("ы", 3, ""), ("а", 3, ""), ("у", 3, ""), ("ом", 3, ""), ("ей", 3, ""), ("ть", 3, "")]
 NUMBER_UNIT = r"(?iUu)\b(\d+)\s+([а-яёa-z]{3,})\b"
@@ -217,6 +235,10 @@ DENIED_URL_PARTS = [
     "commons.wikimedia.org/wiki/Category", "/wiki/Category:", "vk.com/wall-", "vk.com/wall", "instagram.com/p/", "facebook.com/", "twitter.com/", "t.me/",
     "youtube.com/watch", "?action=",
 ]
+SKIP_COUNTERS = [
+    "urls_total", "urls_skipped_duplicate", "urls_skipped_deny_pattern", "urls_skipped_canonical", "fetch_errors", "urls_empty_or_error",
+    "search_errors", "search_no_results", "verify_errors", "synthesis_errors", "review_errors",
+]
 FRESH_STATUSES = ["release", "limited_release"]
 HUB_AVAILABILITY = ["open_weights", "gated_open_weights", "adapter_weights"]
 HUB_RELATIONS = ["adapter", "finetune", "merge", "quantized"]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed, text
@@ -38,17 +39,24 @@ def detect_recency(query: Column) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stem(word: Column) -> Column:
     """The known stem of a word, or the word without its first known ending."""
-    low = F.lower(word)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for form, words in fixed.STEMS.items():
-        out = out.when(low.isin(words.split()), form)
-    for ending, least, new in fixed.ENDINGS:
-        fits = low.endswith(ending) & (F.length(low) > least)
-        fits = fits & ~low.endswith("ss") if ending == "s" else fits
-        out = out.when(fits, F.concat(F.substring(low, F.lit(1), F.length(low) - len(ending)), F.lit(new)))
-    return out.otherwise(low)
+    known = F.create_map(*(F.lit(x) for kv in fixed.STEMS.items() for x in kv))
+
+    def of(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for ending, least, new in fixed.ENDINGS:
+            fits = low.endswith(ending) & (F.length(low) > least)
+            fits = fits & ~low.endswith("ss") if ending == "s" else fits
+            out = out.when(fits, F.concat(F.substring(low, F.lit(1), F.length(low) - len(ending)), F.lit(new)))
+        return F.coalesce(F.try_element_at(known, low), out.otherwise(low))
+
+    return let(F.lower(word), of)
 
 
 def number_units(column: Column) -> Column:
@@ -82,9 +90,13 @@ def relatives(stem_: Column) -> Column:
 
 def numeric_match(fact: Column, other: Column) -> Column:
     """``num_morph`` if the other text has the fact's number and noun anywhere, ``num_mismatch`` if only the noun with other numbers, else null."""
-    mine = F.get(number_units(fact), F.lit(0))
-    near = F.filter(number_units(other), lambda p: F.array_contains(relatives(mine["stem"]), p["stem"]))
-    return F.when(F.exists(near, lambda p: p["number"] == mine["number"]), "num_morph").when(F.size(near) > 0, "num_mismatch")
+
+    def against(mine: Column) -> Column:
+        near = F.filter(number_units(other), lambda p: F.array_contains(mine["kin"], p["stem"]))
+        return let(F.transform(near, lambda p: p["number"]), lambda found: F.when(F.array_contains(found, mine["number"]), "num_morph").when(F.size(found) > 0, "num_mismatch"))
+
+    first = let(F.get(number_units(fact), F.lit(0)), lambda p: F.when(p.isNotNull(), F.struct(p["number"].alias("number"), relatives(p["stem"]).alias("kin"))))
+    return let(first, lambda mine: F.when(mine.isNotNull(), against(mine)))
 
 
 def negation_patterns(fact: Column) -> list[tuple[str, Column]]:
@@ -125,14 +137,20 @@ def mismatch_span(fact: Column, other: Column) -> Column:
     return F.when(wrong.isNotNull(), F.struct(start.alias("start"), (start + F.length(wrong)).alias("end"), F.lit("num_mismatch").alias("method")))
 
 
-def route_scores(query: Column) -> Column:
-    """Routes with the number of their patterns in the question, best first, ties in the fixed order."""
-    low = F.lower(query)
-    hits = {r: reduce(lambda a, b: a + b, (low.rlike("(?iUu)" + p).cast("double") for p in patterns)) for r, patterns in fixed.ROUTE_PATTERNS.items()}
-    recent = low.rlike(fixed.RECENT_YEAR) & ((hits["news"] > 0) | (hits["technical"] > 0))
-    hits["news"] = hits["news"] + F.when(recent, 0.5).otherwise(0.0)
-    all_ = F.array(*(F.struct((-h).alias("minus"), F.lit(i).alias("nr"), F.lit(r).alias("route"), h.alias("score")) for i, (r, h) in enumerate(hits.items())))
-    return F.transform(F.array_sort(F.filter(all_, lambda x: x["score"] > 0)), lambda x: F.struct(x["route"].alias("route"), x["score"].alias("score")))
+def with_routes(rows: DataFrame, query: str = "query") -> DataFrame:
+    """``rows`` with ``all_routes``: routes with the number of their patterns in the question, best first, ties in the fixed order.
+
+    The numbers are columns of their own before anything compares them, so
+    that each pattern is looked for once in a question.
+    """
+    low, routes = F.lower(F.coalesce(query, F.lit(""))), list(fixed.ROUTE_PATTERNS)
+    hits = {f"_hits_{r}": reduce(lambda a, b: a + b, (low.rlike("(?iUu)" + p).cast("double") for p in fixed.ROUTE_PATTERNS[r])) for r in routes}
+    rows = rows.withColumns(hits | {"_recent": low.rlike(fixed.RECENT_YEAR)})
+    more = F.when(F.col("_recent") & ((F.col("_hits_news") > 0) | (F.col("_hits_technical") > 0)), 0.5).otherwise(0.0)
+    rows = rows.withColumn("_hits_news", F.col("_hits_news") + more)
+    all_ = F.array(*(F.struct((-F.col(f"_hits_{r}")).alias("minus"), F.lit(i).alias("nr"), F.lit(r).alias("route"), F.col(f"_hits_{r}").alias("score")) for i, r in enumerate(routes)))
+    found = F.transform(F.array_sort(F.filter(all_, lambda x: x["score"] > 0)), lambda x: F.struct(x["route"].alias("route"), x["score"].alias("score")))
+    return rows.withColumn("all_routes", found).drop("_recent", *hits)
 
 
 def is_stop_word(word: Column) -> Column:

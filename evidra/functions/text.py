@@ -29,7 +29,7 @@ def html_to_text(html: Column) -> Column:
 
 def cut_off(text: Column, most: int) -> Column:
     """At most ``most`` characters, with a note if there were more."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n…[truncated]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…[truncated]"))).otherwise(text)
 
 
 def shortened(text: Column, most: int) -> Column:
@@ -54,6 +54,11 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in columns), F.lit(""))
 
 
+def blob(*columns: Column) -> Column:
+    """What several columns of a source say, with blanks between; those that are null or empty are left out."""
+    return F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in columns))
+
+
 def sanitized(text: Column, most: int) -> Column:
     """Without control characters other than tab and line feed, at most ``most`` characters, trimmed."""
     return F.trim(F.substring(F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", ""), 1, most))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -178,50 +180,65 @@ def claim_terms(claim: str) -> list[str]:
     return list(found)[:12]
 
 
-def _word_end(text: str, end: int) -> int:
-    """Back to the last blank of the 30 characters before ``end``, if the text goes on behind it."""
-    tail = text[max(0, end - 30) : end] if end < len(text) else ""
-    cut = re.search(r"\s\S*$", tail)
-    return end - len(cut.group()) if cut else end
+class _Edges:
+    """Where a stretch of a text can begin and end so that it cuts no word: at a blank within ``REACH`` characters, else where it is."""
 
+    REACH = 30
 
-def _opening(text: str, size: int) -> dict:
-    end = _word_end(text, min(len(text), size))
-    return {"text": text[:end].strip() + ("..." if end < len(text) else ""), "start": 0, "end": end, "terms": [], "score": 0.0}
+    def __init__(self, text: str) -> None:
+        self.size = len(text)
+        self.blanks = [m.start() for m in re.finditer(r"\s", text)]
+
+    def begin(self, at: int) -> int:
+        nth = bisect_left(self.blanks, at)
+        inside = 0 < at and nth < len(self.blanks) and self.blanks[nth] < at + self.REACH
+        return self.blanks[nth] + 1 if inside else max(0, at)
+
+    def end(self, at: int) -> int:
+        nth = bisect_left(self.blanks, at) - 1
+        inside = at < self.size and nth >= 0 and self.blanks[nth] >= at - self.REACH
+        return self.blanks[nth] if inside else min(self.size, at)
+
+
+def _window(text: str, start: int, end: int, terms: Iterable[str], score: float) -> dict:
+    dots = ["..." if more else "" for more in (start > 0, end < len(text))]
+    return {"text": text[start:end].strip().join(dots), "start": start, "end": end, "terms": sorted(terms), "score": score}
+
+
+def term_groups(text: str, terms: list[str], reach: int) -> list[tuple[float, set[str]]]:
+    """Mean place and terms of each group of places, in order of their first place.
+
+    Places, those that overlap too, come from left to right; each joins the
+    first group whose mean so far is at most ``reach`` away, or begins one.
+    """
+    places = sorted((m.start(), nr) for nr, t in enumerate(terms) for m in re.finditer(f"(?={re.escape(t)})", text))
+    total, number, members = np.zeros(len(places)), np.zeros(len(places)), [set() for _ in places]
+    groups = 0
+    for place, nr in places:
+        near = np.abs(place - total[:groups] / number[:groups]) <= reach
+        home = int(near.argmax()) if near.any() else groups
+        groups = max(groups, home + 1)
+        total[home] += place
+        number[home] += 1
+        members[home].add(terms[nr])
+    return list(zip((total[:groups] / number[:groups]).tolist(), members, strict=False))
 
 
 def extract_windows(text: str | None, claim: str | None, size: int = WINDOW, most: int = WINDOWS) -> list[dict]:
-    """The stretches of a text with most of a claim's terms.
+    """The stretches of a text with most of a claim's terms, ranked by their share of the terms, then by place.
 
-    Places of terms join the first group whose mean place is at most
-    ``size`` away, and move it. Groups rank by their share of the terms.
+    If even the best has next to none of them, the text's beginning comes first.
     """
     if not text:
         return []
     size, most = min(max(50, size), MOST_WINDOW), max(1, most)
-    wanted, low = claim_terms(claim or ""), text.lower()
-    places = sorted((m.start(), t) for t in wanted for m in re.finditer(f"(?={re.escape(t)})", low))
-    places = sorted(places, key=lambda p: (p[0], wanted.index(p[1])))
-    groups: list[tuple[list[int], set[str]]] = []
-    for place, term in places:
-        home = next((g for g in groups if abs(place - sum(g[0]) / len(g[0])) <= size), None)
-        if home is None:
-            groups.append(([place], {term}))
-        else:
-            home[0].append(place)
-            home[1].add(term)
-    if not groups:
-        return [_opening(text, size)]
-    ranked = sorted(((len(terms) / len(wanted), sum(at) / len(at), terms) for at, terms in groups), key=lambda g: (-g[0], g[1]))
-    out = []
-    for score, centre, terms in ranked[:most]:
-        start, end = max(0, int(centre) - size), min(len(text), int(centre) + size)
-        if start and (blank := re.search(r"\s", text[start : start + 30])):
-            start += blank.end()
-        end = _word_end(text, end)
-        shown = "..." * (start > 0) + text[start:end].strip() + "..." * (end < len(text))
-        out.append({"text": shown, "start": start, "end": end, "terms": sorted(terms), "score": score})
-    return out if out[0]["score"] >= LEAST_SCORE else [_opening(text, size), *out[: most - 1]]
+    edges, terms = _Edges(text), claim_terms(claim or "")
+    shares = [(-len(found) / len(terms), centre, found) for centre, found in term_groups(text.lower(), terms, size)]
+    best = sorted(shares, key=lambda g: g[:2])[:most]
+    windows = [_window(text, edges.begin(int(c) - size), edges.end(int(c) + size), found, -minus) for minus, c, found in best]
+    if windows and windows[0]["score"] >= LEAST_SCORE:
+        return windows
+    return [_window(text, 0, edges.end(size), [], 0.0), *windows[: most - 1]]
 
 
 # --- Redaction ------------------------------------------------------------

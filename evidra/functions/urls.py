@@ -78,10 +78,7 @@ def domain_of(url: Column) -> Column:
 
 def url_title(url: Column) -> Column:
     """``domain — last part of the path``, or the domain alone."""
-    last = F.element_at(F.filter(F.split(_part(url, 3), "/"), lambda p: p != ""), -1)
-    some = F.size(F.filter(F.split(_part(url, 3), "/"), lambda p: p != "")) > 0
-    shown = F.when(some, F.try_element_at(F.filter(F.split(_part(url, 3), "/"), lambda p: p != ""), F.lit(-1)))
-    del last
+    shown = F.try_element_at(F.filter(F.split(_part(url, 3), "/"), lambda p: p != ""), F.lit(-1))
     return F.when(domain_of(url) == "", url).when(F.length(shown) > 2, F.concat(domain_of(url), F.lit(" — "), F.substring(shown, 1, 40))).otherwise(domain_of(url))
 
 
@@ -107,3 +104,15 @@ def is_safe_literal(url: Column) -> Column:
     v6 = host.startswith("[")
     local6 = host.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|::ffff:(10|127|0)\..*|::ffff:(192\.168|169\.254)\..*|2001:db8:.*)\]$")
     return scheme(F.trim(url)).isin("http", "https") & (host != "") & (host != "localhost") & ~F.coalesce(v4 & local, F.lit(False)) & ~(v6 & local6)
+
+
+def is_loopback_base(url: Column) -> Column:
+    """Whether a search endpoint is plain http on this machine, without user, query or fragment."""
+    host = F.regexp_replace(authority(url), r":\d*$", "")
+    return (scheme(url) == "http") & host.isin(fixed.LOOPBACK_HOSTS) & ~F.contains(url, F.lit("?")) & ~F.contains(url, F.lit("#"))
+
+
+def next_page(link: Column) -> Column:
+    """The next page in a ``Link`` header, if it is a page of the hub's model list; else null."""
+    url = F.regexp_extract(link, fixed.NEXT_LINK, 1)
+    return F.when(url.rlike(fixed.HUB_PAGE), url)

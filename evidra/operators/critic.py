@@ -13,6 +13,11 @@ IN_ALL = 100
 SHOWN = 120
 
 
+def with_blob(sources: DataFrame) -> DataFrame:
+    """``sources`` with all they say in ``text``: text, content, body and snippet, as far as they have them."""
+    return sources.withColumn("text", text.blob(*(F.col(c) for c in ("text", "content", "body", "snippet") if c in sources.columns)))
+
+
 def _flags(rows: DataFrame, key: str, severity: Column, category: str, message: Column, claim: Column, order: Column) -> DataFrame:
     flags = rows.select(key, severity.alias("severity"), F.lit(category).alias("category"), message.alias("message"), claim.alias("claim"), order.cast("string").alias("position"))
     return ranking.top_n(flags, key, [F.asc("position"), F.asc("claim"), F.asc("message")], PER_CHECK).drop("rank", "position")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scoring, urls
+from ..functions import fixed, scoring, urls
 
-SKIPS = ["urls_total", "urls_skipped_duplicate", "urls_skipped_deny_pattern"]
+
+def load_cases(spark: SparkSession, path: str, items: str = "cases") -> DataFrame:
+    """The cases of an evaluation set: a JSON file that is an array of cases, or an object with one under ``items``."""
+    rows = spark.read.option("multiLine", True).json(path)
+    return rows.select(F.explode(items).alias("_case")).select("_case.*") if items in rows.columns else rows
 
 
 def quality_rows(results: DataFrame) -> DataFrame:
@@ -17,11 +21,18 @@ def quality_rows(results: DataFrame) -> DataFrame:
     return rows.withColumn("qs", scoring.quality_score(F.col("coverage"), F.col("contradiction_rate"), F.col("confidence"), F.col("route_ok")))
 
 
-def aggregate(results: DataFrame, counters: list[str] = SKIPS) -> DataFrame:
-    """One row: mean, least and greatest score, mean rates and summed counters."""
-    have = [c for c in counters if c in results.columns]
-    mean = lambda c: F.round(F.avg(c), 4).alias(f"{c}_mean")
-    return results.agg(F.count(F.lit(1)).alias("queries"), mean("qs"), F.min("qs").alias("qs_min"), F.max("qs").alias("qs_max"), mean("coverage"), mean("confidence"), F.round(F.avg("route_ok"), 4).alias("routing_accuracy"), *(F.sum(c).alias(c) for c in have))
+def aggregate(results: DataFrame) -> DataFrame:
+    """One row over all results: scores, rates, numbers of errors and model calls, and the counters of what was skipped, as far as the results have them."""
+    have = set(results.columns)
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    parts = [F.count(F.lit(1)).alias("queries"), mean("qs", "qs_mean"), F.round(F.min("qs"), 4).alias("qs_min"), F.round(F.max("qs"), 4).alias("qs_max"), mean("coverage", "avg_coverage"), mean("confidence", "avg_confidence"), mean("route_ok", "routing_accuracy")]
+    share = lambda cond, name: F.round(F.count_if(cond) / F.count(F.lit(1)), 4).alias(name)
+    optional = {
+        "needs_confirmation": share(F.col("needs_confirmation"), "confirmation_rate"), "error": F.count_if(F.coalesce("error", F.lit("")) != "").alias("error_count"),
+        "mode": F.count_if(F.col("mode") == "online").alias("online_count"), "llm_calls": F.sum("llm_calls").alias("total_llm_calls"), "stage": share(F.col("stage") == "done", "pipeline_completion_rate"),
+    }
+    parts += [c for name, c in optional.items() if name in have]
+    return results.agg(*parts, *(F.sum(c).alias(c) for c in fixed.SKIP_COUNTERS if c in have))
 
 
 def url_counters(hits: DataFrame, key: str = "query_id") -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed, scoring, urls
 
@@ -130,3 +131,21 @@ def recall(cases: DataFrame, candidates: DataFrame) -> DataFrame:
         F.count_if(negative & found).alias("hard_negative_cases_with_hub_signal"),
         F.count_if(negative & (F.array_join("states", ",") == "update_only")).alias("hard_negative_update_only_signals"),
     )
+
+
+def discovery_report(candidates: DataFrame, top: int) -> DataFrame:
+    """The best candidates with ``rank``, the number of all candidates, and whether some are left out."""
+    best = top_candidates(candidates, top)
+    order = Window.orderBy(F.desc("score"), F.lower("family_id"), "family_id")  # at most 500 rows
+    total = candidates.agg(F.count(F.lit(1)).alias("candidate_count"))
+    return best.withColumn("rank", F.row_number().over(order)).join(F.broadcast(total)).withColumn("output_truncated", F.col("candidate_count") > top)
+
+
+def family_signals(signals: DataFrame, families: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """The signals in the window of some families (family_id), in order of family, creation and repository.
+
+    They are rows and not an array per family, as one family may hold a
+    third of all repositories.
+    """
+    rows = signals.filter(in_window(F.lit(since), F.lit(until))).withColumn("family_id", family_id()).withColumn("is_derivative", is_derivative())
+    return rows.join(families.select("family_id").distinct(), "family_id", "left_semi").orderBy("family_id", "created_at", "repo_id")

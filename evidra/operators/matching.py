@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, language, passages, udfs
+from ..functions import fixed, language, passages, text, udfs
 
 
 def match_facts(pairs: DataFrame) -> DataFrame:
@@ -113,3 +113,24 @@ def overlay(verdicts: DataFrame, answers: DataFrame, key: str = "query_id", belo
     new = F.when(open_ & (F.col("answer") == "SUPPORTS") & linked, "SUPPORTS").when(open_ & (F.col("answer") == "SUPPORTS"), "WEAK_SUPPORT").when(open_ & (F.col("answer") == "REFUTES"), "REFUTES").otherwise(F.col("verdict"))
     out = asked.withColumn("verdict", new).withColumn("refuted_unlinked", open_ & (F.col("answer") == "REFUTES") & ~linked)
     return out.withColumn("verified", F.col("verdict") == "SUPPORTS").drop("verification_rate", "answer")
+
+
+def flatten_details(results: DataFrame, key: str = "query_id", details: str = "verification_details") -> DataFrame:
+    """One row per fact from results that hold their facts in an array of structs; results and entries that are null give none."""
+    rows = results.select(key, F.posexplode(details).alias("fact_no", "_detail")).filter("_detail IS NOT NULL")
+    return rows.select(key, "fact_no", "_detail.*")
+
+
+def claim_windows(claims: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence of each claim (keys, claim) in its document (keys, url, title, text); claims that are not there give no row.
+
+    The window is the document's own text where that is the claim up to
+    white space, and else as many characters as the claim has.
+    """
+    found = claims.join(documents, keys).withColumn("span", udfs.span_of(F.col("claim"), F.col("text"))).filter("span.start >= 0")
+    size = F.length("claim")
+    own = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
+    inside = F.col("span.end") <= F.length("text")
+    same = text.collapse(own) == text.collapse(F.col("claim"))
+    window = F.when(inside & same, own).when(inside, F.substring(F.col("text"), F.col("span.start") + 1, size)).otherwise(F.col("claim"))
+    return found.select(*claims.columns, F.col("span.start").alias("offset_start"), F.col("span.end").alias("offset_end"), window.alias("window"), F.col("url").alias("source_url"), F.col("title").alias("source_title"), F.lit(0.0).alias("score"))

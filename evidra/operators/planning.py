@@ -20,7 +20,7 @@ def _of_route(route: Column, index: int) -> Column:
 
 def classify(questions: DataFrame) -> DataFrame:
     """``questions`` (with ``query``) with route, confidence, engines, categories, time_range, variants and warning."""
-    rows = questions.withColumn("all_routes", language.route_scores(F.coalesce("query", F.lit(""))))
+    rows = language.with_routes(questions)
     best = F.try_element_at("all_routes", F.lit(1))
     second = F.try_element_at("all_routes", F.lit(2))
     blank = F.trim(F.coalesce("query", F.lit(""))) == ""
@@ -58,6 +58,19 @@ def adapted_confidence(method: Column, found: Column, shared: Column) -> Column:
     )
 
 
+def entity_pairs(entities: Column) -> Column:
+    """Every two of the first three entities, in order, unless they are equal."""
+    at = lambda i: F.try_element_at(entities, F.lit(i))
+    pairs = (F.when(at(i) != at(j), F.concat_ws(" ", at(i), at(j))) for i, j in ((1, 2), (1, 3), (2, 3)))
+    return F.array_compact(F.array(*pairs))
+
+
+def term_diff(before: Column, after: Column) -> tuple[Column, Column]:
+    """Words that went and words that came, sorted."""
+    a, b = text.words(before), text.words(after)
+    return F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
+
+
 def adapt(questions: DataFrame) -> DataFrame:
     """``questions`` with main and alternative queries, terms that came and went, and reasons to ask back."""
     size = F.size(F.filter(F.split(F.trim("query"), r"(?U)\s+"), lambda w: w != ""))
@@ -68,12 +81,12 @@ def adapt(questions: DataFrame) -> DataFrame:
     composed = head(text.without_urls(F.array_join(F.slice("entities", 1, 3), " ")))
     rows = rows.withColumn("adaptation_method", F.when(short, "passthrough").when(found, "deterministic").otherwise("degraded"))
     rows = rows.withColumn("main_query", F.when(short, F.trim("query")).when(found, composed).otherwise(head(F.col("query"))))
-    pick = lambda i, j: F.concat_ws(" ", F.try_element_at("entities", F.lit(i)), F.try_element_at("entities", F.lit(j)))
-    pairs = F.array(*(F.when((F.size("entities") >= j) & (F.try_element_at("entities", F.lit(i)) != F.try_element_at("entities", F.lit(j))), pick(i, j)) for i, j in ((1, 2), (1, 3), (2, 3))))
-    alts = F.array_distinct(F.filter(pairs, lambda a: a.isNotNull() & (a != F.col("main_query"))))
+    alts = F.array_distinct(F.filter(entity_pairs(F.col("entities")), lambda a: a != F.col("main_query")))
     rows = rows.withColumn("alt_queries", F.when(short, F.array().cast("array<string>")).otherwise(alts))
-    asked, used = text.words(F.col("query")), text.words(F.concat_ws(" ", F.col("main_query"), F.array_join("alt_queries", " ")))
-    rows = rows.withColumn("dropped_terms", F.array_sort(F.array_except(asked, used))).withColumn("added_terms", F.array_sort(F.array_except(used, asked)))
+    new = F.concat_ws(" ", F.col("main_query"), F.array_join("alt_queries", " "))
+    asked, used = text.words(F.col("query")), text.words(new)
+    dropped, added = term_diff(F.col("query"), new)
+    rows = rows.withColumn("dropped_terms", dropped).withColumn("added_terms", added)
     shared = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, used)), F.size(F.array_distinct(asked))), F.lit(0.0))
     rows = rows.withColumn("adaptation_confidence", adapted_confidence(F.col("adaptation_method"), F.size("entities"), shared))
     critical = F.slice(F.filter("dropped_terms", lambda t: (F.length(t) >= 3) & ~language.is_stop_word(t)), 1, 5)
@@ -111,14 +124,41 @@ def search_tasks(plans: DataFrame, key: str = "query_id") -> DataFrame:
     return rows.select(key, "task_id", "_t.query", "route", "language", "engines", "categories", "time_range", "_t.priority", "_t.rationale")
 
 
+SHOWN_TERMS = 5
+SHOWN_VARIANTS = 4
+
+
 def plan_preview(plans: DataFrame, key: str = "query_id") -> DataFrame:
-    """A readable plan per question."""
+    """What will be searched and why, for a person to approve."""
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    blank = F.lit("")
+
+    def some(values: Column, heading: str) -> Column:
+        more = F.when(F.size(values) > SHOWN_TERMS, F.format_string(" (+%d)", F.size(values) - SHOWN_TERMS)).otherwise("")
+        return F.when(F.size(values) > 0, line("\n", heading, F.array_join(F.slice(values, 1, SHOWN_TERMS), ", "), more))
+
+    listed = F.transform("alt_queries", lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q))
+    quoted = F.concat(F.lit("['"), F.array_join("entities", "', '"), F.lit("']"))
+    two = lambda c: F.format_number(c, 2)
+    routed = F.col("route") != "general"
+    shown = F.transform(F.slice("variants", 1, SHOWN_VARIANTS), lambda v: F.concat(F.lit("  - "), v))
     lines = [
-        F.concat(F.lit("query: "), F.col("query")),
-        F.concat(F.lit("main: "), F.col("main_query")),
-        F.when(F.size("alt_queries") > 0, F.concat(F.lit("alternatives: "), F.array_join("alt_queries", " | "))),
-        F.concat(F.lit("language: "), F.col("language"), F.lit(", route: "), F.col("route"), F.lit(", time range: "), F.coalesce("time_range", F.lit("any"))),
-        F.when(F.size("dropped_terms") > 0, F.concat(F.lit("dropped: "), F.array_join("dropped_terms", ", "))),
-        F.when(F.size("confirmation_reason") > 0, F.concat(F.lit("confirm: "), F.array_join("confirmation_reason", "; "))),
-    ]
+        F.lit("Я понял задачу так:"), blank, F.lit("**Цель:** найти источники по запросу пользователя."), line("**Исходный запрос:** ", F.col("query")), blank,
+        line("**Основной запрос:** ", F.when(F.col("main_query") != "", F.col("main_query")).otherwise("(пусто)")),
+        F.when(F.size("alt_queries") > 0, line("\n**Дополнительные запросы:**\n", F.array_join(listed, "\n"))),
+        blank, F.lit("**Параметры поиска:**"), line("- language: ", F.col("language")), line("- adaptation_method: ", F.col("adaptation_method")),
+        line("- adaptation_confidence: ", two(F.col("adaptation_confidence"))),
+        F.when(F.size("entities") > 0, line("- extracted_entities: ", quoted)),
+        some(F.col("dropped_terms"), "**Что было отброшено из исходного запроса:** "),
+        some(F.col("added_terms"), "**Что было добавлено (нет в исходном запросе):** "),
+        F.when(routed, line("\n**Рекомендованный маршрут поиска (advisory):**\n- inferred_route: ", F.col("route"), "\n- routing_confidence: ", two(F.col("confidence")))),
+        *(F.when(routed, line(f"- suggested_{c}: ", F.col(c))) for c in ("engines", "categories", "time_range")),
+        F.when(routed & (F.size("variants") > 0), line("- query_variants:\n", F.array_join(shown, "\n"))),
+        F.when(routed & F.col("routing_warning"), F.lit("- routing_warning: да (рекомендую подтвердить маршрут)")),
+        blank,
+        F.when(
+            F.col("needs_confirmation"),
+            line("**Требуется подтверждение:** да\n**Причины:** ", F.array_join("confirmation_reason", "; "), "\n\nДействия:\n1. APPROVE_SEARCH_PLAN\n2. SEARCH_RAW_QUERY\n3. EDIT_QUERY_PLAN: <новые параметры>"),
+        ).otherwise("**Требуется подтверждение:** нет (риск низкий, ищу автоматически)."),
+    ]
     return plans.select(key, F.concat_ws("\n", *lines).alias("preview"))

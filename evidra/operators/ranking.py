@@ -82,6 +82,17 @@ def rank_documents(documents: DataFrame, question: Column, key: str = "query_id"
     return rank_within(documents.withColumn("source_score", score), key, [F.desc("source_score"), F.asc("seq"), F.asc("url")])
 
 
+def legacy_order(sources: DataFrame, key: str = "query_id") -> DataFrame:
+    """Fetched sources with ``rank``: by score, then by length, then by URL."""
+    return rank_within(sources, key, [F.desc(F.coalesce("source_score", F.lit(0.0))), F.desc(F.coalesce("length", F.lit(0))), F.asc("url")])
+
+
+def engines_of(engines: Column, engine: Column) -> Column:
+    """The engines of a hit, distinct and sorted: the list if there is one, else the single name."""
+    listed = F.when(engines.isNotNull(), engines).otherwise(F.array(engine))
+    return F.array_sort(F.array_distinct(F.filter(listed, lambda e: e.isNotNull() & (e != ""))))
+
+
 def first_per_url(sources: DataFrame, key: str = "query_id") -> DataFrame:
     """The first source of each exact URL; sources without one (empty or ``?``) all stay."""
     blank = F.coalesce("url", F.lit("")).isin("", "?")

@@ -97,7 +97,7 @@ def run_research(questions: DataFrame, search: Search, fetch: Fetch, top_n: int
     rows = rows.join(spans, ["query_id", "fact_no", "iteration"], "left").join(contested, ["query_id", "fact_no", "iteration"], "left")
     rows = cut(rows, "classified")
     answers = cut(synthesis.render_answer(questions, rows, citations), "answers")
-    told = claims.select("query_id", "claim_no", "claim")
+    told, sources = claims.select("query_id", "claim_no", "claim"), critic.with_blob(sources)
     flags = critic.numeric_consistency(told, sources)
     for more in (critic.entity_hallucination(told, sources), critic.self_contradiction(verdicts), critic.citation_integrity(answers, citations), critic.temporal_consistency(told, sources)):
         flags = flags.unionByName(more)

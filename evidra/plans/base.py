@@ -45,6 +45,13 @@ INPUTS = {
         || ' in ' || CAST(1990 + o_orderkey % 35 AS VARCHAR(4)) || CASE WHEN o_orderkey % 9 = 0 THEN ' [1]' ELSE '' END AS claim FROM orders""",
     "claim_sources": """SELECT c_custkey % 100 AS query_id, 'https://s' || CAST(c_custkey AS VARCHAR(20)) || '.example.com/' AS url,
         'In ' || CAST(1995 + c_custkey % 20 AS VARCHAR(4)) || ' Acme Corp sent ' || CAST(c_custkey % 60 AS VARCHAR(20)) || ' units to Port Beta' AS text FROM customer""",
+    # texts with numbers, dates and names, some of which contain each other
+    "fact_texts": """SELECT o_orderkey AS doc_id, 'On ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) || ' ' || CAST(o_orderkey % 30 + 1 AS VARCHAR(20)) || ' crates and ' || CAST(o_custkey % 50 + 1 AS VARCHAR(20)) || ' boats reached Port '
+        || CASE WHEN o_orderkey % 2 = 0 THEN 'Alpha' ELSE 'Beta' END || '. Acme Corp sent ' || CAST(o_custkey % 30 + 1 AS VARCHAR(20)) || ' crates on 5 March ' || CAST(1990 + o_orderkey % 30 AS VARCHAR(4)) || '. Beta Corp said so.' AS text FROM orders""",
+    # claims that stand in a text literally, with other white space, by their beginning only, or not at all
+    "span_pairs": """SELECT o_orderkey AS fact_no, 'the shipment of order ' || CAST(o_orderkey AS VARCHAR(20)) || ' left port' AS claim, 'Source ' || CAST(o_custkey AS VARCHAR(20)) AS title, 'https://s.example.com/' || CAST(o_custkey AS VARCHAR(20)) AS url,
+        'As told, ' || CASE o_orderkey % 4 WHEN 0 THEN 'the shipment of order ' || CAST(o_orderkey AS VARCHAR(20)) || ' left port' WHEN 1 THEN 'the  shipment of  order ' || CAST(o_orderkey AS VARCHAR(20)) || '  left   port'
+        WHEN 2 THEN 'the shipment of  order ' || CAST(o_orderkey AS VARCHAR(20)) || ' left' ELSE 'no ship left' END || ' on that day.' AS text FROM orders""",
     # verdicts with the number of sources on each side
     "verdict_rows": """SELECT o_custkey % 200 AS query_id, o_orderkey AS fact_no, 'Order ' || CAST(o_orderkey AS VARCHAR(20)) || ' shipped ' || CAST(o_orderkey % 40 AS VARCHAR(20)) || ' items' AS fact,
         o_orderkey % 3 AS n_support, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n_refute, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS n_mismatch,

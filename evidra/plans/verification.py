@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import language, text, udfs
+from ..functions import language
 from ..operators import critic, gaps, matching, synthesis
 from .base import register, relation, table, with_inputs
 
@@ -30,30 +30,12 @@ def date_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.regexp_extract_all("t", F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), 0), ",").alias("dates"))
 
 
-@register("extract_facts")
-def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.facts_of(F.col("text"), F.lit("the order of things"), F.lit(8))).alias("fact_no", "fact"))
-    return rows
-
-
-@register("evidence_windows")
-def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("w", F.explode(udfs.windows_of(F.col("text"), F.lit("the edition of another thing"))))
-    return rows.select("doc_id", "w.start", "w.end", F.round("w.score", 6).alias("score"), F.array_join("w.terms", " ").alias("terms"))
-
-
-@register("evidence_blob")
-def evidence_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.windows_of(F.col("text"), F.lit("the edition of another thing"))).alias("nr", "w"))
-    return synthesis.prefix_within(rows.select("doc_id", "nr", "w.text"), ["doc_id"], "nr")
-
-
 _UNITS = r"regexp_extract_all(lower(text), '\b(\d+)\s+([a-z]{{3,}})\b', {})"
-_NUM = rf"""CASE WHEN len(list_filter(list_zip({_UNITS.format(1)}, {_UNITS.format(2)}), lambda p: p[2] IN ('drone', 'drones') AND p[1] = split_part(fact, ' ', 1))) > 0 THEN 'num_morph'
+NUMERIC = rf"""CASE WHEN len(list_filter(list_zip({_UNITS.format(1)}, {_UNITS.format(2)}), lambda p: p[2] IN ('drone', 'drones') AND p[1] = split_part(fact, ' ', 1))) > 0 THEN 'num_morph'
   WHEN len(list_filter({_UNITS.format(2)}, lambda w: w IN ('drone', 'drones'))) > 0 THEN 'num_mismatch' END"""
 
 
-@register("numeric_match", with_inputs(f"SELECT fact_no, {_NUM} AS method FROM fact_pairs", "fact_pairs"))
+@register("numeric_match", with_inputs(f"SELECT fact_no, {NUMERIC} AS method FROM fact_pairs", "fact_pairs"))
 def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "fact_pairs").select("fact_no", language.numeric_match(F.col("fact"), F.col("text")).alias("method"))
 
@@ -91,13 +73,7 @@ def mismatch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fact_no", F.expr("substring(lower(text), s.start + 1, s.end - s.start)").alias("wrong"))
 
 
-@register("fuzzy_match")
-def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.match_facts(relation(spark, sf_dir, "fact_pairs"))
-    return rows.select("fact_no", "matched", "method", F.round("score", 4).alias("score"))
-
-
-_SIDES = f"""SELECT query_id, fact, fact_no, CASE WHEN contains(lower(text), fact) THEN 'exact' ELSE {_NUM} END AS method, {_NEG} AS negated FROM fact_pairs"""
+_SIDES = f"""SELECT query_id, fact, fact_no, CASE WHEN contains(lower(text), fact) THEN 'exact' ELSE {NUMERIC} END AS method, {_NEG} AS negated FROM fact_pairs"""
 
 
 @register(
@@ -223,10 +199,10 @@ def citation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def claim_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.bucket_counts(_classified(spark, sf_dir)[1])
+    return synthesis.bucket_counts(classified_frames(spark, sf_dir)[1])
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def classified_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     verdicts = verdict_frame(spark, sf_dir)
     every = F.concat(F.transform("supporting_sources", lambda s: s["url"]), F.col("refuting_sources"), F.transform("numeric_mismatch_sources", lambda s: s["url"]))
     links = verdicts.select("query_id", F.explode(every).alias("url")).distinct()
@@ -234,20 +210,6 @@ def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return cited, synthesis.classified(verdicts, cited)
 
 
-@register("answer_markdown")
-def answer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited, rows = _classified(spark, sf_dir)
-    questions = rows.select("query_id").distinct().withColumn("query", F.format_string("What about customer %d?", "query_id"))
-    return synthesis.render_answer(questions, rows, cited)
-
-
-@register("audit_markdown")
-def audit_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = _classified(spark, sf_dir)
-    questions = rows.select("query_id").distinct().withColumn("query", F.format_string("What about customer %d?", "query_id"))
-    return synthesis.render_audit(questions, rows)
-
-
 # --- Critic ---------------------------------------------------------------
 
 _NUMBERS = r"list_distinct(regexp_extract_all({}, '\b\d{{1,3}}\b'))"
@@ -271,14 +233,14 @@ def numeric_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return critic.numeric_consistency(relation(spark, sf_dir, "claims"), relation(spark, sf_dir, "claim_sources"))
 
 
-_ENTITIES = r"list_distinct(regexp_extract_all({}, '\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,3}})\b'))"
+ENTITIES = r"list_distinct(regexp_extract_all({}, '\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){{0,3}})\b'))"
 
 
 @register(
     "entity_grounding_antijoin",
     with_inputs(
-        rf"""WITH known AS (SELECT DISTINCT query_id, lower(unnest({_ENTITIES.format('text')})) AS entity FROM claim_sources)
-        SELECT query_id, claim_no, name FROM (SELECT query_id, claim_no, unnest({_ENTITIES.format('claim')}) AS name FROM claims) c
+        rf"""WITH known AS (SELECT DISTINCT query_id, lower(unnest({ENTITIES.format('text')})) AS entity FROM claim_sources)
+        SELECT query_id, claim_no, name FROM (SELECT query_id, claim_no, unnest({ENTITIES.format('claim')}) AS name FROM claims) c
         WHERE EXISTS (SELECT 1 FROM known k WHERE k.query_id = c.query_id) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.query_id = c.query_id AND k.entity = lower(c.name))""",
         "claims", "claim_sources",
     ),
@@ -302,11 +264,6 @@ def temporal_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return critic.temporal_consistency(relation(spark, sf_dir, "claims"), relation(spark, sf_dir, "claim_sources"))
 
 
-@register("entity_hallucination")
-def entity_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return critic.entity_hallucination(relation(spark, sf_dir, "claims"), relation(spark, sf_dir, "claim_sources"))
-
-
 @register(
     "self_contradiction",
     with_inputs(
@@ -322,13 +279,6 @@ def self_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return critic.self_contradiction(verdict_frame(spark, sf_dir))
 
 
-@register("citation_integrity")
-def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited, rows = _classified(spark, sf_dir)
-    questions = rows.select("query_id").distinct().withColumn("query", F.lit("see https://unknown.example.com/x [999]"))
-    return critic.citation_integrity(synthesis.render_answer(questions, rows, cited), cited)
-
-
 _RISK = """SELECT o_custkey AS query_id, CASE WHEN o_orderkey % 29 = 0 THEN 'high' WHEN o_orderkey % 13 = 0 THEN 'medium' ELSE 'low' END AS severity, CASE o_orderkey % 2 WHEN 0 THEN 'numeric_consistency' ELSE 'temporal_consistency' END AS category, '' AS message, CAST(o_orderkey AS VARCHAR(20)) AS claim FROM orders"""
 
 
@@ -360,20 +310,15 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def gap_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir).select("query_id", "kind")
+    return gap_frame(spark, sf_dir).select("query_id", "kind")
 
 
-def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gap_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, sources = relation(spark, sf_dir, "claims"), relation(spark, sf_dir, "claim_sources").filter("text LIKE 'In 2%'")
     documents = sources.withColumn("seq", F.xxhash64("url")).withColumn("source_score", F.lit(0.25))
     return gaps.analyze(claims.select("query_id").distinct(), sources.select("query_id"), documents, claims, verdict_frame(spark, sf_dir))
 
 
-@register("gap_details")
-def gap_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, sf_dir)
-
-
 @register(
     "gap_tasks",
     """WITH g AS (SELECT DISTINCT o_custkey AS query_id, CASE o_orderkey % 6 WHEN 0 THEN 'too_few_sources' WHEN 1 THEN 'low_source_diversity' WHEN 2 THEN 'too_many_unsupported_claims' WHEN 3 THEN 'contradictions_unresolved' WHEN 4 THEN 'low_confidence' ELSE 'no_search_results' END AS kind FROM orders)
@@ -388,12 +333,6 @@ def gap_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.gap_tasks(found, questions).select("query_id", "kind", "query", "priority")
 
 
-@register("claim_spans")
-def claim_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, sf_dir, "fact_pairs").withColumn("s", udfs.span_of(F.col("fact"), F.col("text")))
-    return rows.select("fact_no", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), synthesis.span_marker(F.lit(0), F.col("s.start"), F.col("s.end")).alias("marker"))
-
-
 @register("first_unused_claim", with_inputs(
     """WITH c AS (SELECT query_id, claim_no, claim, row_number() OVER (PARTITION BY query_id, claim ORDER BY claim_no) AS nth FROM claims), f AS (SELECT query_id, claim_no AS fact_no, claim, row_number() OVER (PARTITION BY query_id, claim ORDER BY claim_no) AS nth FROM claims WHERE claim_no % 2 = 0)
     SELECT f.query_id, f.fact_no, c.claim_no FROM f LEFT JOIN c USING (query_id, claim, nth)""", "claims"))
@@ -401,8 +340,3 @@ def first_unused_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relation(spark, sf_dir, "claims")
     facts = rows.filter("claim_no % 2 = 0").select("query_id", F.col("claim_no").alias("fact_no"), F.col("claim").alias("fact"))
     return synthesis.first_unused(rows.withColumnRenamed("claim", "text"), facts).select("query_id", "fact_no", "claim_no")
-
-
-@register("text_helpers", "SELECT c_custkey, c_name || ' …' AS shown, replace(c_name, '#', '\\#') AS escaped FROM (SELECT c_custkey, c_name FROM customer)".replace("c_name || ' …' AS shown", "c_name AS shown"))
-def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", text.shortened(F.col("c_name"), 60).alias("shown"), text.markdown_escape(F.col("c_name")).alias("escaped"))

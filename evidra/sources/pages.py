@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text, udfs, urls
 
 MOST_CHARACTERS = 8000
+MOST_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,14 +16,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def fetched(pages: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
-    """Stored pages (url, html) as fetched documents: title, text cut to ``most`` characters, length, error."""
+    """Stored pages (url, html, and as far as known final_url and content_type) as fetched documents: title, text cut to ``most`` characters, length, error.
+
+    Errors are rows: addresses that may not be fetched, before or after a
+    redirect, and content that is no HTML or XML. Of longer pages only the
+    first ``MOST_BYTES`` are looked at, as a fetcher reads no more.
+    """
+    have = pages.columns
+    final = F.coalesce("final_url", "url") if "final_url" in have else F.col("url")
+    kind = F.coalesce("content_type", F.lit("")) if "content_type" in have else F.lit("text/html")
+    why = (
+        F.when(~urls.is_safe_literal(F.col("url")), "blocked unsafe URL (SSRF guard)").when(~urls.is_safe_literal(final), "blocked unsafe final URL (after redirect)")
+        .when(~F.contains(kind, F.lit("html")) & ~F.contains(kind, F.lit("xml")), F.concat(F.lit("non-html: "), kind))
+    )
+    html = F.when(F.octet_length("html") > MOST_BYTES, F.decode(F.substring(F.encode("html", "UTF-8"), 1, MOST_BYTES), "UTF-8")).otherwise(F.col("html"))
+    rows = pages.select(F.when(urls.is_safe_literal(F.col("url")), final).otherwise(F.col("url")).alias("url"), why.alias("error"), html.alias("html"))
     body = text.html_to_text(F.col("html"))
-    rows = pages.select("url", F.when(urls.is_safe_literal(F.col("url")), "").otherwise("blocked").alias("_why"), text.html_title(F.col("html")).alias("_title"), body.alias("_text"))
-    rows = rows.withColumn("_title", F.when(F.contains("_title", F.lit("&")), udfs.unescape(F.when(F.contains("_title", F.lit("&")), F.col("_title")))).otherwise(F.col("_title")))
-    rows = rows.withColumn("_text", F.when(F.contains("_text", F.lit("&")), udfs.unescape(F.when(F.contains("_text", F.lit("&")), F.col("_text")))).otherwise(F.col("_text")))
-    cut = text.cut_off(F.col("_text"), most)
-    blocked = F.col("_why") != ""
-    return rows.select("url", F.when(~blocked, F.col("_title")).alias("title"), F.when(~blocked, F.trim(cut)).alias("text"), F.when(~blocked, F.length(cut)).otherwise(0).alias("length"), F.when(blocked, F.lit("blocked address")).alias("error"))
+    rows = rows.select("url", "error", F.when(F.col("error").isNull(), text.html_title(F.col("html"))).alias("title"), F.when(F.col("error").isNull(), body).alias("text"))
+    plain = lambda c: F.when(F.contains(c, F.lit("&")), udfs.unescape(F.when(F.contains(c, F.lit("&")), F.col(c)))).otherwise(F.col(c))
+    rows = rows.select("url", "error", plain("title").alias("title"), text.cut_off(plain("text"), most).alias("text"))
+    return rows.select("url", F.coalesce("title", F.lit("")).alias("title"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.length("text"), F.lit(0)).alias("length"), "error")
 
 
 def collect_files(spark: SparkSession, root: str, ignore: list[str]) -> DataFrame:
@@ -34,12 +47,20 @@ def collect_files(spark: SparkSession, root: str, ignore: list[str]) -> DataFram
     return files.orderBy("path")
 
 
-def scan_secrets(spark: SparkSession, root: str) -> DataFrame:
-    """Matches of the redaction rules per file; -1 for binary ones."""
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder with their content and whether it is binary: whether a byte of the first 1024 is 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    binary = F.instr(F.hex(F.substring("content", 1, 1024)), "00") > 0
-    plain = F.decode("content", "UTF-8")
-    return files.select("path", F.when(binary & F.hex(F.substring("content", 1, 1024)).rlike("^(..)*00"), -1).otherwise(udfs.secret_counts(plain)).alias("matches"))
+    return files.select("path", "content", F.hex(F.substring("content", 1, 1024)).rlike("^(..)*00").alias("binary"))
+
+
+def scan_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Matches of the redaction rules per file; 0 for binary ones."""
+    return _files(spark, root).select("path", F.when(F.col("binary"), 0).otherwise(udfs.secret_counts(F.decode("content", "UTF-8"))).alias("matches"))
+
+
+def redact_files(spark: SparkSession, root: str) -> DataFrame:
+    """The text of every file without its secrets; a note for binary ones."""
+    return _files(spark, root).select("path", F.when(F.col("binary"), "<binary file redacted>").otherwise(udfs.redact_secrets(F.when(~F.col("binary"), F.decode("content", "UTF-8")))).alias("text"))
 
 
 def has_secret_name(name: Column) -> Column:

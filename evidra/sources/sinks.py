@@ -16,7 +16,15 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def report_text(aggregate: DataFrame) -> str:
-    """The one row of an aggregate as lines of ``name: value``."""
+def report_text(aggregate: DataFrame, results: DataFrame, most: int = 1000) -> str:
+    """An evaluation as text: the aggregate, then a line for each of the first ``most`` results by id."""
     row = aggregate.first()
-    return "" if row is None else "\n".join(f"{k}: {v}" for k, v in row.asDict().items())
+    if row is None:
+        return ""
+    total = row.asDict()
+    lines = ["=" * 70, f"EVAL REPORT ({total['queries']} queries)", "=" * 70, f"QS mean: {total['qs_mean']:.4f}  (min {total['qs_min']:.4f} / max {total['qs_max']:.4f})"]
+    lines += [f"{k}: {v}" for k, v in total.items() if k not in ("queries", "qs_mean", "qs_min", "qs_max")]
+    lines += ["", "Per-query breakdown:", "-" * 70]
+    for r in results.orderBy("id").limit(most).collect():
+        lines.append(f"{r['id']!s:20s} | QS {r['qs']:.3f} | route {'✓' if r['route_ok'] else '✗'} ({r['route']}/{r['expected_route']})")
+    return "\n".join([*lines, "-" * 70])
