@@ -47,6 +47,8 @@ BLOCK_BYTES = 32 << 20
 PART_BYTES = 1 << 20
 #: Words that are handed to the library at a time.
 WORDS = 20_000
+#: How hard packed batches are compressed.
+LEVEL = 5
 #: Places of words that are gathered before they are packed by block.
 PLACES = 200_000
 
@@ -118,7 +120,7 @@ def decode_ids(rows: DataFrame, key: str, pieces: DataFrame, ids: str = "ids") -
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
