@@ -58,6 +58,15 @@ def adapted_confidence(method: Column, found: Column, shared: Column) -> Column:
     )
 
 
+def first_words(query: Column, most: int = 8) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(query, r"(?U)\s+"), lambda w: w != ""), 1, most), " ")
+
+
+def main_query(entities: Column) -> Column:
+    """The first eight words of the first three entities, URLs left out."""
+    return first_words(text.without_urls(F.array_join(F.slice(entities, 1, 3), " ")))
+
+
 def entity_pairs(entities: Column) -> Column:
     """Every two of the first three entities, in order, unless they are equal."""
     at = lambda i: F.try_element_at(entities, F.lit(i))
@@ -77,10 +86,8 @@ def adapt(questions: DataFrame) -> DataFrame:
     rows = entities(questions).withColumn("n_words", size).withColumn("language", language.detect_language(F.col("query")))
     short = F.col("n_words") <= 10
     found = F.size("entities") > 0
-    head = lambda c: F.array_join(F.slice(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""), 1, 8), " ")
-    composed = head(text.without_urls(F.array_join(F.slice("entities", 1, 3), " ")))
     rows = rows.withColumn("adaptation_method", F.when(short, "passthrough").when(found, "deterministic").otherwise("degraded"))
-    rows = rows.withColumn("main_query", F.when(short, F.trim("query")).when(found, composed).otherwise(head(F.col("query"))))
+    rows = rows.withColumn("main_query", F.when(short, F.trim("query")).when(found, main_query(F.col("entities"))).otherwise(first_words(F.col("query"))))
     alts = F.array_distinct(F.filter(entity_pairs(F.col("entities")), lambda a: a != F.col("main_query")))
     rows = rows.withColumn("alt_queries", F.when(short, F.array().cast("array<string>")).otherwise(alts))
     new = F.concat_ws(" ", F.col("main_query"), F.array_join("alt_queries", " "))

@@ -65,8 +65,8 @@ def markers(links: DataFrame, citations: DataFrame, keys: list[str]) -> DataFram
 
 
 def span_marker(document: Column, start: Column, end: Column) -> Column:
-    """``[doc_i:start-end]``; null where there is no span."""
-    return F.when((start >= 0) & (end > start), F.format_string("[doc_%d:%d-%d]", document, start, end))
+    """``[doc_i:start-end]``; null where there is no document or no span."""
+    return F.when(document.isNotNull() & (start >= 0) & (end > start), F.format_string("[doc_%d:%d-%d]", document, start, end))
 
 
 def bucket(verdict: Column, cited: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries over the test tables and their SQL twins."""
 
-from . import corpus, details, hub, questions, verification
+from . import corpus, details, hub, parts, questions, verification
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus", "details", "hub", "questions", "verification"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "details", "hub", "parts", "questions", "verification"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text, udfs, urls
 from ..operators import evaluation, gaps, matching, ranking
-from ..sources import pages as page_source
 from .base import register, relation, table, with_inputs
 
 _TRACKING = "|".join(fixed.TRACKING_PARAMS)
@@ -28,11 +27,11 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     "url_parts",
     rf"""SELECT page_id, {DOMAIN} AS domain, {DOMAIN} || CASE WHEN length(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')[-1]) > 2
       THEN ' — ' || substr(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '')[-1], 1, 40) ELSE '' END AS title,
-      contains(url, '?action=') OR contains(url, 't.me/') AS denied, true AS safe FROM pages""",
+      contains(url, '?action=') OR contains(url, 't.me/') AS denied FROM pages""",
 )
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", urls.domain_of(u).alias("domain"), urls.url_title(u).alias("title"), urls.is_denied(u).alias("denied"), urls.is_safe_literal(u).alias("safe"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.domain_of(u).alias("domain"), urls.url_title(u).alias("title"), urls.is_denied(u).alias("denied"))
 
 
 @register("domain_diversity", f"SELECT page_id % 20 AS query_id, count(*) AS documents, count(DISTINCT nullif({DOMAIN}, '')) AS domains FROM pages GROUP BY 1")
@@ -53,11 +52,6 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 
 
-@register("fetched_pages")
-def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.fetched(table(spark, sf_dir, "pages").select("url", "html"))
-
-
 def terms_sql(column: str) -> str:
     words = f"list_filter(regexp_extract_all(lower({column}), '[a-zа-яё0-9]+'), lambda w: length(w) >= 3)"
     return f"list_filter({words}, lambda w, i: list_position({words}, w) = i)[1:12]"
@@ -212,21 +206,25 @@ def url_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.url_counters(table(spark, sf_dir, "pages").withColumns({"query_id": F.col("page_id") % 10, "seq": F.col("page_id")}))
 
 
-@register("secret_counts", "SELECT doc_id, 0 AS matches FROM documents")
-def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", udfs.secret_counts(F.col("text")).alias("matches"))
+#: A secret of each of the five kinds, in texts with one, some or all of them; the secret itself is a checksum of the key.
+_KEY = "md5(CAST(c_custkey AS VARCHAR(20)))"
+_SECRETS = [("'at https://bob:'", "'@host.example.com/x'"), ("'LLM_API_KEY='", "''"), ("'bot 123456789:'", "''"), ("'Bearer '", "''"), ("'use ghp_'", "''")]
+_HAS = ["c_custkey % 6 IN (0, 5)", "c_custkey % 6 IN (1, 5)", "c_custkey % 6 IN (2, 5)", "c_custkey % 6 IN (3, 5)", "c_custkey % 3 = 1"]
 
 
-_SECRET_TEXT = "'user https://bob:' || c_mktsegment || CAST(c_custkey AS VARCHAR(20)) || '@host.example.com/x and LLM_API_KEY=' || c_mktsegment || CAST(c_custkey AS VARCHAR(20)) || 'Z LOG_LEVEL=info'"
+def _secret_text(secret: str) -> str:
+    return " || ".join(f"CASE WHEN {has} THEN {before} || {secret} || {after} ELSE 'nothing' END || ' ; '" for has, (before, after) in zip(_HAS, _SECRETS, strict=True))
 
 
-@register(
-    "redact_secrets",
-    f"""SELECT c_custkey, regexp_replace(regexp_replace({_SECRET_TEXT}, '(https://bob:)[^@]*([^@]{{4}})@', '\\1...\\2@'), '(LLM_API_KEY=)\\S*(\\S{{4}}) ', '\\1...\\2 ') AS redacted FROM customer""",
-)
+@register("secret_counts", "SELECT c_custkey, (" + " + ".join(f"CASE WHEN {has} THEN 1 ELSE 0 END" for has in _HAS) + ")::INTEGER AS matches FROM customer")
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.secret_counts(F.expr(_secret_text(_KEY))).alias("matches"))
+
+
+@register("redact_secrets", f"SELECT c_custkey, {_secret_text(f'{chr(39)}...{chr(39)} || substr({_KEY}, 29, 4)')} AS redacted FROM customer")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").withColumn("raw", F.expr(_SECRET_TEXT))
-    return rows.select("c_custkey", udfs.redact_secrets(F.col("raw")).alias("redacted"))
+    """Secrets of all five kinds but their last four characters."""
+    return table(spark, sf_dir, "customer").select("c_custkey", udfs.redact_secrets(F.expr(_secret_text(_KEY))).alias("redacted"))
 
 
 @register(

@@ -17,7 +17,7 @@ SINCE, UNTIL = datetime(2024, 1, 10), datetime(2024, 1, 25, 12)
 _NEWEST = "newest AS (SELECT repo_id, arg_max(base_model, (last_modified, arrival)) AS base_model, max(last_modified) AS last_modified, arg_max(downloads, (last_modified, arrival)) AS downloads, arg_max(likes, (last_modified, arrival)) AS likes, arg_max(user_id, (last_modified, arrival)) AS user_id FROM signals GROUP BY 1)"
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relation(spark, sf_dir, "signals")
     return rows.withColumn("created_at", F.col("base_ts") + F.make_dt_interval(F.col("user_id") % 30)).drop("base_ts")
 
@@ -27,10 +27,10 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_inputs("SELECT repo_id, last_modified, arrival, downloads, likes FROM signals QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY last_modified DESC, arrival DESC) = 1", "signals"),
 )
 def hub_signal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hub.newest_signals(_signals(spark, sf_dir)).select("repo_id", "last_modified", "arrival", "downloads", "likes")
+    return hub.newest_signals(signals(spark, sf_dir)).select("repo_id", "last_modified", "arrival", "downloads", "likes")
 
 
-_FAMILIES = """s AS (SELECT repo_id, coalesce(nullif(base_model, ''), repo_id) AS family_id, base_ts + to_days((user_id % 30)::INTEGER) AS created_at, last_modified, downloads, likes, arrival,
+FAMILIES = """s AS (SELECT repo_id, coalesce(nullif(base_model, ''), repo_id) AS family_id, base_ts + to_days((user_id % 30)::INTEGER) AS created_at, last_modified, downloads, likes, arrival,
     coalesce(base_model <> '' AND lower(base_model) <> lower(repo_id), false) AS derived FROM signals QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY last_modified DESC, arrival DESC) = 1),
   w AS (SELECT *, created_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-25 12:00:00' AS new, last_modified BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-25 12:00:00' AS mod FROM s),
   f AS (SELECT family_id, count_if(new AND NOT derived) AS roots, count_if(new AND derived) AS ders, count_if(new) AS news, count_if(created_at < TIMESTAMP '2024-01-10' AND mod) AS upd, sum(likes) + least(1000, sum(downloads)) / 100 AS eng,
@@ -43,16 +43,16 @@ _FAMILIES = """s AS (SELECT repo_id, coalesce(nullif(base_model, ''), repo_id) A
 @register(
     "hub_candidates",
     with_inputs(
-        f"""WITH {_FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score, news::BIGINT AS new_repositories, upd::BIGINT AS updated_repositories, ders::BIGINT AS derivative_repositories, first_signal_at, last_signal_at, n AS signal_count,
+        f"""WITH {FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score, news::BIGINT AS new_repositories, upd::BIGINT AS updated_repositories, ders::BIGINT AS derivative_repositories, first_signal_at, last_signal_at, n AS signal_count,
         'https://huggingface.co/' || family_id AS model_url, 'https://huggingface.co/api/models/' || family_id AS model_api_url FROM c WHERE state_hint IS NOT NULL""",
         "signals",
     ),
 )
 def hub_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hub.build_candidates(hub.newest_signals(_signals(spark, sf_dir)), SINCE, UNTIL)
+    return hub.build_candidates(hub.newest_signals(signals(spark, sf_dir)), SINCE, UNTIL)
 
 
-@register("hub_top_candidates", with_inputs(f"WITH {_FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score FROM c WHERE state_hint IS NOT NULL ORDER BY 3 DESC, lower(family_id), family_id LIMIT 20", "signals"))
+@register("hub_top_candidates", with_inputs(f"WITH {FAMILIES} SELECT family_id, state_hint, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score FROM c WHERE state_hint IS NOT NULL ORDER BY 3 DESC, lower(family_id), family_id LIMIT 20", "signals"))
 def hub_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hub.top_candidates(hub_candidates(spark, sf_dir), 20).select("family_id", "state_hint", "score")
 
@@ -85,7 +85,7 @@ def channel_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "hub_recall",
     with_inputs(
-        f"""WITH {_FAMILIES}, cand AS (SELECT lower(family_id) AS fam, state_hint, 'https://huggingface.co/' || family_id AS u1, 'https://huggingface.co/api/models/' || family_id AS u2 FROM c WHERE state_hint IS NOT NULL),
+        f"""WITH {FAMILIES}, cand AS (SELECT lower(family_id) AS fam, state_hint, 'https://huggingface.co/' || family_id AS u1, 'https://huggingface.co/api/models/' || family_id AS u2 FROM c WHERE state_hint IS NOT NULL),
         hit AS (SELECT case_id, list_sort(list(DISTINCT state_hint)) AS states, bool_or(p IN (u1, u2)) AS prim FROM (SELECT case_id, unnest(list_distinct([lower(alias1), lower(alias2)])) AS a, 'https://huggingface.co' || rtrim(regexp_extract(primary_url, 'https://[^/]*(.*)', 1), '/') AS p FROM cases) x JOIN cand ON cand.fam = x.a GROUP BY 1),
         r AS (SELECT *, status IN ('release', 'limited_release') AND availability = 'open_weights' AS el, status = 'not_release_in_window' AS neg FROM cases LEFT JOIN hit USING (case_id))
         SELECT count_if(el)::BIGINT AS eligible_fresh_cases, count_if(el AND states IS NOT NULL)::BIGINT AS eligible_fresh_cases_recalled, round(count_if(el AND states IS NOT NULL) / nullif(count_if(el), 0), 4) AS eligible_fresh_case_recall, round(count_if(el AND coalesce(prim, false)) / nullif(count_if(el), 0), 4) AS eligible_primary_source_recall,

@@ -10,7 +10,7 @@ from ..operators import planning
 from .base import re2, register, relation, table, with_inputs
 
 
-def _quoted(words: list[str]) -> str:
+def quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
@@ -26,7 +26,7 @@ def language_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "questions").select("query_id", language.detect_language(F.col("query")).alias("language"))
 
 
-_INFER = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(query), {_quoted([w])})' for w in words)} THEN '{span}'" for span, words in fixed.TIME_WORDS.items()) + rf" WHEN regexp_matches(lower(query), '(^|[^\pL\pN_])(в|за|in|during)\s+(19|20)\d\d([^\pL\pN_]|$)') THEN 'year' END"
+_INFER = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(query), {quoted([w])})' for w in words)} THEN '{span}'" for span, words in fixed.TIME_WORDS.items()) + rf" WHEN regexp_matches(lower(query), '(^|[^\pL\pN_])(в|за|in|during)\s+(19|20)\d\d([^\pL\pN_]|$)') THEN 'year' END"
 _RECENT = "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(lower(query), {chr(39)}{re2(p)}{chr(39)})' for p in patterns)} THEN '{span}'" for span, patterns in fixed.RECENCY.items()) + " END"
 
 
@@ -42,7 +42,7 @@ def _hits(route: str) -> str:
 _ROUTES = list(fixed.ROUTE_PATTERNS)
 _RAW = "SELECT query_id, query, " + ", ".join(f"{_hits(r)}::DOUBLE AS {r}" for r in _ROUTES) + " FROM questions"
 _YEAR = "regexp_matches(query, '(^|[^0-9a-z_])20[2-9][0-9]([^0-9a-z_]|$)') AND (news > 0 OR technical > 0)"
-_LONG = f"""raw AS ({_RAW}), scored AS (SELECT query_id, unnest([{_quoted(_ROUTES)}]) AS route, unnest([{', '.join(f"{r} + CASE WHEN {_YEAR} THEN 0.5 ELSE 0 END" if r == 'news' else r for r in _ROUTES)}]) AS score, unnest(range({len(_ROUTES)})) AS nr FROM raw)"""
+_LONG = f"""raw AS ({_RAW}), scored AS (SELECT query_id, unnest([{quoted(_ROUTES)}]) AS route, unnest([{', '.join(f"{r} + CASE WHEN {_YEAR} THEN 0.5 ELSE 0 END" if r == 'news' else r for r in _ROUTES)}]) AS score, unnest(range({len(_ROUTES)})) AS nr FROM raw)"""
 
 
 @register("route_scoring", with_inputs(f"WITH {_LONG} SELECT query_id, route, score FROM scored WHERE score > 0", "questions"))
@@ -86,7 +86,7 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "content_nouns",
     with_inputs(
-        f"""SELECT query_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS nouns FROM (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[a-zа-яё]{{4,}}'), lambda x: x NOT IN ({_quoted(fixed.STOP_WORDS)}) AND x NOT IN ({_quoted(fixed.CONTENT_BLACKLIST)})) AS w FROM questions)""",
+        f"""SELECT query_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS nouns FROM (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[a-zа-яё]{{4,}}'), lambda x: x NOT IN ({quoted(fixed.STOP_WORDS)}) AND x NOT IN ({quoted(fixed.CONTENT_BLACKLIST)})) AS w FROM questions)""",
         "questions",
     ),
 )
@@ -152,7 +152,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The ending of a query that looks for dissent follows a checksum, which SQL has no function for; its row is compared without it.
 _TASKS = f"""{_PLANS}, listed AS (SELECT *, list_concat([{{'q': CASE WHEN route = 'llm_release' THEN query ELSE main_query END, 'p': 100, 'w': 'main adapted query'}}],
     CASE WHEN route = 'llm_release' THEN [] ELSE list_transform(alt_queries, lambda a: {{'q': a, 'p': 80, 'w': 'alt query'}}) END, list_transform(variants, lambda v: {{'q': v, 'p': 70, 'w': 'route-specific variant'}}),
-    CASE WHEN route IN ({_quoted(fixed.FALSIFICATION_ROUTES)}) THEN [{{'q': main_query, 'p': 40, 'w': 'falsification'}}] ELSE [] END) AS tasks FROM plans)"""
+    CASE WHEN route IN ({quoted(fixed.FALSIFICATION_ROUTES)}) THEN [{{'q': main_query, 'p': 40, 'w': 'falsification'}}] ELSE [] END) AS tasks FROM plans)"""
 
 
 @register(

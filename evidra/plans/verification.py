@@ -40,10 +40,10 @@ def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "fact_pairs").select("fact_no", language.numeric_match(F.col("fact"), F.col("text")).alias("method"))
 
 
-_NEG = r"regexp_matches(lower(text), '(^|[^a-z0-9])(no|not)\s+(\w+\s+){0,3}' || fact || '\w*(\b|[^a-z0-9])')"
+NEGATED = r"regexp_matches(lower(text), '(^|[^a-z0-9])(no|not)\s+(\w+\s+){0,3}' || fact || '\w*(\b|[^a-z0-9])')"
 
 
-@register("negation_ascii", with_inputs(f"SELECT fact_no, {_NEG} AS negated FROM fact_pairs", "fact_pairs"))
+@register("negation_ascii", with_inputs(f"SELECT fact_no, {NEGATED} AS negated FROM fact_pairs", "fact_pairs"))
 def negation_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, "fact_pairs").select("fact_no", language.is_negated(F.col("fact"), F.col("text")).alias("negated"))
 
@@ -73,7 +73,7 @@ def mismatch_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fact_no", F.expr("substring(lower(text), s.start + 1, s.end - s.start)").alias("wrong"))
 
 
-_SIDES = f"""SELECT query_id, fact, fact_no, CASE WHEN contains(lower(text), fact) THEN 'exact' ELSE {NUMERIC} END AS method, {_NEG} AS negated FROM fact_pairs"""
+_SIDES = f"""SELECT query_id, fact, fact_no, CASE WHEN contains(lower(text), fact) THEN 'exact' ELSE {NUMERIC} END AS method, {NEGATED} AS negated FROM fact_pairs"""
 
 
 @register(
