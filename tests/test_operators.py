@@ -1,12 +1,13 @@
 """Operators on small relations with known answers."""
 
+import io
 import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import gaps, hub, matching, planning, ranking, research, synthesis
+from evidra.operators import critic, evaluation, gaps, hub, legacy, matching, planning, ranking, research, synthesis
 from evidra.plans import QUERIES
 from evidra.sources import pages, replay, sinks
 from evidra.streaming import hub_stream
@@ -50,8 +51,8 @@ def test_verdicts(spark, s, r, m, expected):
 
 
 def test_verify_and_overlay(spark):
-    facts = spark.createDataFrame([(1, 1, "22 БПЛА", "Сообщается, что сбито 22 БПЛА."), (1, 2, "red fox", "A red fox.")], "query_id int, fact_no int, fact string, top_text string")
-    sources = spark.createDataFrame([(1, "u", "Утром обнаружили 23 беспилотника. Позже сбили 22 беспилотника.")], "query_id int, url string, text string")
+    facts = spark.createDataFrame([(1, 1, "14 ракет", "В порту стоят 14 ракет."), (1, 2, "red fox", "A red fox.")], "query_id int, fact_no int, fact string, top_text string")
+    sources = spark.createDataFrame([(1, "u", "Сначала насчитали 13 ракет, к вечеру 14 ракет.")], "query_id int, url string, text string")
     rows = matching.verify(facts, sources)
     assert {r.fact_no: r.verdict for r in rows.collect()} == {1: "SUPPORTS", 2: "INSUFFICIENT"}
     answers = spark.createDataFrame([(1, 2, "SUPPORTS", [])], "query_id int, fact_no int, answer string, urls array<string>")
@@ -133,6 +134,23 @@ def test_replay_sources(spark, tmp_path):
     raw = spark.read.format("evidra_hits").option("path", str(tmp_path)).option("max_results", "2").load()
     rows = ranking.normalize_hits(raw, 10, key="query").collect()
     assert [(r.url, r.engines, r.snippet) for r in rows] == [("u1", ["bing"], "c")]
+    hit = lambda url, **more: {"url": url, "engine": "bing", "category": "news", "publishedDate": "2031-05-02T00:00:00Z"} | more
+    stored = [hit("u1"), hit("u2", category="general"), hit("u3", engine="ask", engines=["ask", "duck"]), hit("u4", publishedDate="2031-03-01T00:00:00Z"), hit("u5", publishedDate=None)]
+    (tmp_path / "hits.json").write_text(json.dumps({"q": stored}))
+    found = lambda **options: [r.url for r in spark.read.format("evidra_hits").options(path=str(tmp_path), **options).load().orderBy("seq").collect()]
+    now = "2031-05-03T00:00:00Z"
+    assert found(engines="duck,brave") == ["u3"] and found(categories="news", time_range="week", now=now) == ["u1", "u3"] and found(time_range="year", now=now) == ["u1", "u2", "u3", "u4"]
+    assert [r.url for r in replay.news_search(spark, str(tmp_path), now).orderBy("seq").collect()] == ["u1", "u3"]
+    asked = []
+
+    def flaky():
+        asked.append(1)
+        if len(asked) < 3:
+            raise OSError("busy")
+        return {"results": [1]}
+
+    assert replay.answer(flaky, retries=2, wait=0.0) == ({"results": [1]}, None) and len(asked) == 3
+    assert replay.answer(lambda: {}, retries=2, wait=0.0) == ({}, None)
     page = [{"id": "a/b", "createdAt": "2024-01-01T00:00:00Z", "lastModified": "2024-01-01T00:00:00Z"}]
     (tmp_path / "text-generation_createdAt-0.json").write_text(json.dumps(page))
     models = spark.read.format("evidra_models").option("path", str(tmp_path)).option("since", "2024-02-01T00:00:00Z").load()
@@ -145,13 +163,52 @@ def test_sinks_and_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("MY_API_KEY=abcdefgh1234")
     (tmp_path / "b.bin").write_bytes(b"\0\1")
     found = {r.path.rsplit("/", 1)[1]: r.matches for r in pages.scan_secrets(spark, str(tmp_path)).collect()}
-    assert found == {"a.txt": 1, "b.bin": -1}
+    assert found == {"a.txt": 1, "b.bin": 0}
+    clean = {r.path.rsplit("/", 1)[1]: r.text for r in pages.redact_files(spark, str(tmp_path)).collect()}
+    assert clean == {"a.txt": "MY_API_KEY=...1234", "b.bin": "<binary file redacted>"}
     assert [r.path.rsplit("/", 1)[1] for r in pages.collect_files(spark, str(tmp_path), ["*.bin"]).collect()] == ["a.txt"]
     for _ in range(2):
         sinks.append_jsonl(spark.range(2), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4
 
 
+def test_evaluation_sets_and_reports(spark, tmp_path):
+    (tmp_path / "set.json").write_text(json.dumps({"version": 1, "cases": [{"id": "a", "route": "news"}, {"id": "b", "route": "wiki"}]}, indent=1))
+    (tmp_path / "list.json").write_text(json.dumps([{"id": "a"}, {"id": "c"}], indent=1))
+    assert [r.id for r in evaluation.load_cases(spark, str(tmp_path / "set.json")).orderBy("id").collect()] == ["a", "b"]
+    assert [r.id for r in evaluation.load_cases(spark, str(tmp_path / "list.json")).orderBy("id").collect()] == ["a", "c"]
+    rows = spark.createDataFrame([("a", "news", "news", 1.0, 0.0, 1.0, 3), ("b", "wiki", "news", 0.0, 1.0, 0.0, 4)], "id string, expected_route string, route string, coverage double, contradiction_rate double, confidence double, fetch_errors int")
+    results = evaluation.quality_rows(rows)
+    report = sinks.report_text(evaluation.aggregate(results), results).splitlines()
+    assert report[1] == "EVAL REPORT (2 queries)" and report[3] == "QS mean: 0.5000  (min 0.0000 / max 1.0000)" and "fetch_errors: 7" in report and report[-2].endswith("route ✗ (news/wiki)")
+
+
+def test_critic_reads_all_a_source_says(spark):
+    claims = spark.createDataFrame([(1, 1, "Blue Harbour Bank grew")], "query_id int, claim_no int, claim string")
+    sources = spark.createDataFrame([(1, "u", "Grand Hotel opened", "a note on Blue Harbour Bank", None)], "query_id int, url string, text string, snippet string, content string")
+    assert critic.ungrounded_entities(claims, sources).count() == 1
+    assert critic.ungrounded_entities(claims, critic.with_blob(sources)).count() == 0
+
+
+def test_older_flow(spark):
+    pages_ = {"https://a.org/1": "harbour cranes lift 40 boxes. " * 70, "https://b.org/2": "40 boxes were lifted at the harbour.", "https://c.org/3": "Nothing about it."}
+    found = [("harbour cranes", 1, "bing", "https://c.org/3", "C"), ("harbour cranes", 2, "bing", "https://a.org/1?utm_source=x", "harbour cranes"), ("lifting boxes", 1, "wikipedia", "https://a.org/1", "harbour cranes"), ("lifting boxes", 2, "bing", "https://b.org/2", "harbour"), ("lifting boxes", 3, "bing", "https://gone.org/", "gone")]
+    hits = spark.createDataFrame([(1, *f, "") for f in found], "query_id int, task_query string, rank int, engine string, url string, title string, snippet string")
+    corpus = spark.createDataFrame(list(pages_.items()), "url string, text string")
+    questions = spark.createDataFrame([(1, "harbour cranes", "en", ["lifting boxes", "harbour cranes"])], "query_id int, query string, language string, alt_queries array<string>")
+    run = legacy.deep_research(questions, lambda tasks: hits.join(tasks.select("query_id", F.col("query").alias("task_query")), ["query_id", "task_query"]), research.replayed_fetch(corpus), top_n=4)
+    assert [r.query for r in run.queries.orderBy("nr").collect()] == ["harbour cranes", "lifting boxes"]
+    ranked = run.sources.orderBy("rank").collect()
+    # a.org: 0.5 for its length and 0.5 for both words; b.org: one of two words and little text; c.org: neither; the last one failed
+    assert [r.url for r in ranked] == ["https://a.org/1", "https://b.org/2", "https://c.org/3", "https://gone.org/"]
+    assert ranked[0].search_votes == 4 and ranked[0].source_score == 1.0 and ranked[0].raw_urls == ["https://a.org/1", "https://a.org/1?utm_source=x"] and ranked[3].source_score == 0.0
+    assert ranked[1].source_score == pytest.approx(0.5 * len(pages_["https://b.org/2"]) / 2000 + 0.25)
+    summary = run.summary.first()
+    assert (summary.fetched_ok, summary.fetched_err, summary.unique_sources, summary.top1_url, summary.verified_facts, summary.total_facts) == (3, 1, 4, "https://a.org/1", 1, 1)
+    sources, counts = legacy.deep_search(questions, lambda tasks: hits.filter("task_query = 'harbour cranes'"), research.replayed_fetch(corpus), top_n=1)
+    assert [r.url for r in sources.collect()] == ["https://c.org/3"] and counts.first().fetched_ok == 1
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -166,6 +223,20 @@ def test_streams(spark, sf, tmp_path):
     assert got == want
 
 
+def test_sliding_windows_drop_what_comes_too_late(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    at = lambda i, stamp: (i, 1, "view", datetime.fromisoformat(stamp), 1.0)
+    for n, rows in enumerate(([at(1, "2031-01-10T00:00:00"), at(2, "2031-01-10T05:00:00")], [at(3, "2031-02-10T00:00:00")], [at(4, "2031-01-10T01:00:00"), at(5, "2031-02-10T01:00:00")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = hub_stream.read_events(spark, str(tmp_path / "in"), schema)
+        query = hub_stream.sliding_counts(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert n < 3
+    done = spark.read.parquet(str(tmp_path / "out"))
+    # the first two events are final; the fourth came after the watermark had passed and is not counted
+    assert done.filter("window.end <= '2031-02-01'").agg(F.max("events")).first()[0] == 2
+
+
 def test_model_answers(spark):
     from evidra.operators import assistant
 
@@ -193,13 +264,19 @@ def test_contested_spans(spark):
     assert synthesis.contradiction_markers(rows, places, ["query_id"]).first().contradiction_marker == "[doc_4:9-18]"
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from evidra.__main__ import main
 
     corpus = spark.createDataFrame([("https://a.org/1", "A", "Acme Corporation built 22 drones in Berlin."), ("https://b.org/2", "B", "Acme Corporation built 22 drones.")], "url string, title string, text string")
     corpus.write.parquet(str(tmp_path / "corpus"))
     assert main(["research", "Acme drones", "--corpus", str(tmp_path / "corpus"), "--approve", "--iterations", "1"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] == "done"
+    monkeypatch.setattr("sys.stdin", io.StringIO("MAP_SECRET=northwind77"))
+    assert main(["redact"]) == 0 and capsys.readouterr().out == "MAP_SECRET=...nd77"
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_text("MAP_SECRET=northwind77")
+    assert main(["redact", "--root", str(tmp_path / "files"), "--check"]) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["data"][0]["matches"] == 1
 
 
 def test_exact_spans_at_any_position(spark, tmp_path):
