@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, scoring, urls
+from . import planning
 
 
 def load_cases(spark: SparkSession, path: str, items: str = "cases") -> DataFrame:
@@ -21,6 +22,13 @@ def quality_rows(results: DataFrame) -> DataFrame:
     return rows.withColumn("qs", scoring.quality_score(F.col("coverage"), F.col("contradiction_rate"), F.col("confidence"), F.col("route_ok")))
 
 
+def score_offline(cases: DataFrame) -> DataFrame:
+    """Cases (id, query, expected_route) with what can be told without a network: route, main query, reasons to ask back, and the score with no coverage."""
+    plans = planning.classify(planning.adapt(cases))
+    rows = plans.withColumns({"coverage": F.lit(0.0), "confidence": F.lit(0.0), "contradiction_rate": F.lit(0.0), "mode": F.lit("offline")})
+    return quality_rows(rows).select("id", "query", "expected_route", "route", "route_ok", "main_query", "needs_confirmation", "dropped_terms", "coverage", "confidence", "contradiction_rate", "mode", "qs")
+
+
 def aggregate(results: DataFrame) -> DataFrame:
     """One row over all results: scores, rates, numbers of errors and model calls, and the counters of what was skipped, as far as the results have them."""
     have = set(results.columns)

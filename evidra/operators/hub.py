@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,3 +149,10 @@ def family_signals(signals: DataFrame, families: DataFrame, since: datetime, unt
     """
     rows = signals.filter(in_window(F.lit(since), F.lit(until))).withColumn("family_id", family_id()).withColumn("is_derivative", is_derivative())
     return rows.join(families.select("family_id").distinct(), "family_id", "left_semi").orderBy("family_id", "created_at", "repo_id")
+
+
+def discovery_window(as_of: datetime, buffer_hours: float) -> tuple[datetime, datetime]:
+    """Since and until of a discovery that looks back ``buffer_hours`` from ``as_of``."""
+    if buffer_hours <= 0:
+        raise ValueError("the window must be longer than nothing")
+    return as_of - timedelta(hours=buffer_hours), as_of

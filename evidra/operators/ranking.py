@@ -82,6 +82,19 @@ def rank_documents(documents: DataFrame, question: Column, key: str = "query_id"
     return rank_within(documents.withColumn("source_score", score), key, [F.desc("source_score"), F.asc("seq"), F.asc("url")])
 
 
+def search_events(tasks: DataFrame, hits: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per task (keys): number of results, engines that answered and that did not, error, and whether the search was degraded.
+
+    ``hits`` has the keys and ``engine``; ``failures`` the keys,
+    ``unresponsive`` (labels) and ``error``.
+    """
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("result_count"), F.array_sort(F.collect_set(F.when(F.col("engine") != "", F.col("engine")))).alias("responding_engines"))
+    rows = tasks.join(counts, keys, "left").join(failures.select(*keys, "unresponsive", "error"), keys, "left")
+    empty = F.array().cast("array<string>")
+    rows = rows.withColumns({"result_count": F.coalesce("result_count", F.lit(0)), "responding_engines": F.coalesce("responding_engines", empty), "unresponsive_engines": F.coalesce("unresponsive", empty)}).drop("unresponsive")
+    return rows.withColumn("degraded", is_degraded(F.col("error"), F.col("unresponsive_engines"), F.col("result_count")))
+
+
 def legacy_order(sources: DataFrame, key: str = "query_id") -> DataFrame:
     """Fetched sources with ``rank``: by score, then by length, then by URL."""
     return rank_within(sources, key, [F.desc(F.coalesce("source_score", F.lit(0.0))), F.desc(F.coalesce("length", F.lit(0))), F.asc("url")])

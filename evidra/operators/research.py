@@ -104,6 +104,21 @@ def run_research(questions: DataFrame, search: Search, fetch: Fetch, top_n: int
     return Research(plans, done, hits, documents, claims, verdicts, found, citations, answers, synthesis.render_audit(questions, rows), critic.review(flags, questions))
 
 
+def manifest(run: Research, approved: bool = True) -> DataFrame:
+    """One JSON object per question: status, plan, tasks, documents, citations, answer and review, and what the numbers are."""
+    waits = F.lit(False) if approved else F.col("needs_confirmation") | F.col("routing_warning")
+    in_order = lambda rows, order, *cols: rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("_l"))
+    plans = run.plans.select("query_id", F.when(waits, "needs_confirmation").otherwise("done").alias("status"), F.struct("query", "main_query", "alt_queries", "route", "language", "confirmation_reason").alias("plan"))
+    parts = {
+        "tasks": in_order(run.tasks, "task_id", "query", "priority", "rationale"), "documents": in_order(run.documents, "iteration", "rank", "url", "source_score"), "gaps": in_order(run.gaps, "kind", "detail"),
+        "citations": in_order(run.citations, "id", "url", "title"),
+    }
+    for name, rows in parts.items():
+        plans = plans.join(rows.withColumnRenamed("_l", name), "query_id", "left")
+    plans = plans.join(run.answers, "query_id", "left").join(run.review.select("query_id", F.struct("risk_score", "risk_level", "recommendations").alias("review")), "query_id", "left")
+    return plans.select("query_id", F.to_json(F.struct(*(c for c in plans.columns if c != "query_id"))).alias("manifest"))
+
+
 def replayed_search(corpus: DataFrame, most: int = 10) -> Search:
     """Search over a stored corpus (url, title, text): documents with most of a task's terms.
 

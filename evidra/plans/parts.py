@@ -12,7 +12,7 @@ from ..sources import sinks
 from .base import register, relation, table, with_inputs
 from .corpus import coverage_sql, terms_sql
 from .hub import FAMILIES, SINCE, UNTIL, hub_candidates, signals
-from .questions import quoted
+from .questions import PLANS, quoted
 from .verification import NEGATED, NUMERIC, verdict_frame
 
 
@@ -388,6 +388,37 @@ def valid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", synthesis.valid_markdown(_pick(list(_MARKDOWN)), ids, known).alias("valid"))
 
 
+@register(
+    "rewritten_answers",
+    """WITH a AS (SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN 'All of it is so [1], as told.' WHEN 1 THEN 'All of it is so [9].' WHEN 2 THEN ' ' WHEN 3 THEN 'See https://other.example.com/ for all [1].' ELSE NULL END AS reply FROM customer)
+      SELECT query_id, CASE WHEN query_id % 5 = 0 THEN reply ELSE 'Plain answer ' || query_id END AS answer_markdown, query_id % 5 = 0 AS enriched_by_llm, CASE query_id % 5 WHEN 0 THEN NULL WHEN 2 THEN 'llm returned non-string / empty' WHEN 4 THEN 'llm call failed: busy' ELSE 'post-validation failed' END AS llm_fallback_reason FROM a""",
+)
+def rewritten_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in a model's wording: sound, with an unknown marker, empty, with an unknown URL, and a failed call."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    said = ["All of it is so [1], as told.", "All of it is so [9].", " ", "See https://other.example.com/ for all [1].", ""]
+    replies = rows.select("query_id", F.when(F.col("query_id") % 5 != 4, _pick(said, "query_id")).alias("answer"), F.when(F.col("query_id") % 5 == 4, "busy").alias("error"))
+    citations = rows.select("query_id", F.lit(1).alias("id"), F.lit("https://s.example.com/1").alias("url"))
+    return assistant.rewritten(rows.withColumn("answer_markdown", F.concat(F.lit("Plain answer "), F.col("query_id").cast("string"))), replies, citations)
+
+
+@register(
+    "search_events",
+    with_inputs(
+        """WITH t AS (SELECT DISTINCT query_id, task_query FROM hits UNION SELECT DISTINCT query_id, 'nothing at all' FROM hits), c AS (SELECT query_id, task_query, count(*) AS n, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM hits GROUP BY 1, 2)
+        SELECT query_id, task_query, coalesce(n, 0) AS result_count, coalesce(engines, '') AS responding, CASE WHEN query_id = 1 THEN 'ask: timeout' ELSE '' END AS unresponsive, CASE WHEN query_id = 2 AND n IS NULL THEN 'lost' END AS error, query_id = 1 OR n IS NULL AS degraded FROM t LEFT JOIN c USING (query_id, task_query)""",
+        "hits",
+    ),
+)
+def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event per task, those that found nothing among them."""
+    hits = relation(spark, sf_dir, "hits")
+    tasks = hits.select("query_id", "task_query").union(hits.select("query_id", F.lit("nothing at all"))).distinct()
+    failures = tasks.withColumn("unresponsive", F.when(F.col("query_id") == 1, F.array(F.lit("ask: timeout")))).withColumn("error", F.when((F.col("query_id") == 2) & (F.col("task_query") == "nothing at all"), "lost"))
+    out = ranking.search_events(tasks, hits, failures, ["query_id", "task_query"])
+    return out.select("query_id", "task_query", "result_count", F.array_join("responding_engines", ",").alias("responding"), F.array_join("unresponsive_engines", ",").alias("unresponsive"), "error", "degraded")
+
+
 # --- Hub and evaluation ---------------------------------------------------
 
 _REPORT = f"{FAMILIES}, scored AS (SELECT family_id, round(CAST(least(1.0, base + least(0.15, eng / 1000)) AS DECIMAL(18, 10)), 4)::DOUBLE AS score FROM c WHERE state_hint IS NOT NULL), top AS (SELECT family_id, score, row_number() OVER (ORDER BY score DESC, lower(family_id), family_id) AS rank, count(*) OVER () AS n FROM scored)"
@@ -461,3 +492,32 @@ def composed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight words of the first three entities, URLs left out."""
     named = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("https://x.example.com/y"))).otherwise(F.array(F.col("p_name"), F.concat(F.col("p_brand"), F.lit(" https://x.example.com/y")), F.col("p_type"), F.lit("never used")))
     return table(spark, sf_dir, "part").select("p_partkey", planning.main_query(named).alias("main_query"))
+
+
+@register(
+    "offline_evaluation",
+    with_inputs(
+        f"""WITH {PLANS} SELECT query_id AS id, {_pick_sql(["news", "technical", "docs"], "query_id")} AS expected_route, route, (route = {_pick_sql(["news", "technical", "docs"], "query_id")})::INTEGER::DOUBLE AS route_ok, main_query, reasons <> '' AS needs_confirmation, len(dropped)::INTEGER AS dropped,
+        round(0.22 + CASE WHEN route = {_pick_sql(["news", "technical", "docs"], "query_id")} THEN 0.11 ELSE 0 END, 4)::DOUBLE AS qs FROM plans""",
+        "questions",
+    ),
+)
+def offline_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions as cases of an evaluation without a network."""
+    cases = relation(spark, sf_dir, "questions").select(F.col("query_id").alias("id"), "query", _pick(["news", "technical", "docs"], "query_id").alias("expected_route"))
+    out = evaluation.score_offline(cases)
+    return out.select("id", "expected_route", "route", "route_ok", "main_query", "needs_confirmation", F.size("dropped_terms").alias("dropped"), "qs")
+
+
+@register(
+    "hub_window_recall",
+    with_inputs(
+        """WITH s AS (SELECT repo_id, base_ts + to_days((user_id % 30)::INTEGER) AS created_at, last_modified FROM signals QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY last_modified DESC, arrival DESC) = 1)
+        SELECT repo_id FROM s WHERE created_at BETWEEN TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-25 12:00:00' OR last_modified BETWEEN TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-25 12:00:00'""",
+        "signals",
+    ),
+)
+def hub_window_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories with events in the 48 hours before a time, both ends included; events after it are left out."""
+    since, until = hub.discovery_window(UNTIL, 48)
+    return hub.newest_signals(signals(spark, sf_dir)).filter(hub.in_window(F.lit(since), F.lit(until))).select("repo_id")

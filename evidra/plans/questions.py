@@ -107,7 +107,7 @@ def entity_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Adapted questions. Those of up to ten words stay as they are; the one longer kind has two names, of which the second overlaps the first, and common words.
-_PLANS = f"""{_INTENTS}, adapted AS (SELECT *, query LIKE 'how to read%' AS long_, regexp_extract(query, '(\\d+)$', 1) AS last_, CASE WHEN regexp_matches(query, '^[^a-zA-Z]*$') OR query LIKE '%языковые%' THEN 'ru' ELSE 'en' END AS language FROM intents),
+PLANS = f"""{_INTENTS}, adapted AS (SELECT *, query LIKE 'how to read%' AS long_, regexp_extract(query, '(\\d+)$', 1) AS last_, CASE WHEN regexp_matches(query, '^[^a-zA-Z]*$') OR query LIKE '%языковые%' THEN 'ru' ELSE 'en' END AS language FROM intents),
   plans AS (SELECT *, CASE WHEN long_ THEN 'Falcon 9 9 rocket read' ELSE query END AS main_query, CASE WHEN long_ THEN ['Falcon 9 9 rocket', 'Falcon 9 read', '9 rocket read'] ELSE [] END AS alt_queries,
     CASE WHEN long_ THEN 'deterministic' ELSE 'passthrough' END AS adaptation_method, CASE WHEN long_ THEN 0.8 ELSE 0.95 END::DOUBLE AS adaptation_confidence,
     CASE WHEN long_ THEN list_sort(list_concat(['docs', 'for', 'how', 'the', 'to', 'tutorial'], CASE WHEN last_ = '9' THEN [] ELSE [last_] END)) ELSE [] END AS dropped,
@@ -116,7 +116,7 @@ _PLANS = f"""{_INTENTS}, adapted AS (SELECT *, query LIKE 'how to read%' AS long
 
 @register(
     "adapted_queries",
-    with_inputs(f"WITH {_PLANS} SELECT query_id, main_query, adaptation_method, adaptation_confidence, array_to_string(alt_queries, ' | ') AS alternatives, array_to_string(dropped, ' ') AS dropped, reasons, reasons <> '' AS needs_confirmation FROM plans", "questions"),
+    with_inputs(f"WITH {PLANS} SELECT query_id, main_query, adaptation_method, adaptation_confidence, array_to_string(alt_queries, ' | ') AS alternatives, array_to_string(dropped, ' ') AS dropped, reasons, reasons <> '' AS needs_confirmation FROM plans", "questions"),
 )
 def adapted_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planning.adapt(relation(spark, sf_dir, "questions"))
@@ -150,7 +150,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The ending of a query that looks for dissent follows a checksum, which SQL has no function for; its row is compared without it.
-_TASKS = f"""{_PLANS}, listed AS (SELECT *, list_concat([{{'q': CASE WHEN route = 'llm_release' THEN query ELSE main_query END, 'p': 100, 'w': 'main adapted query'}}],
+_TASKS = f"""{PLANS}, listed AS (SELECT *, list_concat([{{'q': CASE WHEN route = 'llm_release' THEN query ELSE main_query END, 'p': 100, 'w': 'main adapted query'}}],
     CASE WHEN route = 'llm_release' THEN [] ELSE list_transform(alt_queries, lambda a: {{'q': a, 'p': 80, 'w': 'alt query'}}) END, list_transform(variants, lambda v: {{'q': v, 'p': 70, 'w': 'route-specific variant'}}),
     CASE WHEN route IN ({quoted(fixed.FALSIFICATION_ROUTES)}) THEN [{{'q': main_query, 'p': 40, 'w': 'falsification'}}] ELSE [] END) AS tasks FROM plans)"""
 
@@ -175,7 +175,7 @@ _ROUTED = " || ".join(f"CASE WHEN route <> 'general' AND {c} IS NOT NULL THEN ch
 @register(
     "plan_preview",
     with_inputs(
-        f"""WITH {_PLANS} SELECT query_id, concat_ws(chr(10), 'Я понял задачу так:', '', '**Цель:** найти источники по запросу пользователя.', '**Исходный запрос:** ' || query, '', '**Основной запрос:** ' || main_query)
+        f"""WITH {PLANS} SELECT query_id, concat_ws(chr(10), 'Я понял задачу так:', '', '**Цель:** найти источники по запросу пользователя.', '**Исходный запрос:** ' || query, '', '**Основной запрос:** ' || main_query)
         || CASE WHEN long_ THEN chr(10) || chr(10) || '**Дополнительные запросы:**' || chr(10) || '1. ' || alt_queries[1] || chr(10) || '2. ' || alt_queries[2] || chr(10) || '3. ' || alt_queries[3] ELSE '' END
         || chr(10) || chr(10) || concat_ws(chr(10), '**Параметры поиска:**', '- language: ' || language, '- adaptation_method: ' || adaptation_method, '- adaptation_confidence: ' || printf('%.2f', adaptation_confidence), '- extracted_entities: …')
         || CASE WHEN long_ THEN chr(10) || chr(10) || '**Что было отброшено из исходного запроса:** ' || array_to_string(dropped[1:5], ', ') || CASE WHEN len(dropped) > 5 THEN ' (+' || (len(dropped) - 5) || ')' ELSE '' END ELSE '' END

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HIT_SCHEMA = "query string, seq int, engine string, engines array<string>, title string, url string, content string, score double, category string, publishedDate string"
-MODEL_SCHEMA = "channel string, page int, arrival bigint, truncated boolean, payload string"
+MODEL_SCHEMA = "channel string, page int, arrival bigint, truncated boolean, payload string, error string"
 TAGS = ["text-generation", "text-to-text-generation", "image-text-to-text"]
 SORTS = ["createdAt", "lastModified"]
 
@@ -121,17 +121,20 @@ class _ModelReader(DataSourceReader):
                     models = json.load(file)
             except FileNotFoundError:
                 return
+            except ValueError as problem:  # what came before stays, and the channel is known to be incomplete
+                yield partition.name, page, arrival, True, None, f"{type(problem).__name__}: {problem}"
+                return
             stamps = [datetime.fromisoformat(m[sort].replace("Z", "+00:00")) for m in models if isinstance(m.get(sort), str)]
             edge = bool(stamps) and min(stamps) < self.since
             for model in models:
-                yield partition.name, page, arrival, page + 1 == self.pages and not edge, json.dumps(model)
+                yield partition.name, page, arrival, page + 1 == self.pages and not edge, json.dumps(model), None
                 arrival += 1
             if edge:
                 return
 
 
 class ModelSource(DataSource):
-    """``spark.read.format("evidra_models")``: stored pages of a model hub, a partition per channel."""
+    """``spark.read.format("evidra_models")``: stored pages of a model hub, a partition per channel; a page that cannot be read is a row with an error."""
 
     @classmethod
     def name(cls) -> str:

@@ -125,6 +125,9 @@ def test_research_runs_to_an_answer(spark):
     assert {r.query_id for r in run.answers.collect()} == {1, 2}
     assert run.documents.filter("query_id = 1").count() == 3 and run.verdicts.count() >= 1
     assert "no_search_results" in {r.kind for r in run.gaps.filter("query_id = 2").collect()}
+    told = {r.query_id: json.loads(r.manifest) for r in research.manifest(run).collect()}
+    assert told[1]["status"] == "done" and [d["rank"] for d in told[1]["documents"]] == [1, 2, 3] and told[1]["review"]["risk_level"] in ("low", "medium", "high") and "Acme" in told[1]["answer_markdown"]
+    assert told[1]["citations"][0]["id"] == 1 and "documents" not in told[2] and told[2]["plan"]["query"] == "zzz qqq"
 
 
 def test_replay_sources(spark, tmp_path):
@@ -154,7 +157,11 @@ def test_replay_sources(spark, tmp_path):
     page = [{"id": "a/b", "createdAt": "2024-01-01T00:00:00Z", "lastModified": "2024-01-01T00:00:00Z"}]
     (tmp_path / "text-generation_createdAt-0.json").write_text(json.dumps(page))
     models = spark.read.format("evidra_models").option("path", str(tmp_path)).option("since", "2024-02-01T00:00:00Z").load()
-    assert [(r.channel, r.truncated) for r in models.collect()] == [("text-generation:createdAt", False)]
+    (tmp_path / "text-generation_lastModified-0.json").write_text(json.dumps([page[0] | {"lastModified": "2024-03-01T00:00:00Z"}]))
+    (tmp_path / "text-generation_lastModified-1.json").write_text("<html>busy</html>")
+    got = sorted((r.channel, r.page, r.truncated, r.payload is None, (r.error or "").split(":")[0]) for r in models.collect())
+    assert got == [("text-generation:createdAt", 0, False, False, ""), ("text-generation:lastModified", 0, False, False, ""), ("text-generation:lastModified", 1, True, True, "JSONDecodeError")]
+    assert hub.discovery_window(datetime(2024, 1, 25, 12), 48) == (datetime(2024, 1, 23, 12), datetime(2024, 1, 25, 12))
 
 
 def test_sinks_and_files(spark, tmp_path):
@@ -246,13 +253,35 @@ def test_model_answers(spark):
     assert "1. a\n2. b" in rows.first().prompt and "SOURCE u" in rows.first().prompt
 
     def broken(prompt):
-        raise RuntimeError("busy")
+        raise assistant.ModelError("busy", 429)
+
+    def refusing(prompt):
+        raise assistant.ModelError("bad request", 400)
 
     replies = assistant.ask(rows, [broken, lambda p: 'Sure: {"results": [{"index": 2, "verdict": "match", "source_urls": ["u"]}]} ok'], retries=1, wait=0.0)
     got = {r.fact_no: (r.answer, r.urls) for r in assistant.answers(facts, replies).collect()}
     assert got == {5: ("INSUFFICIENT", []), 9: ("SUPPORTS", ["u"])}
     failed = assistant.ask(rows, [broken], retries=0).first()
     assert failed.answer is None and failed.error == "busy"
+    # what is our own fault is not tried elsewhere
+    refused = assistant.ask(rows, [refusing, lambda p: "never asked"], retries=1, wait=0.0).first()
+    assert (refused.answer, refused.error) == (None, "bad request")
+    assert assistant.is_transient(TimeoutError()) and assistant.is_transient(assistant.ModelError("no status")) and not assistant.is_transient(ValueError("x"))
+
+
+def test_answers_in_a_models_wording(spark):
+    from evidra.operators import assistant
+
+    answers = spark.createDataFrame([(1, "## A\nplain [1]"), (2, "## B\nplain")], "query_id int, answer_markdown string")
+    questions = spark.createDataFrame([(1, "why?"), (2, "what?")], "query_id int, query string")
+    facts = spark.createDataFrame([(1, i, f"fact {i}") for i in range(25)], "query_id int, fact_no int, fact string")
+    citations = spark.createDataFrame([(1, 1, "https://s.org/1", "One"), (1, 2, "?", "Two")], "query_id int, id int, url string, title string")
+    prompts = {r.query_id: r.prompt for r in assistant.rewrite_prompts(answers, questions, facts, citations).collect()}
+    assert "- 20. fact 19" in prompts[1] and "fact 20" not in prompts[1] and "[1] One — https://s.org/1\n[2] Two — ?" in prompts[1] and "why?" in prompts[1]
+    out = {r.query_id: r for r in assistant.enrich(answers, questions, facts, citations, [lambda p: "  Well told, by [1].  "]).collect()}
+    assert (out[1].answer_markdown, out[1].enriched_by_llm, out[1].llm_fallback_reason) == ("Well told, by [1].", True, None)
+    assert (out[2].answer_markdown, out[2].llm_fallback_reason) == ("## B\nplain", "post-validation failed")
+    assert {r.llm_fallback_reason for r in assistant.enrich(answers, questions, facts, citations, []).collect()} == {"no llm_client"}
 
 
 def test_contested_spans(spark):
