@@ -283,14 +283,14 @@ WINDOW_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T
 
 
 @F.pandas_udf(T.StringType())
-def _redact_udf(text: pd.Series) -> pd.Series:
+def redact_udf(text: pd.Series) -> pd.Series:
     return text.map(redact, na_action="ignore")
 
 
 def redact_secrets(text: Column) -> Column:
     """``redact`` on the rows that have anything to redact; the others never leave the JVM's columns but as nulls."""
     suspect = text.rlike(fixed.SECRET_URL) | text.rlike(fixed.SECRET_ENV) | text.rlike(fixed.SECRET_BOT) | text.rlike(fixed.SECRET_BEARER) | text.rlike(fixed.SECRET_LITERAL)
-    return F.coalesce(_redact_udf(F.when(suspect, text)), text)
+    return F.coalesce(redact_udf(F.when(suspect, text)), text)
 
 
 def secret_counts(text: Column) -> Column:

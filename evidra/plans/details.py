@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql as sql_functions
 from ..functions import text, udfs
 from ..operators import critic, matching, synthesis
 from .base import register, relation, table, with_inputs
@@ -13,10 +14,14 @@ from .verification import ENTITIES, NUMERIC, classified_frames, gap_frame, verdi
 # --- Facts and evidence ---------------------------------------------------
 
 
+#: Numbers with nouns, then dates, then names of a text, before those within others go.
+_SPLIT = r"""list_concat(regexp_extract_all(text, '\b\d{1,4}\s+[a-zA-Z]{3,}\b'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'), regexp_extract_all(text, '\b[A-Z][a-z]{2,}(?:\s+[A-Za-z]{3,}){1,3}\b'))"""
+
+
 @register(
     "extract_facts",
     with_inputs(
-        r"""WITH found AS (SELECT doc_id, list_concat(regexp_extract_all(text, '\b\d{1,4}\s+[a-zA-Z]{3,}\b'), regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'), regexp_extract_all(text, '\b[A-Z][a-z]{2,}(?:\s+[A-Za-z]{3,}){1,3}\b')) AS every FROM fact_texts),
+        f"""WITH found AS (SELECT doc_id, {_SPLIT} AS every FROM fact_texts),
         kept AS (SELECT doc_id, list_filter(every, lambda f, i: list_position(every, f) = i AND len(list_filter(every, lambda g: g <> f AND contains(g, f))) = 0)[1:8] AS facts FROM found)
         SELECT doc_id, (unnest(range(len(facts))))::INTEGER AS fact_no, unnest(facts) AS fact FROM kept""",
         "fact_texts",
@@ -27,6 +32,21 @@ def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(udfs.facts_of(F.col("text"), F.lit(""), F.lit(8))).alias("fact_no", "fact"))
 
 
+@register(
+    "facts_in_sql",
+    with_inputs(
+        f"""WITH found AS (SELECT doc_id, {_SPLIT} AS every FROM fact_texts), kept AS (SELECT doc_id, list_filter(every, lambda f, i: list_position(every, f) = i AND len(list_filter(every, lambda g: g <> f AND contains(g, f))) = 0)[1:3] AS facts FROM found)
+        SELECT doc_id, (unnest(range(len(facts))))::INTEGER AS fact_no, unnest(facts) AS fact, 'KEY_TOKEN=...' || right('0000' || doc_id, 4) AS clean FROM kept""",
+        "fact_texts",
+    ),
+)
+def facts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions by name in SQL: the first three facts of a text by a table function, and a redacted line."""
+    sql_functions.register(spark)
+    relation(spark, sf_dir, "fact_texts").createOrReplaceTempView("fact_texts")
+    return spark.sql("SELECT doc_id, fact_no, fact, evidra_redact(concat('KEY_TOKEN=abc', lpad(doc_id, 9, '0'))) AS clean FROM fact_texts, LATERAL evidra_facts(text, '', 3)")
+
+
 CLAIM = "the edition of another thing"
 #: Evidence windows of ``CLAIM``: a recursion takes the places of its words from left to right and keeps sums, numbers and words of the groups in lists.
 _WINDOWS = r"""terms(nr, term) AS (VALUES (1, 'the'), (2, 'edition'), (3, 'another'), (4, 'thing')),
