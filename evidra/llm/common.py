@@ -111,6 +111,9 @@ def byte_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) ->
                 held, size = [], 0
     if held:
         yield _joined(held)
+    held, batch = [], None
+    # workers serve other tasks next, and what they keep counts
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
