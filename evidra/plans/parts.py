@@ -130,7 +130,7 @@ _KINDS = ["text/html; charset=utf-8", "application/xhtml+xml", "application/pdf"
 
 @register(
     "fetched_pages",
-    rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 11 = 3 THEN 'http://10.0.0.1/' || page_id ELSE url END AS final_url, {_pick_sql(_KINDS, 'page_id')} AS kind, replace(replace({_BODY}, '&amp;', '&'), '&#39;', '''') AS body, trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1)) AS head FROM pages),
+    rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 11 = 3 THEN 'http://10.0.0.1/' || page_id ELSE url END AS final_url, {_pick_sql(_KINDS, 'page_id')} AS kind, replace(replace({_BODY}, '&amp;', '&'), '&#39;', '''') AS body, replace(trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1)), '&amp;', '&') AS head FROM pages),
       e AS (SELECT *, CASE WHEN page_id % 11 = 3 THEN 'blocked unsafe final URL (after redirect)' WHEN page_id % 5 IN (2, 3, 4) THEN 'non-html: ' || kind END AS error, CASE WHEN length(body) > 400 THEN substr(body, 1, 400) || '…[truncated]' ELSE body END AS cut FROM p)
       SELECT final_url AS url, CASE WHEN error IS NULL THEN head ELSE '' END AS title, CASE WHEN error IS NULL THEN cut ELSE '' END AS text, CASE WHEN error IS NULL THEN length(cut) ELSE 0 END::INTEGER AS length, error FROM e""",
 )
@@ -227,7 +227,7 @@ def query_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUESTIONS = [(1, "the edition of another thing"), (2, "elle avec pour dans les"), (3, "das ist nicht der Berg")]
 _FOUND = " UNION ALL ".join(
-    f"SELECT {i} AS query_id, 'https://' || source || '.example.com/' || doc_id AS url, text, n_chars, ({' + '.join(f'list_contains(words, {chr(39)}{t}{chr(39)})::INTEGER' for t in sorted({w for w in q.split() if len(w) >= 3}))}) AS n, ({coverage_sql('text', [w for w in q.split() if len(w) >= 3 and w not in fixed.LEGACY_STOP_WORDS])}) AS covered FROM docs"
+    f"SELECT {i} AS query_id, 'https://' || source || '.example.com/' || doc_id AS url, text, n_chars, ({' + '.join(f'list_contains(words, {chr(39)}{t}{chr(39)})::INTEGER' for t in sorted({w for w in q.lower().split() if len(w) >= 3}))}) AS n, ({coverage_sql('text', [w for w in q.lower().split() if len(w) >= 3 and w not in fixed.LEGACY_STOP_WORDS])}) AS covered FROM docs"
     for i, q in _QUESTIONS
 )
 
