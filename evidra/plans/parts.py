@@ -125,12 +125,14 @@ def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = r"""regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"""
 _BODY = rf"trim(regexp_replace(regexp_replace(regexp_extract({_PLAIN}, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+#: The entities that the pages have; the ampersand's own comes last.
+_PLAINLY = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
 _KINDS = ["text/html; charset=utf-8", "application/xhtml+xml", "application/pdf", "image/png", ""]
 
 
 @register(
     "fetched_pages",
-    rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 11 = 3 THEN 'http://10.0.0.1/' || page_id ELSE url END AS final_url, {_pick_sql(_KINDS, 'page_id')} AS kind, replace(replace({_BODY}, '&amp;', '&'), '&#39;', '''') AS body, replace(trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1)), '&amp;', '&') AS head FROM pages),
+    rf"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 11 = 3 THEN 'http://10.0.0.1/' || page_id ELSE url END AS final_url, {_pick_sql(_KINDS, 'page_id')} AS kind, {_PLAINLY.format(_BODY)} AS body, {_PLAINLY.format("trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1))")} AS head FROM pages),
       e AS (SELECT *, CASE WHEN page_id % 11 = 3 THEN 'blocked unsafe final URL (after redirect)' WHEN page_id % 5 IN (2, 3, 4) THEN 'non-html: ' || kind END AS error, CASE WHEN length(body) > 400 THEN substr(body, 1, 400) || '…[truncated]' ELSE body END AS cut FROM p)
       SELECT final_url AS url, CASE WHEN error IS NULL THEN head ELSE '' END AS title, CASE WHEN error IS NULL THEN cut ELSE '' END AS text, CASE WHEN error IS NULL THEN length(cut) ELSE 0 END::INTEGER AS length, error FROM e""",
 )

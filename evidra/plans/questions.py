@@ -47,8 +47,9 @@ _LONG = f"""raw AS ({_RAW}), scored AS (SELECT query_id, unnest([{quoted(_ROUTES
 
 @register("route_scoring", with_inputs(f"WITH {_LONG} SELECT query_id, route, score FROM scored WHERE score > 0", "questions"))
 def route_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = language.with_routes(relation(spark, sf_dir, "questions")).select("query_id", F.explode("all_routes").alias("r"))
-    return rows.select("query_id", "r.route", "r.score")
+    # an outer explode: for an inner one Spark would put all patterns into a filter below it, too
+    rows = language.with_routes(relation(spark, sf_dir, "questions")).select("query_id", F.explode_outer("all_routes").alias("r"))
+    return rows.filter("r IS NOT NULL").select("query_id", "r.route", "r.score")
 
 
 @register(
