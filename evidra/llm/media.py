@@ -392,11 +392,15 @@ def _pictures(header: Header, coefficients: np.ndarray, units: tuple[int, int])
 
 
 def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Coefficients and luminance of each frame; frames with equal headers are decoded together."""
+    """Coefficients and luminance of each frame; frames with equal headers are decoded together, and an empty frame is the one before it again."""
+    if frames and not frames[0]:
+        raise ValueError("the first frame is empty")
     groups: dict[bytes, list[int]] = {}
     headers: dict[bytes, Header] = {}
     last = b""
     for i, frame in enumerate(frames):
+        if not frame:
+            continue
         if not last or not frame.startswith(last):
             header = read_header(frame)
             last = frame[: header.begin]
@@ -407,6 +411,9 @@ def decode_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         coefficients, pictures = decode_group(headers[key], [frames[i] for i in numbers])
         for j, i in enumerate(numbers):
             out[i] = (coefficients[j], pictures[j])
+    for i, frame in enumerate(frames):
+        if not frame:
+            out[i] = out[i - 1]
     return out
 
 

@@ -272,6 +272,10 @@ def test_more_kinds_of_files(spark, monkeypatch):
     more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + listed(frames[2:4])))
     last = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"LIST", b"rec " + listed(frames[4:5])) + media._chunk(b"LIST", b"rec " + listed(frames[5:]))))
     assert media.read_avi(media.write_avi(frames[:2]) + more + last)[1] == frames
+    # a frame without data shows the one before it once more
+    again = media.write_avi([frames[0], b"", b"", frames[1]])
+    assert stored(media.read_avi(again)[1]) == [data[i].tobytes() for i in (0, 0, 0, 1)]
+    assert media.media_clips(spark.createDataFrame([(1, bytearray(media.write_avi([b"", frames[0]])))], "media_id long, content binary")).first().error == "the first frame is empty"
     # two pictures below each other, with a restart between them
     head = media._HEADER.replace(media.struct.pack(">HH", 24, 24), media.struct.pack(">HH", 48, 24))
     head = head[:2] + media._segment(0xDD, b"\0\x09") + head[2:]
