@@ -86,7 +86,7 @@ def exchange(runs: DataFrame, level: int, digits: int) -> DataFrame:
 def exact_dedup(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", digits: int = DIGITS, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = cut(digest_rows(documents, text, doc_id, digits, rounds), "digests")
-    bottom = cut(first_runs(rows), "runs")
+    bottom = first_runs(rows)
     run = bottom
     for level in range(rounds):
         run = exchange(run, level, digits)
@@ -107,9 +107,12 @@ def drop_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Of rows alike in id and text one stays: the one whose columns together
     have the smallest hash, so that reruns agree.
     """
-    answers = exact_dedup(documents, text, doc_id).filter("kept").select("doc_id", "text_sha256").distinct()
-    rows = nested(documents).withColumn("sha", F.sha2(normalised(field(text)), 256))
-    stay = rows.join(answers.hint("merge"), (rows["sha"] == answers["text_sha256"]) & field(doc_id).eqNullSafe(answers["doc_id"]), "left_semi")
+    # by digest and a hash of the id, so that a large group is spread, and one dealing of the texts serves the join and the choice;
+    # the digest is never null, or Spark would take it twice, once in a filter
+    answers = exact_dedup(documents, text, doc_id).filter("kept").select(F.col("text_sha256").alias("sha"), F.xxhash64("doc_id").alias("place")).distinct()
+    rows = nested(documents).select("row", F.coalesce(F.sha2(normalised(field(text)), 256), F.lit("")).alias("sha"), F.xxhash64(field(doc_id)).alias("place"))
+    stay = rows.join(answers.hint("merge"), ["sha", "place"], "left_semi")
     hashed = [F.to_json(field(c)) if "map<" in kind else field(c) for c, kind in documents.dtypes]  # maps have no hash
-    one = stay.groupBy("sha").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
+    first = F.struct(field(doc_id).isNull(), field(doc_id), F.xxhash64(*hashed))
+    one = stay.groupBy("sha", "place").agg(F.min_by("row", first).alias("row"))
     return flat(one, documents.columns)
