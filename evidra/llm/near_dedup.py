@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_batches, cut, drop_cut, field, flat, join_groups, nested, places_for
+from .common import byte_batches, cut, drop_cut, field, flat, join_groups, nested
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -63,7 +63,7 @@ PIVOTS = 32
 COLUMNS = 4096
 #: Places that a shared bucket is dealt to where its nodes are looked up.
 PLACES = 16
-#: Places that a node is dealt to where its neighbours learn of the smallest one.
+#: Places that a node is dealt to where its neighbours, or the nodes of its class, learn of the smallest one.
 HUB_PLACES = 8
 
 _U = np.uint64
@@ -311,11 +311,11 @@ def compare_tiles(tiles: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def find_links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (a, b) that connect all similar nodes of each bucket of ``buckets`` (bucket, node).
+    """Distinct links (lo, hi), lo < hi, that connect all similar nodes of each bucket of ``buckets`` (bucket, node), as a written table.
 
     ``sets_of`` gives (node, shingles) for a relation of nodes.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"), F.expr("bit_xor(xxhash64(1, node))").alias("z")).filter("n > 1")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(F.lit(2), "node")).alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"), F.expr("bit_xor(xxhash64(1, node))").alias("z")).filter("n > 1")
     # buckets with the same members are compared once
     sizes = cut(sizes.groupBy("n", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "tiles")
     many = sizes.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
@@ -339,9 +339,9 @@ def find_links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], si
         others = members.join(parts.select("bucket", "parts"), "bucket")
         others = others.select("node", "bucket", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), *side(1, False))
         links = links.unionByName(compare_tiles(lone.unionByName(others), sets, similarity).select("a", "b"))
-    links = cut(links.distinct(), "links")
+    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     drop_cut(sizes, members, sets, first)
-    return links
+    return edges
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -357,13 +357,13 @@ def _nearest(edges: DataFrame) -> DataFrame:
     return small.unionByName(root.select(F.col("least").alias("lo"), "hi")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of its component for every node of ``links`` (a, b) that is not itself the smallest.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of its component for every node of ``edges`` that is not itself the smallest.
 
-    A round is one written table; rounds end when a round changes nothing,
-    so that all links lead to roots.
+    ``edges`` is what ``find_links`` wrote, and goes. A round is one written
+    table; rounds end when a round changes nothing, so that all links lead
+    to roots.
     """
-    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     state = lambda e: e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(lo, hi))"), F.expr("bit_xor(xxhash64(1, lo, hi))")).first()
     before = state(edges)
     while before[0]:
@@ -383,7 +383,7 @@ def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str =
     # the smallest id, nulls last, and the number of rows of every node
     nodes = cut(named.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature")), "nodes")
     band = lambda i: F.struct(F.lit(i).alias("i"), F.slice("signature", i * rows + 1, rows).alias("s"))
-    buckets = cut(nodes.select("node", F.explode(F.array(*(F.xxhash64(band(i)) for i in range(bands)))).alias("bucket")), "buckets")
+    buckets = nodes.select("node", F.explode(F.array(*(F.xxhash64(band(i)) for i in range(bands)))).alias("bucket"))
 
     def sets_of(some: DataFrame) -> DataFrame:
         # one row of a node gives its set: a row with the smallest id; merged at every size, as a broadcast that only small inputs allow would hide what large ones move
@@ -391,18 +391,16 @@ def near_dedup(documents: DataFrame, similarity: float = SIMILARITY, text: str =
         found = named.join(first.hint("merge"), (named["node"] == first["of"]) & named["doc_id"].eqNullSafe(first["first_id"]))
         return found.select("node", "shingles").dropDuplicates(["node"])
 
-    links = find_links(buckets, sets_of, similarity)
-    roots = components(links)
+    roots = components(find_links(buckets, sets_of, similarity))
     # nodes that hang together with others; all others are classes of their own
-    grouped = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "grouped")
+    grouped = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named_nodes = nodes.select("node", "least", "n")
-    mine = cut(named_nodes.join(grouped.hint("merge"), "node"), "mine")
+    mine = named_nodes.join(grouped.hint("merge"), "node")
     per_root = mine.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
-    shared = join_groups(mine.select("node", "root", F.xxhash64("node").alias("deal")), per_root, "root", "deal", places_for(mine, mine.count()))
+    shared = join_groups(mine.select("node", "root", F.xxhash64("node").alias("deal")), per_root, "root", "deal", HUB_PLACES)
     others = named_nodes.join(grouped.select("node").hint("merge"), "node", "left_anti").select("node", "least", F.col("n").alias("class_size"))
     classes = cut(shared.select("node", "least", "class_size").unionByName(others).select("node", F.col("least.doc_id").alias("class_id"), "class_size"), "classes")
-    drop_cut(grouped, mine)
-    drop_cut(nodes, buckets, links)
+    drop_cut(nodes)
     out = drawn.select("doc_id", "node").join(classes.hint("merge"), "node", "left")
     alone = F.col("node").isNull()
     return out.select(
