@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,18 @@ def _of_route(route: Column, index: int) -> Column:
     return out
 
 
+def _once(questions: DataFrame, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``questions`` with the columns that ``add`` gives for their ``query``, worked out once for questions that repeat."""
+    done = add(questions.select(F.col("query").alias("_query")).distinct().withColumn("query", F.col("_query"))).drop("query")
+    return questions.join(done, questions["query"].eqNullSafe(done["_query"])).drop("_query")
+
+
 def classify(questions: DataFrame) -> DataFrame:
     """``questions`` (with ``query``) with route, confidence, engines, categories, time_range, variants and warning."""
+    return _once(questions, _classify)
+
+
+def _classify(questions: DataFrame) -> DataFrame:
     rows = language.with_routes(questions)
     best = F.try_element_at("all_routes", F.lit(1))
     second = F.try_element_at("all_routes", F.lit(2))
@@ -82,6 +93,10 @@ def term_diff(before: Column, after: Column) -> tuple[Column, Column]:
 
 def adapt(questions: DataFrame) -> DataFrame:
     """``questions`` with main and alternative queries, terms that came and went, and reasons to ask back."""
+    return _once(questions, _adapt)
+
+
+def _adapt(questions: DataFrame) -> DataFrame:
     size = F.size(F.filter(F.split(F.trim("query"), r"(?U)\s+"), lambda w: w != ""))
     rows = entities(questions).withColumn("n_words", size).withColumn("language", language.detect_language(F.col("query")))
     short = F.col("n_words") <= 10
