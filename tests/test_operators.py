@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -216,6 +217,51 @@ def test_older_flow(spark):
     assert [r.url for r in sources.collect()] == ["https://c.org/3"] and counts.first().fetched_ok == 1
 
 
+def _join_rows(frame):
+    """The most rows that a join of a collected frame gave."""
+    def walk(node):
+        name = node.nodeName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        below = node.children()
+        metric = node.metrics().get("numOutputRows")
+        own = metric.get().value() if "Join" in name and metric.isDefined() else 0
+        return max([own, *map(walk, inner + [below.apply(i) for i in range(below.size())])])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def _temporal(claims, sources):
+    """Flags by the rule, pair by pair."""
+    flags = {}
+    for key, number, claim in claims:
+        for other, url, said in sources:
+            told, known = ([int(w) for w in t.split() if len(w) == 4 and w.isdigit()] for t in (claim, said))
+            wrong = [y for y in told if known and (y > max(known) + 1 or y < min(known) - 5)]
+            if key == other and wrong:
+                late = wrong[0] > max(known) + 1
+                end = f"max year is {max(known)} (anachronism)" if late else f"min year is {min(known)} (unusually old)"
+                flags.setdefault(key, []).append((str(number).rjust(9, "0")[:9] + "|" + url, claim[:120], f"Claim mentions {wrong[0]} but source {end}", "medium" if late else "low"))
+    return sorted((k, severity, message, claim) for k, rows in flags.items() for _, claim, message, severity in sorted(rows)[:20])
+
+
+def test_temporal_consistency_joins_what_can_be_among_the_first(spark):
+    draw = random.Random(3)
+    years = lambda: " ".join(str(draw.randint(1995, 2012)) for _ in range(draw.choice([0, 1, 1, 2])))
+    cases = [
+        # numbers and URLs that repeat, texts with several years or none, numbers cut to nine digits
+        ([(draw.randint(1, 4), draw.choice([draw.randint(1, 60), 10**11 + draw.randint(1, 30)]), f"Ships {draw.randint(1, 3)} left in {years()}") for _ in range(300)],
+         [(draw.randint(1, 4), f"https://s{draw.randint(1, 25)}.example.com/", f"In {years()} ships left") for _ in range(120)]),
+        # the only claim with a flag comes last
+        ([(1, n, "Ships left in 2003") for n in range(100)] + [(1, 100, "Ships left in 2009")], [(1, f"https://s{n}.example.com/", "In 2004 ships left") for n in range(30)]),
+        # one question, many claims and sources
+        ([(1, n, f"Ships left in {1990 + n % 35}") for n in range(1000)], [(1, f"https://s{n}.example.com/", f"In {1995 + n % 20} ships left") for n in range(600)]),
+    ]
+    for claims, sources in cases:
+        rows = critic.temporal_consistency(spark.createDataFrame(claims, "query_id int, claim_no long, claim string"), spark.createDataFrame(sources, "query_id int, url string, text string"))
+        assert sorted((r.query_id, r.severity, r.message, r.claim) for r in rows.collect()) == _temporal(claims, sources)
+    assert 0 < _join_rows(rows) <= 20 * 600
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
