@@ -15,12 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def fetched(pages: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
+def fetched(pages: DataFrame, most: int = MOST_CHARACTERS, closed: bool = False) -> DataFrame:
     """Stored pages (url, html, and as far as known final_url and content_type) as fetched documents: title, text cut to ``most`` characters, length, error.
 
     Errors are rows: addresses that may not be fetched, before or after a
     redirect, and content that is no HTML or XML. Of longer pages only the
-    first ``MOST_BYTES`` are looked at, as a fetcher reads no more.
+    first ``MOST_BYTES`` are looked at, as a fetcher reads no more. Entities
+    are decoded as browsers do; with ``closed`` only those with a semicolon.
     """
     have = pages.columns
     final = F.coalesce("final_url", "url") if "final_url" in have else F.col("url")
@@ -33,7 +34,8 @@ def fetched(pages: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
     rows = pages.select(F.when(urls.is_safe_literal(F.col("url")), final).otherwise(F.col("url")).alias("url"), why.alias("error"), html.alias("html"))
     body = text.html_to_text(F.col("html"))
     rows = rows.select("url", "error", F.when(F.col("error").isNull(), text.html_title(F.col("html"))).alias("title"), F.when(F.col("error").isNull(), body).alias("text"))
-    plain = lambda c: F.when(F.contains(c, F.lit("&")), udfs.unescape(F.when(F.contains(c, F.lit("&")), F.col(c)))).otherwise(F.col(c))
+    decoded = udfs.unescape_closed if closed else udfs.unescape
+    plain = lambda c: F.when(F.contains(c, F.lit("&")), decoded(F.when(F.contains(c, F.lit("&")), F.col(c)))).otherwise(F.col(c))
     rows = rows.select("url", "error", plain("title").alias("title"), text.cut_off(plain("text"), most).alias("text"))
     return rows.select("url", F.coalesce("title", F.lit("")).alias("title"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.length("text"), F.lit(0)).alias("length"), "error")
 

@@ -35,3 +35,15 @@ def test_query(spark, sf, duck, name):
         want = duck.sql(ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_fetched_pages_with_entities_that_are_cut_off(spark, tmp_path):
+    """Titles cut inside an entity, names that only begin like one, and whole entities."""
+    heads = ["Salt &amp", "Salt &am", "Salt &quot pepper", "&copyright", "&notit;", "Salt &amp;amp", "&amp;lt; &lt;b&gt; &#39;&quot;&middot;&copy;", "&&amp;&", "plain"]
+    pages = [(i * 55 + k, f"https://a.example.com/{i}/{k}", f"<html><title>{h}</title><article><h1>{h}</h1> and {h} so</article></html>") for i, h in enumerate(heads) for k in range(5)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["fetched_pages"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(duck.sql(ORACLE["fetched_pages"]).df())
+    assert {"Salt &amp", "&notit;", "&lt; <b> '\"·©"} <= set(got["title"])
